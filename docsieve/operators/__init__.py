@@ -1 +1 @@
-
+"""Operators over DataFrames of the document-verification engine."""

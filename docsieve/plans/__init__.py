@@ -1 +1 @@
-
+"""Fixtures, queries and the SQL that checks them."""
