@@ -142,7 +142,7 @@ def fit(rows: list[tuple[str, str]], steps: int = 500, batch: int = 128) -> Net
 def train(docs: DataFrame) -> Net | None:
     """Learn only from text and non-null lang outside fold 2 of 4."""
     rows = docs.where(sample.remainder("doc_id", 4) != 2).select("doc_id", "text", F.col("lang").alias("label"))
-    return fit(sample.labelled(rows, PER_CLASS, 4096))
+    return fit(sample.own_labels(rows, PER_CLASS, 4096))
 
 
 def identify(net: Net | None, text: Column) -> Column:

@@ -14,27 +14,38 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % divisor, F.lit(0))
 
 
-def labelled(docs: DataFrame, per_class: int, part: int = PART) -> list[tuple[str, object]]:
-    """(text, label) of about ``per_class`` rows of each label, chosen by a hash of the row, so reruns agree.
-
-    docs has doc_id, text, label. At most ``2 * per_class`` rows a label and ``part`` code points of a text reach the driver.
-    """
-    docs = docs.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
+def _share(rows: DataFrame, per_class: int) -> tuple[DataFrame, int]:
+    """About ``per_class`` rows of each label, chosen by a hash of doc_id so that reruns agree, and the most that may be read."""
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == F.lit(label), F.lit(min(1.0, per_class / n))).otherwise(share)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(dice < share), 2 * per_class * len(counts)
+
+
+def _texts(rows: DataFrame, most: int, part: int) -> list[tuple[str, object]]:
     room = F.greatest(F.char_length("text") - part, F.lit(0)) + 1
     piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(11)), room.cast("long")).cast("int") + 1, F.lit(part))
-    rows = docs.where(dice < share).select("doc_id", piece.alias("text"), "label").limit(2 * per_class * len(counts)).collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
+    found = rows.select("doc_id", piece.alias("text"), "label").limit(most).collect() if most else []
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int) -> DataFrame:
-    """doc_id, text, label of the rows that may train: labelled, and outside the held-out fold. A doc labelled twice has the larger label."""
+def own_labels(docs: DataFrame, per_class: int, part: int = PART) -> list[tuple[str, object]]:
+    """(text, label) of a sample of docs (doc_id, text, label); at most ``2 * per_class`` rows a label and ``part`` code points of a text reach the driver."""
+    rows, most = _share(docs.where(F.col("label").isNotNull() & F.col("text").isNotNull()), per_class)
+    return _texts(rows, most, part)
+
+
+def joined_labels(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, per_class: int, part: int = PART) -> list[tuple[str, object]]:
+    """As ``own_labels`` with labels of another table, outside the held-out fold. A doc labelled twice has the larger label.
+
+    The sample is drawn from the labels alone, so what is broadcast to the texts is bounded by it (16 bytes a row) and no text is shuffled.
+    """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held))
-    marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    drawn, most = _share(marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), per_class)
+    ids = [(r["doc_id"], r["label"]) for r in drawn.limit(most).collect()] if most else []
+    if not ids:
+        return []
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
+    return _texts(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), most, part)
