@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, kneserney, linefreq, minhash, mixing, nbsvm, simhash, tokencount, xent
+from . import bpe, bytecnn, kneserney, linefreq, minhash, mixing, nbsvm, oracles, simhash, tokencount, xent
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
