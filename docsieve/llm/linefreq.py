@@ -24,8 +24,20 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    """The words in order; none for a text without any."""
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare != "", F.split(bare, SPACES)).otherwise(F.array().cast("array<string>"))
+
+
+def solid_chars(text: Column) -> Column:
+    """Number of code points that are not white space of words."""
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(""))
+    return F.char_length(text).cast("long")
 
 
 def lines(text: Column) -> Column:
@@ -38,12 +50,12 @@ def repeated_words(windows: Column) -> Column:
 
     Places are sorted by hash, those with an equal neighbour are sorted again by place, and each adds what the one before does not cover.
     """
-    order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # an array beside its shifts: neighbours without indexing
     n = F.size(windows)
     shifted = F.arrays_zip(order.alias("x"), F.concat(F.array(F.lit(None)), F.slice(order, F.lit(1), n - 1)).alias("p"), F.concat(F.slice(order, F.lit(2), n - 1), F.array(F.lit(None))).alias("q"))
     again = F.filter(shifted, lambda z: F.coalesce(z["x"]["h"] == z["p"]["h"], F.lit(False)) | F.coalesce(z["x"]["h"] == z["q"]["h"], F.lit(False)))
-    places = F.array_sort(F.transform(again, lambda z: z["x"]["i"]))
+    places = F.sort_array(F.transform(again, lambda z: z["x"]["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     total = F.aggregate(places, start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")))
     return total["n"]
@@ -52,10 +64,10 @@ def repeated_words(windows: Column) -> Column:
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, source, mark and the base counts of each row."""
     made = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    made = made.select("doc_id", "source", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.char_length(F.regexp_replace("text", SPACES, "")).cast("long").alias("word_chars"))
+    made = made.select("doc_id", "source", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), solid_chars(F.col("text")).alias("word_chars"))
     n = F.size("w").cast("long")
-    at = F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)))
-    windows = F.when(F.size("w") >= 3, F.zip_with(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(2), F.size("w") - 2), lambda a, b: F.xxhash64(a, b)), F.slice("w", F.lit(3), F.size("w") - 2), lambda h, c: F.xxhash64(h, c)))
+    three = F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w")), F.slice("w", F.lit(3), F.size("w")))
+    windows = F.when(F.size("w") >= 3, F.transform(F.slice(three, F.lit(1), F.size("w") - 2), lambda z: F.xxhash64(z["w"], z["1"], z["2"])))
     made = made.select("doc_id", "source", "mark", n.alias("n_words"), "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("windows"))
     some = F.col("windows").isNotNull() & (F.size(F.array_distinct("windows")) < F.size("windows"))
     made = made.withColumn("n_repeat_words", F.when(some, repeated_words(F.col("windows"))).otherwise(F.lit(0)).cast("long")).drop("windows")
