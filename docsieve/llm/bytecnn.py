@@ -93,7 +93,7 @@ class Net:
             np.add.at(weight, row[part], size[part])
         mean = total / weight[:, None]
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
-        return mean.argmax(axis=1), 1 / p.sum(axis=1)
+        return mean.argmax(axis=1), np.round(1 / p.sum(axis=1), 6)
 
 
 def fit(rows: list[tuple[str, str]], steps: int = 500, batch: int = 128) -> Net | None:

@@ -115,3 +115,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of values[first[i]:first[i + 1]] for each row; equal rows have equal sums, wherever they stand."""
+    return np.array([values[a:b].sum(dtype=np.float64) for a, b in zip(first[:-1].tolist(), first[1:].tolist())])

@@ -89,8 +89,7 @@ class Model:
             i, found = _find(self.pair_keys, pair[maybe])
             if len(self.pair_ratio):
                 each[maybe[found]] = self.pair_ratio[i[found]]
-            total = np.concatenate([[0.0], np.cumsum(each)])
-            out[low:high] = (total[first[1:]] - total[first[:-1]]) / (np.diff(first) + EASE)
+            out[low:high] = flat.row_sums(each, first) / (np.diff(first) + EASE)
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -116,7 +115,7 @@ def _ratios(count: np.ndarray, lower: np.ndarray | None = None) -> np.ndarray:
     mass = given.sum(axis=1, keepdims=True) / total
     tilt = np.exp(np.array([[-0.5], [0.5]]) * (0 if lower is None else lower))
     p = (count - given) / total + mass * shared * tilt
-    ratio = np.log(p[1]) - np.log(p[0])
+    ratio = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300))
     expected = count.sum(axis=0) * total / total.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         statistic = 2 * np.where(count > 0, count * np.log(count / expected), 0).sum(axis=0)
@@ -167,7 +166,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model(*[np.zeros(0, np.uint64 if k % 2 == 0 else float) for k in range(6)])
     model = count_models([r for r, h in zip(rows, held) if not h])
     ratio = model.ratios(*flat.flat(pa.array([r[0] for r, h in zip(rows, held) if h], pa.string())))
-    model.slope, model.shift = logistic(ratio, label[held])
+    slope, shift = logistic(ratio, label[held])
+    # the curve comes from rows that the counts had not seen; the counts then take all rows
+    model = count_models(rows)
+    model.slope, model.shift = slope, shift
     return model
 
 

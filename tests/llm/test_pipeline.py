@@ -2,7 +2,7 @@ import corpus_pipeline
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
