@@ -4,10 +4,10 @@ Two permutations of a fixed universe make all coordinates of a signature: the fi
 circularly by k places, gives its value for coordinate k. The K values of a shingle are thus one contiguous slice of the second permutation.
 
 Identical shingle sets share one representative. Representatives that agree in a whole band meet in its bucket, and every candidate is
-confirmed on the full sets (64-bit hashes of all shingles). A bucket is never paired with itself: all its members are checked against one
-hub, the hub leaves the bucket, confirmed links merge components, and a bucket with members of one component is done. Small buckets are checked
-pair by pair (a fixed number of pairs); large ones whose members stay apart after a few hubs are dealt out again by their rarest
-shingles (the prefix that two sets of the wanted similarity must share), so a passage that many documents share brings no pairs. No bucket is capped.
+confirmed on the full sets (64-bit hashes of all shingles). A bucket is never paired with itself: its members are first checked against hubs, and
+confirmed links merge components; a bucket with members of one component is done. What is left are pairs across components: they are checked where one
+side is few (at most SMALL pairs a row); other buckets are dealt out again by their rarest shingles (the prefix that two sets of the wanted similarity
+must share), so a passage that many documents share brings no pairs. No bucket is capped.
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and kept; fewer words than a shingle make
 one shingle; equal texts are always linked; rows that repeat a doc_id each give a row of the result, with the same component when their sets
@@ -30,9 +30,9 @@ ROWS = 6
 BANDS = 42
 COORDINATES = ROWS * BANDS
 UNIVERSE = 1 << 20
-#: Buckets of at most this size are checked pair by pair.
-SMALL = 8
-#: Hub rounds before a large bucket is dealt out by rare shingles.
+#: Most members of a bucket, or members outside its lowest component, that are checked against all others of it.
+SMALL = 64
+#: Rounds that merge by hubs before buckets are resolved.
 HUB_ROUNDS = 3
 
 
@@ -69,7 +69,7 @@ def _sketch_batch(texts: pa.Array, words: int) -> pa.StructArray:
         _circulant.append(Circulant())
     data, offsets = flat.flat(texts)
     n, first, second, keys = [], [], [], []
-    for low, high in flat.spans(offsets, 1 << 20):
+    for low, high in flat.spans(offsets, 1 << 18):
         at = offsets[low : high + 1]
         sets = flat.shingle_sets(data[at[0] : at[-1]], at - at[0], words)
         n += [len(s) for s in sets]
@@ -97,7 +97,7 @@ def shingles(text: Column, words: int) -> Column:
     def made(texts: pa.Array) -> pa.Array:
         data, offsets = flat.flat(texts)
         sets = []
-        for low, high in flat.spans(offsets, 1 << 20):
+        for low, high in flat.spans(offsets, 1 << 18):
             at = offsets[low : high + 1]
             sets += flat.shingle_sets(data[at[0] : at[-1]], at - at[0], words)
         ends = np.cumsum([0] + [len(s) for s in sets])
@@ -107,25 +107,17 @@ def shingles(text: Column, words: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B|, on the full sets."""
+    """The pairs (columns a, b and others) with 100 * |A and B| >= percent * |A or B|, on the full sets."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(*pairs.columns)
 
 
 def _near_size(m: str, n: str, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
-def _merge(edges: list[DataFrame], ids: DataFrame) -> DataFrame:
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    found = components(every)
-    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
 def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Buckets of rare shingles for the members of large buckets: each member's prefix by frequency inside its bucket.
 
@@ -134,53 +126,67 @@ def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     each = rows.select("key", "id", "n").join(sets, "id").select("key", "id", "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("key", "shingle").agg(F.count("*").alias("often")).where("often > 1")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle")))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle")))
     ranked = each.join(often, ["key", "shingle"], "left").groupBy("key", "id", "n").agg(order.alias("o"))
     length = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")
     prefix = ranked.select("key", "id", "n", F.explode(F.slice("o", F.lit(1), length)).alias("s")).where("s.often > 1")
     return prefix.select(F.xxhash64("key", "s.shingle").alias("key"), "id", "n")
 
 
-def _dealt_again(rows: DataFrame, component: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
-    """Buckets whose members are still apart: small ones as they are, large ones by rare shingles."""
-    now = rows.join(component, "id")
-    state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    parted = Settled(now.join(state.where("low != high").select("key", "size"), "key"), "parted").df
-    return parted.where(F.col("size") <= small).select("key", "id", "n").unionByName(_rare(parted.where(F.col("size") > small), sets, percent))
+def _pair(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of different components inside buckets, each with a hub on one side."""
+    left, right = live.alias("l"), live.where("is_hub").alias("r")
+    apart = (F.col("l.component") != F.col("r.component")) & _near_size("l.n", "r.n", percent)
+    mine = F.col("l.id") < F.col("r.id")
+    side = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
+    return left.join(right, "key").where(apart).select(side("l.id", "r.id").alias("a"), side("r.id", "l.id").alias("b"), side("l.component", "r.component").alias("ca"), side("r.component", "l.component").alias("cb")).distinct()
 
 
 def link(buckets: DataFrame, sets: DataFrame, percent: int, small: int = SMALL, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """(id, component) over all ids of the buckets (key, id, n): the components of all confirmed links inside buckets."""
-    ids = Settled(buckets.select("id").distinct(), "ids")
-    component = Settled(ids.df.select("id", F.col("id").alias("component")), "component")
+    """(id, component) over all ids of the buckets (key, id, n): the components of all confirmed links inside buckets.
+
+    First rounds only merge: each member is checked against one hub, the first of the hubs of its buckets in an order that changes with the round.
+    Then every bucket that still holds several components is resolved: all pairs across components where members or members outside the
+    lowest component are few, else after the dealing by rare shingles; hubs whose pairs are checked leave their bucket.
+    """
+    component = Settled(buckets.select("id").distinct().select("id", F.col("id").alias("component")), "component")
     rows = Settled(buckets.select("key", "id", "n"), "buckets")
-    edges: list[DataFrame] = []
-    turn = 0
+    turn, dealt = 0, False
     while True:
         now = rows.df.join(component.df, "id")
-        hub = F.struct(F.xxhash64("id").alias("order"), "id", "n", "component")
-        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(hub).alias("hub"))
-        open_ = Settled(state.where("low != high").select("key", "size", "hub"), "open")
-        if open_.df.isEmpty():
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "component")
+        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(order).alias("hub")).where("low != high").drop("high")
+        live = Settled(now.join(state, "key").select("key", "id", "n", "component", "size", "low", "hub"), "live")
+        if live.df.isEmpty():
             break
-        live = Settled(now.join(open_.df, "key"), "live")
-        few = F.col("size") <= (small if turn else 0)
-        against_hub = live.df.where(~few & (F.col("id") != F.col("hub.id"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "component", F.col("hub.component").alias("other"), "n", F.col("hub.n").alias("m"))
-        left, right = live.df.where(few).alias("l"), live.df.where(few).alias("r")
-        pairwise = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.component").alias("component"), F.col("r.component").alias("other"), F.col("l.n").alias("n"), F.col("r.n").alias("m"))
-        pairs = against_hub.unionByName(pairwise).where((F.col("component") != F.col("other")) & _near_size("n", "m", percent))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = Settled(_verified(pairs, sets, percent), "links")
-        edges.append(found.df)
-        rest = live.df.where(~few & (F.col("id") != F.col("hub.id"))).select("key", "id", "n")
-        turn += 1
-        before = (rows, component, open_, live)
+        if turn < hub_rounds:
+            other = (F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n", percent)
+            one = live.df.where(other).groupBy("id", "component").agg(F.min("hub").alias("hub"))
+            pairs = one.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"))
+            rest = live.df.select("key", "id", "n")
+        else:
+            outside = live.df.where("component != low").groupBy("key").agg(F.count("*").alias("outside"))
+            full = live.df.join(outside, "key")
+            whole = F.when(F.col("size") <= small, F.lit(True)).when(F.col("outside") <= small, F.col("component") != F.col("low"))
+            few = (F.col("size") <= small) | (F.col("outside") <= small)
+            if not dealt and not full.where(~few).isEmpty():
+                dealt = True
+                again = Settled(full.where(few).select("key", "id", "n").unionByName(_rare(full.where(~few), sets, percent)), "buckets")
+                rows.drop()
+                rows = again
+                continue
+            share = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < (8 << (turn - hub_rounds))
+            marked = Settled(full.select("key", "id", "n", "component", F.coalesce(whole, share | (F.col("id") == F.col("hub.id"))).alias("is_hub"), few.alias("few")), "marked")
+            pairs = _pair(marked.df, percent)
+            rest = marked.df.where("not few and not is_hub").select("key", "id", "n")
+        found = Settled(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        merged = components(found.df).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        before = (rows, component, live, found)
         rows = Settled(rest, "buckets")
-        component = Settled(_merge(edges, ids.df), "component")
+        component = Settled(component.df.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component")), "component")
         for old in before:
             old.drop()
-        if turn == hub_rounds:
-            rows = Settled(_dealt_again(rows.df, component.df, sets, percent, small), "buckets")
+        turn += 1
     return component.df
 
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bound of one Arrow batch; a longer text makes a batch of its own.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4000
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 
 def arrow_batches(spark: SparkSession) -> None:
