@@ -81,7 +81,7 @@ def pivotal(units: DataFrame, block: int = BLOCK) -> DataFrame:
         most = counts.agg(F.max("n")).first()[0] or 0
         keyed = now.join(counts, ["source_key", "class"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), F.ceil(F.col("n") / block)))
         one = F.struct((-F.col("size")).alias("order"), "id", "size", "f", _dice(F.col("id"), F.lit(level), F.lit("dice")).alias("dice"))
-        folded = keyed.groupBy("source_key", "class", "block").agg(_meet(F.array_sort(F.collect_list(one))).alias("s"))
+        folded = keyed.groupBy("source_key", "class", "block").agg(_meet(F.sort_array(F.collect_list(one))).alias("s"))
         done = Settled(folded, "folded").df
         decided.append(done.select("source_key", F.explode("s.done").alias("d")).select("source_key", "d.id", "d.take"))
         held = done.select("source_key", "s.id", "s.size", "s.f", "class")
