@@ -1,4 +1,4 @@
-"""Global order without a single task: range partitions, then a rank or successor from partition offsets."""
+"""Global order without a single task: range partitions, then a rank from partition offsets."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from .store import Settled
 def _laid_out(df: DataFrame, order: str) -> DataFrame:
     """df sorted into range partitions, written so that the partition numbers stay: part, place (from 1) and the columns of df.
 
-    The cut points are sampled and differ between runs; ranks and successors do not depend on them.
+    The cut points are sampled and differ between runs; ranks do not depend on them.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cut = Settled(df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "range")
@@ -26,14 +26,3 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     offset = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(order))
     return cut.withColumn("place", place).join(F.broadcast(offset), "part").withColumn("rank", F.col("offset") + F.col("place") - 1).drop("part", "place", "offset", order)
-
-
-def successors(df: DataFrame, order: str) -> DataFrame:
-    """df with next, the following value of a unique non-null column; the last one's is the first."""
-    cut = _laid_out(df.select(order), order)
-    heads = cut.groupBy("part").agg(F.min(order).alias("head"))
-    ring = Window.orderBy("part")  # a row for each partition
-    first = F.min("head").over(Window.partitionBy())
-    follows = heads.select("part", F.coalesce(F.lead("head").over(ring), first).alias("head"))
-    inside = F.lead(order).over(Window.partitionBy("part").orderBy(order))
-    return cut.withColumn("next", inside).join(F.broadcast(follows), "part").select(order, F.coalesce("next", "head").alias("next"))
