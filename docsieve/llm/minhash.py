@@ -32,8 +32,8 @@ COORDINATES = ROWS * BANDS
 UNIVERSE = 1 << 20
 #: Most members of a bucket, or members outside its lowest component, that are checked against all others of it.
 SMALL = 64
-#: Rounds that merge by hubs before buckets are resolved.
-HUB_ROUNDS = 3
+#: Hubs that each member is checked against before buckets are resolved.
+HUBS = 3
 
 
 class Circulant:
@@ -134,36 +134,43 @@ def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pair(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ca, cb) of different components inside buckets, each with a hub on one side."""
+    """Pairs (a, b, ca, cb) of different components inside buckets, each with a hub on one side.
+
+    Rows of a band's bucket carry all their band keys, and a pair is made in the first band that it shares only: in the others it is the same pair.
+    """
     left, right = live.alias("l"), live.where("is_hub").alias("r")
-    apart = (F.col("l.component") != F.col("r.component")) & _near_size("l.n", "r.n", percent)
+    first = F.col("l.bands").isNull() | F.col("r.bands").isNull() | (F.get(F.array_intersect("l.bands", "r.bands"), 0) == F.col("l.key"))
+    apart = (F.col("l.component") != F.col("r.component")) & _near_size("l.n", "r.n", percent) & first
     mine = F.col("l.id") < F.col("r.id")
     side = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
     return left.join(right, "key").where(apart).select(side("l.id", "r.id").alias("a"), side("r.id", "l.id").alias("b"), side("l.component", "r.component").alias("ca"), side("r.component", "l.component").alias("cb")).distinct()
 
 
-def link(buckets: DataFrame, sets: DataFrame, percent: int, small: int = SMALL, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def link(buckets: DataFrame, sets: DataFrame, bands_of: DataFrame, percent: int, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
     """(id, component) over all ids of the buckets (key, id, n): the components of all confirmed links inside buckets.
 
-    First rounds only merge: each member is checked against one hub, the first of the hubs of its buckets in an order that changes with the round.
+    The first round only merges: each member is checked against a few hubs, for each of ``hubs`` orders the first of the hubs of its buckets.
     Then every bucket that still holds several components is resolved: all pairs across components where members or members outside the
     lowest component are few, else after the dealing by rare shingles; hubs whose pairs are checked leave their bucket.
     """
     component = Settled(buckets.select("id").distinct().select("id", F.col("id").alias("component")), "component")
-    rows = Settled(buckets.select("key", "id", "n"), "buckets")
+    columns = ["key", "id", "n", "rare"]
+    rows = Settled(buckets.select("key", "id", "n", F.lit(False).alias("rare")), "buckets")
     turn, dealt = 0, False
     while True:
         now = rows.df.join(component.df, "id")
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "component")
-        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(order).alias("hub")).where("low != high").drop("high")
-        live = Settled(now.join(state, "key").select("key", "id", "n", "component", "size", "low", "hub"), "live")
+        orders = [F.min(F.struct(F.xxhash64("id", F.lit(turn * hubs + t)).alias("order"), "id", "n", "component")).alias(f"hub{t}") for t in range(hubs if turn == 0 else 1)]
+        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), *orders).where("low != high").drop("high")
+        live = Settled(now.join(state, "key"), "live")
         if live.df.isEmpty():
             break
-        if turn < hub_rounds:
-            other = (F.col("component") != F.col("hub.component")) & _near_size("n", "hub.n", percent)
-            one = live.df.where(other).groupBy("id", "component").agg(F.min("hub").alias("hub"))
-            pairs = one.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"))
-            rest = live.df.select("key", "id", "n")
+        if turn == 0:
+            other = lambda h: (F.col("component") != F.col(f"{h}.component")) & _near_size("n", f"{h}.n", percent)
+            names = [f"hub{t}" for t in range(hubs)]
+            one = live.df.groupBy("id", "component").agg(*[F.min(F.when(other(h), F.col(h))).alias(h) for h in names])
+            each = one.select("id", "component", F.explode(F.array_distinct(F.filter(F.array(*[F.struct(F.col(h)["id"].alias("id"), F.col(h)["component"].alias("component")) for h in names]), lambda h: h["id"].isNotNull()))).alias("hub"))
+            pairs = each.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"))
+            rest = live.df.select(*columns)
         else:
             outside = live.df.where("component != low").groupBy("key").agg(F.count("*").alias("outside"))
             full = live.df.join(outside, "key")
@@ -171,14 +178,16 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, small: int = SMALL,
             few = (F.col("size") <= small) | (F.col("outside") <= small)
             if not dealt and not full.where(~few).isEmpty():
                 dealt = True
-                again = Settled(full.where(few).select("key", "id", "n").unionByName(_rare(full.where(~few), sets, percent)), "buckets")
+                rare = _rare(full.where(~few), sets, percent).withColumn("rare", F.lit(True))
+                again = Settled(full.where(few).select(*columns).unionByName(rare), "buckets")
                 rows.drop()
                 rows = again
                 continue
-            share = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < (8 << (turn - hub_rounds))
-            marked = Settled(full.select("key", "id", "n", "component", F.coalesce(whole, share | (F.col("id") == F.col("hub.id"))).alias("is_hub"), few.alias("few")), "marked")
+            share = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < (8 << (turn - 1))
+            keyed = full.join(bands_of, "id").withColumn("bands", F.when(~F.col("rare"), F.col("bands")))
+            marked = Settled(keyed.select(*columns, "bands", "component", F.coalesce(whole, share | (F.col("id") == F.col("hub0.id"))).alias("is_hub"), few.alias("few")), "marked")
             pairs = _pair(marked.df, percent)
-            rest = marked.df.where("not few and not is_hub").select("key", "id", "n")
+            rest = marked.df.where("not few and not is_hub").select(*columns)
         found = Settled(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
         merged = components(found.df).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         before = (rows, component, live, found)
@@ -190,7 +199,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int, small: int = SMALL,
     return component.df
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     arrow_batches(docs.sparkSession)
     made = docs.select("doc_id", sketch(F.col("text"), words).alias("s"))
@@ -206,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: i
     if repeats(rows):
         texts = texts.dropDuplicates(["id", "text"])
     sets = Settled(texts.select("id", shingles(F.col("text"), words).alias("shingles")).where(F.size("shingles") > 0), "sets").df
-    component = link(buckets, sets, percent, small, hub_rounds)
+    component = link(buckets, sets, groups.select("id", "bands"), percent, small, hubs)
     resolved = Settled(groups.join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component")), "resolved").df
     out = rows.select("doc_id", "n", "h1", "h2").join(resolved, ["h1", "h2", "n"], "left")
     own = F.coalesce("component", "doc_id")

@@ -59,7 +59,7 @@ def test_large_buckets_are_dealt_again_without_loss(spark):
             own[0] = f"v{i}"
             rows.append((len(rows), " ".join(passage + own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(df, words=3, small=2, hub_rounds=1) == brute(rows, 3)
+    assert found(df, words=3, small=2, hubs=1) == brute(rows, 3)
 
 
 def test_signature_is_one_slice_a_shingle_and_estimates_similarity():
