@@ -68,6 +68,6 @@ def test_uploads_and_boundaries(spark, images, tmp_path):
 
 
 def test_best_face(spark):
-    boxes = spark.createDataFrame([([(10, 10, 100, 125), (400, 10, 110, 140), (0, 0, 300, 30)],)], "c array<struct<x:int,y:int,w:int,h:int>>")
+    boxes = spark.createDataFrame([([(10, 10, 100, 125), (400, 10, 105, 131), (0, 0, 300, 30)],)], "c array<struct<x:int,y:int,w:int,h:int>>")
     b = boxes.select(liveness.best_face(F.col("c"), F.lit(640)).alias("b")).first()["b"]
     assert (b["x"], b["w"]) == (10, 100)
