@@ -4,7 +4,7 @@ Lines are normalised (case, digits, white space) and hashed; each document count
 when more than ``LINE_DOCS`` documents of its host have it and these are more than one in ``LINE_SHARE`` of the host's. Such lines are
 removed, and a document is rejected when they hold more than ``DEPLETED`` percent of its words.
 
-A hot line is summed before the shuffle; the lines joined back are only those above the limits.
+Rows of one document are reduced to its distinct lines, and a hot line is summed, before the shuffle; the lines joined back are only those above the limits.
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; rows that share doc_id and text count as one
 document with one verdict; lines without words are no lines; an empty table gives no rows.
 """
@@ -92,7 +92,9 @@ def frequent(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE) -
     rows = docs.select("doc_id", F.xxhash64(F.col("source").isNull(), "source").alias("host"), text.alias("text"))
     hashed = F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.xxhash64(normalised(x))))
     sizes = rows.groupBy("host").agg(F.count("*").alias("documents"))
-    counted = rows.select("host", F.explode(hashed).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    # as in the SQL, a line counts documents (distinct ids, null is none) and a host its rows
+    each = rows.where("doc_id is not null").select("host", "doc_id", F.explode(hashed).alias("line")).distinct()
+    counted = each.groupBy("host", "line").agg(F.count("*").alias("n"))
     return counted.where(F.col("n") > least).join(sizes, "host").where(F.col("n") * share > F.col("documents")).select("host", "line")
 
 

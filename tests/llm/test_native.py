@@ -35,6 +35,15 @@ def test_common_lines_deplete(spark):
     assert [kept[i] for i in (0, 5, 6, 20, 21)] == [False, False, True, True, True]
 
 
+def test_a_repeated_document_is_one_document(spark):
+    text = "\n".join(prose(900 + j, 8) for j in range(10))
+    df = spark.createDataFrame([(1, "h", text)] * 25 + [(2, "h", prose(950, 60))], "doc_id long, source string, text string")
+    assert linefreq.frequent(df).count() == 0
+    assert {(r["doc_id"], r["kept"]) for r in linefreq.judge(df).collect()} == {(1, True), (2, True)}
+    many = spark.createDataFrame([(i, "h", text) for i in range(25)], df.schema)
+    assert linefreq.frequent(many.union(many)).count() == 10 and not linefreq.judge(many.union(many)).where("kept").count()
+
+
 def test_fingerprints(docs, repeated, empty):
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in simhash.edited(docs).collect()}
