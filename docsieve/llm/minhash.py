@@ -228,8 +228,20 @@ def repeats(rows: DataFrame) -> bool:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs less all but one document of each group of near-duplicates (five words, 0.8), all columns as they were."""
-    found = Settled(near_duplicates(docs), "found").df
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
-    return left.dropDuplicates(["doc_id"]) if repeats(found) else left
+    """The rows of docs less all but one document of each group of near-duplicates (five words, 0.8), all columns as they were.
+
+    Where a doc_id stands in several rows, its different texts are documents of their own; of rows with one doc_id and text one stays, the same in
+    each run. Rows with a null doc_id all stay.
+    """
+    if not repeats(docs):
+        found = Settled(near_duplicates(docs), "found").df
+        gone = found.where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", mark.alias("mark")))
+    found = Settled(near_duplicates(docs.select(own.alias("doc_id"), "text")), "found").df
+    gone = found.where(~F.col("kept")).select("doc_id.doc_id", "doc_id.mark").distinct().alias("g")
+    named = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), "doc_id", mark.alias("mark"))
+    left = named.join(gone, ["doc_id", "mark"], "left_anti")
+    one = left.groupBy("doc_id", "mark").agg(F.min("row").alias("row")).select("row.*")
+    return docs.where("doc_id is null").unionByName(one)

@@ -49,6 +49,17 @@ def test_repeated_and_empty(repeated, empty):
     assert minhash.one_of_each(repeated).count() == len({r["component_id"] for r in minhash.near_duplicates(repeated, words=5).collect()})
 
 
+def test_one_repeat_costs_no_other_row(spark):
+    """Null ids, an id with two texts (one of them a copy of a lower id's), and a row that stands twice."""
+    a, b, c, d = (prose(400 + k, 80) for k in range(4))
+    near = a.split()
+    near[40] = "changed"
+    rows = [(None, a), (None, a), (None, c), (1, a), (5, " ".join(near)), (5, b), (6, c), (6, c), (7, None), (8, None), (9, d), (9, d + " " + c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash.one_of_each(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, a), (None, c), (1, a), (5, b), (6, c), (7, None), (8, None), (9, d), (9, d + " " + c)], key=str)
+
+
 def test_large_buckets_are_dealt_again_without_loss(spark):
     """Families of one passage and own tails, some above the limit and some not; tiny limits force hubs and rare shingles."""
     rows = []
