@@ -1,15 +1,23 @@
-"""LM scoring: cross-entropy difference of a target and a background model.
+"""LM scoring: cross-entropy difference of a target and a background model of word bigrams.
 
-Both are byte 4-gram models of one construction (Witten-Bell interpolation down to a uniform start) over one vocabulary of 40 byte classes, so
-they are matched and bounded: at most 40 ** 4 counts each, whatever the corpus. The background counts every text of the table, the target the
-texts labelled good and not toxic; both are counted where the texts are, a sparse table a task, summed by shuffle. A document's score is
-the mean over its bytes of target loss less background loss: lower is closer to the target.
+Both models count every word and word bigram of their texts: the background of all texts of the table, the target of those labelled good and not
+toxic. They share one vocabulary, all words of the table as they are written (case, digits, punctuation and every byte). A word's
+probability after the one before is its bigram count smoothed by its word count and that by a uniform share of the vocabulary (Dirichlet weights
+``PRIOR``); the end of a text counts as a word, so each context's probabilities sum to 1. A document's score is the mean over its words of target
+loss less background loss, in bits: lower is closer to the target.
 
-Defined cases: null texts and texts under 4 bytes have no scored byte, losses and score 0; equal texts get equal scores; an empty table gives no rows; without target rows both models are the background.
+The counts are a written table that grows with the corpus. Texts are dealt into blocks by id; each block's distinct n-grams (64-bit keys) go with their counts to
+the bucket of their hash, are summed there over all blocks, and the sums go back to the blocks that asked. Blocks and buckets grow in number and
+not in size, and only three sums reach the driver.
+
+Defined cases: null and wordless texts have no scored word, losses and score 0; equal texts get equal scores; an empty table gives no rows; without target rows both models are the background.
+
+The byte-class functions (``codes``, ``log_model``, ``_count``) are a plain 4-gram model that no query uses.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import arrow_batches
+from .store import Settled, arrow_batches
 
+#: Bytes of text in a block, and in the share of the corpus whose n-grams meet in a bucket.
+BLOCK = 8 << 20
+#: Weight of the lower order, in counts.
+PRIOR = 2.0
+_END, _START = np.uint64(0x9E6C63D0876A9A35), np.uint64(0x3C79AC492BA7B653)
 CLASSES = 40
 ORDER = 4
 SIZE = CLASSES**ORDER
@@ -80,39 +93,125 @@ def log_model(count: np.ndarray) -> np.ndarray:
     return np.log2(p).reshape(-1).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log tables of the target and the background model; all rows of docs are counted."""
-    arrow_batches(docs.sparkSession)
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(1))) == 0).alias("t")).where("q and t").select("doc_id", F.lit(True).alias("target"))
-    # the texts meet their labels by one shuffle at any size: the labels grow with the corpus, so they are not broadcast
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    sums = marked.mapInArrow(_count, "model int, code int, n long").groupBy("model", "code").agg(F.sum("n").alias("n")).toPandas()
-    count = np.zeros((2, SIZE))
-    count[sums["model"].to_numpy(), sums["code"].to_numpy()] = sums["n"].to_numpy()
-    return log_model(count[1] if count[1].any() else count[0]), log_model(count[0])
-
-
-def score(target: np.ndarray, background: np.ndarray, text: Column) -> Column:
-    """struct<n, target, background>: scored bytes and mean losses in bits."""
-
-    def scored(texts: pa.Array) -> pa.Array:
-        data, offsets = flat.flat(texts)
-        n = np.zeros(len(offsets) - 1, np.int64)
-        loss = np.zeros((2, len(n)))
-        for low, high in flat.spans(offsets, 1 << 20):
-            at = offsets[low : high + 1]
-            code, a, b = codes(data[at[0] : at[-1]], at - at[0])
-            n[low:high] = b - a
-            for k, table in enumerate((target, background)):
-                logs = table[code]
-                loss[k, low:high] = [-logs[i:j].sum(dtype=np.float64) / max(j - i, 1) for i, j in zip(a.tolist(), b.tolist())]
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(loss[0]), pa.array(loss[1])], ["n", "target", "background"])
-
-    return F.arrow_udf(scored, "struct<n:long,target:double,background:double>")(text)
+def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each event's bigram, of the word before and of the word, and each row's first event; a row's last event is its end.
+
+    Keys of words are even, those of bigrams odd. Rows without words have no events.
+    """
+    data, offsets = flat.flat(texts)
+    starts, ends, first = flat.words(data, offsets)
+    h = flat.hashes(data, starts, ends)
+    size = np.diff(first)
+    size = size + (size > 0)
+    at = np.concatenate([[0], np.cumsum(size)])
+    word = np.full(at[-1], _END, np.uint64)
+    last = at[1:][size > 0] - 1
+    inside = np.ones(at[-1], bool)
+    inside[last] = False
+    word[inside] = h
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[at[:-1][size > 0]] = _START
+    pair = flat.mix(before * np.uint64(0xD1342543DE82EF95) + word)
+    even = ~np.uint64(1)
+    return pair | np.uint64(1), before & even, word & even, at
+
+
+def _keys(pair: np.ndarray, before: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams' occurrences: bigrams, words with ends, and one start for each text with words; and each one's row."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    some = np.flatnonzero(np.diff(at) > 0)
+    start = np.full(len(some), _START & ~np.uint64(1), np.uint64)
+    return np.concatenate([pair, word, start]), np.concatenate([row, row, some])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of the integers, plane by plane."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the sorted keys by bucket, the buckets, and where each begins."""
+    bucket = (flat.mix(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, begins = np.unique(bucket[order], return_index=True)
+    return order, found, np.append(begins, len(keys))
+
+
+def _asked(buckets: int):
+    """(bucket, block, keys, n, t) of a block: its distinct n-grams, their occurrences, and those in target texts."""
+
+    def made(key: tuple, texts: pa.Table, good: pa.Table) -> pa.Table:
+        pair, before, word, at = events(texts["text"])
+        every, row = _keys(pair, before, word, at)
+        chosen = set(good["doc_id"].to_pylist())
+        target = np.array([i is not None and i in chosen for i in texts["doc_id"].to_pylist()], bool)
+        keys, place = np.unique(every, return_inverse=True)
+        n = np.bincount(place, minlength=len(keys)).astype(np.uint64)
+        t = np.bincount(place, weights=target[row], minlength=len(keys)).astype(np.uint64)
+        order, found, begins = _dealt(keys, buckets)
+        cut = [order[i:j] for i, j in zip(begins[:-1], begins[1:])]
+        columns = [pa.array(found, pa.int64()), pa.array([key[0].as_py()] * len(found), pa.int64())]
+        # sorted keys go as differences
+        columns.append(pa.array([_pack(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()))
+        columns += [pa.array([_pack(x[c]) for c in cut], pa.binary()) for x in (n, t)]
+        return pa.Table.from_arrays(columns, ["bucket", "block", "keys", "n", "t"])
+
+    return made
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """(bucket, block, n, t) of a bucket: the corpus counts of what each block asked; and its words, occurrences and target occurrences with block null."""
+    keys = [np.cumsum(_unpack(b), dtype=np.uint64) for b in rows["keys"].to_pylist()]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = [np.bincount(place, weights=np.concatenate([_unpack(b) for b in rows[c].to_pylist()]), minlength=len(every)).astype(np.int64) for c in ("n", "t")]
+    ends = np.cumsum([0] + [len(k) for k in keys])
+    back = [[_pack(x[place[i:j]]) for i, j in zip(ends[:-1], ends[1:])] for x in total]
+    bucket, none = rows["bucket"][0].as_py(), [None]
+    counted = (every & np.uint64(1) == 0) & (every != _START & ~np.uint64(1))
+    sums = [int(counted.sum()), *(int(x[counted].sum()) for x in total)]
+    parts = [pa.array([bucket] * (len(keys) + 1), pa.int64()), pa.array(rows["block"].to_pylist() + none, pa.int64())]
+    parts += [pa.array(b + none, pa.binary()) for b in back]
+    parts += [pa.array([None] * len(keys) + [x], pa.int64()) for x in sums]
+    return pa.Table.from_arrays(parts, ["bucket", "block", "n", "t", "words", "all_n", "all_t"])
+
+
+def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """Bits of each event, from the counts of its bigram, of the word before and of the word."""
+    lower = (word + PRIOR / vocabulary) / (total + PRIOR)
+    return -np.log2((pair + PRIOR * lower) / (before + PRIOR))
+
+
+def _scored(buckets: int, vocabulary: int, all_n: int, all_t: int):
+    def made(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        pair, before, word, at = events(texts["text"])
+        keys = np.unique(_keys(pair, before, word, at)[0])
+        order, found, begins = _dealt(keys, buckets)
+        count = np.zeros((2, len(keys)))
+        for r in counts.to_pylist():
+            k = int(np.searchsorted(found, r["bucket"]))
+            mine = order[begins[k] : begins[k + 1]]
+            count[0, mine], count[1, mine] = _unpack(r["n"]), _unpack(r["t"])
+        where = [np.searchsorted(keys, x) for x in (pair, before, word)]
+        size = np.diff(at)
+        first = [flat.row_sums(losses(*(count[k][w] for w in where), total, vocabulary), at) / np.maximum(size, 1) for k, total in ((1 if all_t else 0, all_t or all_n), (0, all_n))]
+        return pa.Table.from_arrays([texts["doc_id"], pa.array(size), pa.array(first[0]), pa.array(first[1]), pa.array(first[0] - first[1])], ["doc_id", "n_scored", "loss_target", "loss_background", "score"])
+
+    return made
 
 
 def differences(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_scored, loss_target, loss_background, score of every row of docs."""
-    target, background = train(docs, labels)
-    out = docs.select("doc_id", score(target, background, F.col("text")).alias("s"))
-    return out.select("doc_id", F.col("s.n").alias("n_scored"), F.col("s.target").alias("loss_target"), F.col("s.background").alias("loss_background"), (F.col("s.target") - F.col("s.background")).alias("score"))
+    """doc_id, n_scored (words and the end), loss_target, loss_background, score of every row of docs."""
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(1))) == 0).alias("t")).where("q and t").select("doc_id")
+    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
+    block = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(parts)).alias("block")
+    texts, marks = docs.select(block, "doc_id", "text"), good.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("block"), "doc_id")
+    asked = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_asked(parts), "bucket long, block long, keys binary, n binary, t binary")
+    table = Settled(asked.groupBy("bucket").applyInArrow(_summed, "bucket long, block long, n binary, t binary, words long, all_n long, all_t long"), "grams").df
+    vocabulary, all_n, all_t = (int(x or 0) for x in table.where("block is null").agg(F.sum("words"), F.sum("all_n"), F.sum("all_t")).first())
+    counts = table.where("block is not null").select("block", "bucket", "n", "t")
+    return texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scored(parts, max(vocabulary, 1), all_n, all_t), "doc_id long, n_scored long, loss_target double, loss_background double, score double")

@@ -78,3 +78,30 @@ def test_counts_follow_every_text(docs, labels):
     sums = docs.select("text", docs["doc_id"].isNull().alias("t")).repartition(3).mapInArrow(xent._count, "model int, code int, n long").groupBy("model").sum("n").collect()
     want = sum(max(0, len((r["text"] or "").encode()) - 3) for r in docs.select("text").collect())
     assert {r["model"]: r["sum(n)"] for r in sums} == {0: want}
+
+
+def test_word_models_as_brute_force(spark, monkeypatch):
+    """Losses as counted by plain Python over several blocks; texts that differ in case, digits, punctuation or script only are apart."""
+    import collections
+    import math
+
+    monkeypatch.setattr(xent, "BLOCK", 40)
+    texts = ["Pay 12 now!", "pay 34 now?", "\u043c\u0438\u0440 \u0434\u043e\u043c", "\u0434\u043e\u043c \u043c\u0438\u0440", "a b a b a", "a b", None, " "] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, 1, 0) for i in (0, 2, 5)] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    runs = [["<s>", *(t or "").split(), "</s>"] if (t or "").split() else [] for t in texts]
+    models = []
+    for some in ([runs[i] for i in (0, 2, 5)], runs):
+        models.append((collections.Counter(p for r in some for p in zip(r, r[1:])), collections.Counter(w for r in some for w in r)))
+    vocabulary = len({w for r in runs for w in r} - {"<s>"})
+    got = {r["doc_id"]: r for r in xent.differences(df, marks).collect()}
+    assert len(got) == len(texts)
+    for i, r in enumerate(runs):
+        want = []
+        for pairs, words in models:
+            total = sum(n for w, n in words.items() if w != "<s>")
+            lower = lambda w: (words[w] + xent.PRIOR / vocabulary) / (total + xent.PRIOR)
+            bits = [-math.log2((pairs[a, b] + xent.PRIOR * lower(b)) / (words[a] + xent.PRIOR)) for a, b in zip(r, r[1:])]
+            want.append(sum(bits) / max(len(bits), 1))
+        assert np.allclose([got[i]["loss_target"], got[i]["loss_background"]], want) and got[i]["n_scored"] == max(len(r) - 1, 0)
+    assert got[0]["score"] < got[1]["score"] and got[2]["score"] < got[3]["score"]
