@@ -3,11 +3,15 @@
 Two permutations of a fixed universe make all coordinates of a signature: the first places a shingle, the second, shifted
 circularly by k places, gives its value for coordinate k. The K values of a shingle are thus one contiguous slice of the second permutation.
 
-Identical shingle sets share one representative. Representatives that agree in a whole band meet in its bucket, and every candidate is
-confirmed on the full sets (64-bit hashes of all shingles). A bucket is never paired with itself: its members are first checked against hubs, and
-confirmed links merge components; a bucket with members of one component is done. What is left are pairs across components: they are checked where one
-side is few (at most SMALL pairs a row); other buckets are dealt out again by their rarest shingles (the prefix that two sets of the wanted similarity
-must share), so a passage that many documents share brings no pairs. No bucket is capped.
+Identical shingle sets share one representative. Representatives that agree in a whole band meet in its bucket, and every link is
+confirmed on the full sets (64-bit hashes of all shingles). A bucket is never paired with itself:
+
+1. Each member is checked against one hub, the member of its buckets with most meetings. In a family of copies that is the text nearest to all
+   others, and most members link to it: one check a member merges them, however large the family.
+2. Only buckets that still hold several components go on. A member with so many shingles of its own (found in no other such member) that no partner
+   could reach the similarity is left out, which is proof and no guess: two sets share at most what either shares with anybody.
+3. Members outside the component of their bucket's hub meet the others of another component, in the lowest bucket that a pair shares; sizes, the shared shingles of
+   both, and the low bits of all coordinates (within DEVIATIONS of the wanted similarity) are part of the join's condition. No bucket is capped.
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and kept; fewer words than a shingle make
 one shingle; equal texts are always linked; rows that repeat a doc_id each give a row of the result, with the same component when their sets
@@ -23,17 +27,16 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .components import components
-from .store import Settled, arrow_batches
+from .store import Settled, arrow_batches, small
 
-#: BANDS bands of ROWS coordinates: two sets of similarity 0.8 meet in no band with a chance of 3e-6.
-ROWS = 6
-BANDS = 42
-COORDINATES = ROWS * BANDS
+#: BANDS bands of ROWS coordinates: two sets of similarity 0.8 meet in no band with a chance of 1e-5.
+ROWS = 7
+BANDS = 48
+#: All coordinates; the low bit of each tells how like two sets are, with a standard deviation of 0.02.
+COORDINATES = 1024
 UNIVERSE = 1 << 20
-#: Most members of a bucket, or members outside its lowest component, that are checked against all others of it.
-SMALL = 64
-#: Hubs that each member is checked against before buckets are resolved.
-HUBS = 3
+#: Standard deviations below the wanted similarity at which two members are no longer checked (a chance of 3e-6 to miss a pair right at it).
+DEVIATIONS = 4.5
 
 
 class Circulant:
@@ -53,14 +56,19 @@ class Circulant:
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a (sets x COORDINATES) array."""
-    x = signature.astype(np.uint64).reshape(len(signature), BANDS, ROWS)
+    """One 64-bit key for each band of a (sets x COORDINATES) array, from its first coordinates."""
+    x = signature[:, : BANDS * ROWS].astype(np.uint64).reshape(len(signature), BANDS, ROWS)
     key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), 1))
     for j in range(ROWS):
         key = flat.mix(key * np.uint64(0xD1342543DE82EF95) + x[:, :, j])
     return key
 
 
+def low_bits(signature: np.ndarray) -> np.ndarray:
+    """The low bits of all coordinates, 64 in a word."""
+    return np.packbits((signature & 1).astype(np.uint8), axis=1).view(np.uint64)
+
+
 _circulant: list[Circulant] = []
 
 
@@ -68,27 +76,31 @@ def _sketch_batch(texts: pa.Array, words: int) -> pa.StructArray:
     if not _circulant:
         _circulant.append(Circulant())
     data, offsets = flat.flat(texts)
-    n, first, second, keys = [], [], [], []
+    n, first, second, keys, signs = [], [], [], [], []
     for low, high in flat.spans(offsets, 1 << 18):
         at = offsets[low : high + 1]
         sets = flat.shingle_sets(data[at[0] : at[-1]], at - at[0], words)
         n += [len(s) for s in sets]
         first += [flat.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets]
         second += [flat.mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64) for s in sets]
-        keys.append(bands(np.stack([_circulant[0].signature(s) for s in sets])))
-    key = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.uint64)
-    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(key.ravel().view(np.int64)))
+        signature = np.stack([_circulant[0].signature(s) for s in sets])
+        keys.append(bands(signature))
+        signs.append(low_bits(signature))
+    def listed(parts: list[np.ndarray], width: int) -> pa.ListArray:
+        values = np.concatenate(parts) if parts else np.zeros((0, width), np.uint64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * width), pa.array(values.ravel().view(np.int64)))
+
     longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-    return pa.StructArray.from_arrays([longs(n), longs(first), longs(second), listed], ["n", "h1", "h2", "bands"])
+    return pa.StructArray.from_arrays([longs(n), longs(first), longs(second), listed(keys, BANDS), listed(signs, COORDINATES // 64)], ["n", "h1", "h2", "bands", "signs"])
 
 
 def sketch(text: Column, words: int) -> Column:
-    """struct<n, h1, h2, bands>: size of the shingle set, 128 bits that name it, band keys."""
+    """struct<n, h1, h2, bands, signs>: size of the shingle set, 128 bits that name it, band keys, low bits of the signature."""
 
     def made(texts: pa.Array) -> pa.Array:
         return _sketch_batch(texts, words)
 
-    return F.arrow_udf(made, "struct<n:long,h1:long,h2:long,bands:array<long>>")(text)
+    return F.arrow_udf(made, "struct<n:long,h1:long,h2:long,bands:array<long>,signs:array<long>>")(text)
 
 
 def shingles(text: Column, words: int) -> Column:
@@ -114,112 +126,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(*pairs.columns)
 
 
-def _near_size(m: str, n: str, percent: int) -> Column:
+def _near_size(m: str | Column, n: str | Column, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
-def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets of rare shingles for the members of large buckets: each member's prefix by frequency inside its bucket.
-
-    Sets A and B of the wanted similarity differ in at most |A| - ceil(percent * |A| / 100) shingles of A, so their prefixes of one more
-    shingle, in any common order, share one.
-    """
-    each = rows.select("key", "id", "n").join(sets, "id").select("key", "id", "n", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("key", "shingle").agg(F.count("*").alias("often")).where("often > 1")
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle")))
-    ranked = each.join(often, ["key", "shingle"], "left").groupBy("key", "id", "n").agg(order.alias("o"))
-    length = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")
-    prefix = ranked.select("key", "id", "n", F.explode(F.slice("o", F.lit(1), length)).alias("s")).where("s.often > 1")
-    return prefix.select(F.xxhash64("key", "s.shingle").alias("key"), "id", "n")
-
-
-def _pair(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ca, cb) of different components inside buckets, each with a hub on one side.
-
-    Rows of a band's bucket carry all their band keys, and a pair is made in the first band that it shares only: in the others it is the same pair.
-    """
-    left, right = live.alias("l"), live.where("is_hub").alias("r")
-    first = F.col("l.bands").isNull() | F.col("r.bands").isNull() | (F.get(F.array_intersect("l.bands", "r.bands"), 0) == F.col("l.key"))
-    apart = (F.col("l.component") != F.col("r.component")) & _near_size("l.n", "r.n", percent) & first
-    mine = F.col("l.id") < F.col("r.id")
-    side = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
-    return left.join(right, "key").where(apart).select(side("l.id", "r.id").alias("a"), side("r.id", "l.id").alias("b"), side("l.component", "r.component").alias("ca"), side("r.component", "l.component").alias("cb")).distinct()
-
-
-def link(buckets: DataFrame, sets: DataFrame, bands_of: DataFrame, percent: int, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
-    """(id, component) over all ids of the buckets (key, id, n): the components of all confirmed links inside buckets.
-
-    The first round only merges: each member is checked against a few hubs, for each of ``hubs`` orders the first of the hubs of its buckets.
-    Then every bucket that still holds several components is resolved: all pairs across components where members or members outside the
-    lowest component are few, else after the dealing by rare shingles; hubs whose pairs are checked leave their bucket.
-    """
-    component = Settled(buckets.select("id").distinct().select("id", F.col("id").alias("component")), "component")
-    columns = ["key", "id", "n", "rare"]
-    rows = Settled(buckets.select("key", "id", "n", F.lit(False).alias("rare")), "buckets")
-    turn, dealt = 0, False
-    while True:
-        now = rows.df.join(component.df, "id")
-        orders = [F.min(F.struct(F.xxhash64("id", F.lit(turn * hubs + t)).alias("order"), "id", "n", "component")).alias(f"hub{t}") for t in range(hubs if turn == 0 else 1)]
-        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), *orders).where("low != high").drop("high")
-        live = Settled(now.join(state, "key"), "live")
-        if live.df.isEmpty():
-            break
-        if turn == 0:
-            other = lambda h: (F.col("component") != F.col(f"{h}.component")) & _near_size("n", f"{h}.n", percent)
-            names = [f"hub{t}" for t in range(hubs)]
-            one = live.df.groupBy("id", "component").agg(*[F.min(F.when(other(h), F.col(h))).alias(h) for h in names])
-            each = one.select("id", "component", F.explode(F.array_distinct(F.filter(F.array(*[F.struct(F.col(h)["id"].alias("id"), F.col(h)["component"].alias("component")) for h in names]), lambda h: h["id"].isNotNull()))).alias("hub"))
-            pairs = each.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"))
-            rest = live.df.select(*columns)
-        else:
-            outside = live.df.where("component != low").groupBy("key").agg(F.count("*").alias("outside"))
-            full = live.df.join(outside, "key")
-            whole = F.when(F.col("size") <= small, F.lit(True)).when(F.col("outside") <= small, F.col("component") != F.col("low"))
-            few = (F.col("size") <= small) | (F.col("outside") <= small)
-            if not dealt and not full.where(~few).isEmpty():
-                dealt = True
-                rare = _rare(full.where(~few), sets, percent).withColumn("rare", F.lit(True))
-                again = Settled(full.where(few).select(*columns).unionByName(rare), "buckets")
-                rows.drop()
-                rows = again
-                continue
-            share = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("size")) < (8 << (turn - 1))
-            keyed = full.join(bands_of, "id").withColumn("bands", F.when(~F.col("rare"), F.col("bands")))
-            marked = Settled(keyed.select(*columns, "bands", "component", F.coalesce(whole, share | (F.col("id") == F.col("hub0.id"))).alias("is_hub"), few.alias("few")), "marked")
-            pairs = _pair(marked.df, percent)
-            rest = marked.df.where("not few and not is_hub").select(*columns)
-        found = Settled(_verified(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
-        merged = components(found.df).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        before = (rows, component, live, found)
-        rows = Settled(rest, "buckets")
-        component = Settled(component.df.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component")), "component")
-        for old in before:
-            old.drop()
-        turn += 1
-    return component.df
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
+def _components(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """ids with ``component``: the least id that each reaches over the links (a, b), its own without links."""
+    return ids.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _to_hubs(buckets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id, n, central): the rows of the buckets with their members' number of meetings; and the pairs (a, b) of each member and its hub."""
+    central = buckets.groupBy("id").agg(F.sum("size").alias("central"))
+    rows = buckets.select("key", "id", "n").join(central, "id")
+    hubs = rows.groupBy("key").agg(F.max(F.struct("central", "id", "n")).alias("hub"))
+    near = (F.col("id") != F.col("hub.id")) & _near_size(F.col("n"), F.col("hub.n"), percent)
+    return rows, rows.join(hubs, "key").where(near).groupBy("id").agg(F.max("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(key, id, n, component, outside): the rows of buckets with several components; outside: not of the component of the bucket's hub."""
+    state = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("central", "id", "component")).alias("hub"))
+    several = state.where("low != high").select("key", F.col("hub.component").alias("base"))
+    return rows.join(several, "key").select("key", "id", "n", "component", (F.col("component") != F.col("base")).alias("outside"))
+
+
+def _linkable(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The open rows with ``shared``, the shingles of a member that others of them have too, where these suffice for a link."""
+    each = sets.join(live.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    shared = live.join(alone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return shared.where(100 * F.col("shared") >= percent * F.col("n"))
+
+
+def _across(able: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may be links, each made in the lowest bucket that it shares."""
+    meetings = able.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    rows = able.join(meetings, "id").join(signs, "id")
+    l, r = rows.where("outside").alias("l"), rows.alias("r")
+    apart = (1 - percent / 100) / 2
+    most = int(COORDINATES * (apart + DEVIATIONS * (apart * (1 - apart) / COORDINATES) ** 0.5))
+    differ = sum((F.bit_count(F.get("l.signs", F.lit(i)).bitwiseXOR(F.get("r.signs", F.lit(i)))) for i in range(1, COORDINATES // 64)), F.bit_count(F.get("l.signs", F.lit(0)).bitwiseXOR(F.get("r.signs", F.lit(0)))))
+    once = ~F.col("r.outside") | (F.col("l.id") < F.col("r.id"))
+    enough = (100 + percent) * F.least("l.shared", "r.shared") >= percent * (F.col("l.n") + F.col("r.n"))
+    lowest = F.get(F.array_intersect("l.keys", "r.keys"), F.lit(0)) == F.col("l.key")
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & once & _near_size(F.col("l.n"), F.col("r.n"), percent) & enough & (differ <= most) & lowest
+    return l.join(r, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.component").alias("ca"), F.col("r.component").alias("cb"))
+
+
+def link(buckets: DataFrame, sets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(id, component) over all ids of the buckets (key, id, n, size): the components of all confirmed links inside buckets."""
+    rows, pairs = _to_hubs(buckets, percent)
+    found = Settled(_verified(pairs, sets, percent), "links")
+    component = Settled(_components(buckets.select("id").distinct(), found.df), "component")
+    found.drop()
+    live = Settled(_open(rows.join(component.df, "id")), "open")
+    able = Settled(_linkable(live.df, sets, percent), "linkable")
+    found = Settled(_verified(_across(able.df, signs, percent), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    merged = _components(component.df.select(F.col("component").alias("id")).distinct(), found.df).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    whole = Settled(component.df.join(merged, "component").select("id", F.col("whole").alias("component")), "component")
+    for old in (component, live, able, found):
+        old.drop()
+    return whole.df
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     arrow_batches(docs.sparkSession)
     made = docs.select("doc_id", sketch(F.col("text"), words).alias("s"))
-    rows = Settled(made.select("doc_id", "s.n", "s.h1", "s.h2", F.when(F.col("s.n") > 0, F.col("s.bands")).alias("bands")), "sketch").df
-    full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    sketched = Settled(made.select("doc_id", "s.n", "s.h1", "s.h2", F.when(F.col("s.n") > 0, F.col("s.bands")).alias("bands"), F.when(F.col("s.n") > 0, F.col("s.signs")).alias("signs")), "sketch")
+    rows = Settled(sketched.df.select("doc_id", "n", "h1", "h2"), "rows")
+    full = sketched.df.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # one representative for each distinct set; equal sets have equal bands
-    groups = Settled(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "groups").df
-    banded = groups.select(F.explode("bands").alias("key"), "id", "n")
-    shared = Settled(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "keys")
-    buckets = Settled(banded.join(shared.df, "key"), "banded").df
+    groups = Settled(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signs").alias("signs")), "groups")
+    sketched.drop()
+    keys = groups.df.select(F.explode("bands").alias("key"), "id", "n")
+    shared = Settled(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+    buckets = Settled(keys.join(small(shared.df), "key"), "buckets")
     shared.drop()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(buckets.select("id").distinct(), "id", "left_semi")
-    if repeats(rows):
+    members = Settled(buckets.df.select("id").distinct(), "members")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(members.df), "id", "left_semi")
+    if repeats(rows.df):
         texts = texts.dropDuplicates(["id", "text"])
-    sets = Settled(texts.select("id", shingles(F.col("text"), words).alias("shingles")).where(F.size("shingles") > 0), "sets").df
-    component = link(buckets, sets, groups.select("id", "bands"), percent, small, hubs)
-    resolved = Settled(groups.join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component")), "resolved").df
-    out = rows.select("doc_id", "n", "h1", "h2").join(resolved, ["h1", "h2", "n"], "left")
+    sets = Settled(texts.select("id", shingles(F.col("text"), words).alias("shingles")).where(F.size("shingles") > 0), "sets")
+    component = link(buckets.df, sets.df, groups.df.select("id", "signs"), percent)
+    resolved = groups.df.join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
+    out = rows.df.join(resolved, ["h1", "h2", "n"], "left")
     own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    found = Settled(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")), "found")
+    for old in (rows, groups, buckets, members, sets):
+        old.drop()
+    return found.df
 
 
 def repeats(rows: DataFrame) -> bool:
@@ -234,12 +231,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     each run. Rows with a null doc_id all stay.
     """
     if not repeats(docs):
-        found = Settled(near_duplicates(docs), "found").df
-        gone = found.where(~F.col("kept")).select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+        gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+        return docs.join(small(gone), "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", mark.alias("mark")))
-    found = Settled(near_duplicates(docs.select(own.alias("doc_id"), "text")), "found").df
+    found = near_duplicates(docs.select(own.alias("doc_id"), "text"))
     gone = found.where(~F.col("kept")).select("doc_id.doc_id", "doc_id.mark").distinct().alias("g")
     named = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), "doc_id", mark.alias("mark"))
     left = named.join(gone, ["doc_id", "mark"], "left_anti")

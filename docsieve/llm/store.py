@@ -6,10 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
+#: Most rows (of ids and numbers) that are broadcast; a larger table is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a new local folder kept in the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docsieve-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -43,5 +48,10 @@ class Settled:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, marked for broadcast if it has at most ``most`` rows; beyond that it is shuffled like any other."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     return Settled(df, name).df
