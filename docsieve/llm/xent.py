@@ -4,101 +4,44 @@ Both models count every word and word bigram of their texts: the background of a
 toxic. They share one vocabulary, all words of the table as they are written (case, digits, punctuation and every byte). A word's
 probability after the one before is its bigram count smoothed by its word count and that by a uniform share of the vocabulary (Dirichlet weights
 ``PRIOR``); the end of a text counts as a word, so each context's probabilities sum to 1. A document's score is the mean over its words of target
-loss less background loss, in bits: lower is closer to the target.
+loss less background loss, in bits: lower is closer to the target. Both models have counted the documents that they score where these are theirs;
+``loss_rest`` is the background's loss without the document's own counts: what the rest of the corpus knows of it.
 
-The counts are a written table that grows with the corpus. Texts are dealt into blocks by id; each block's distinct n-grams (64-bit keys) go with their counts to
-the bucket of their hash, are summed there over all blocks, and the sums go back to the blocks that asked. Blocks and buckets grow in number and
-not in size, and only three sums reach the driver.
+The counts are a written table that grows with the corpus. Texts are packed into blocks by a pass over the scan (no shuffle); each block's distinct
+n-grams (hashes) go with their counts to the bucket of their hash, are summed there over all blocks, and the sums go back to the blocks that
+asked. Blocks and buckets grow in number and not in size, and only three sums reach the driver.
 
 Defined cases: null and wordless texts have no scored word, losses and score 0; equal texts get equal scores; an empty table gives no rows; without target rows both models are the background.
-
-The byte-class functions (``codes``, ``log_model``, ``_count``) are a plain 4-gram model that no query uses.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import Settled, arrow_batches
+from .store import Settled, arrow_batches, small
 
 #: Bytes of text in a block, and in the share of the corpus whose n-grams meet in a bucket.
 BLOCK = 8 << 20
 #: Weight of the lower order, in counts.
 PRIOR = 2.0
 _END, _START = np.uint64(0x9E6C63D0876A9A35), np.uint64(0x3C79AC492BA7B653)
-CLASSES = 40
-ORDER = 4
-SIZE = CLASSES**ORDER
-#: Byte classes: letters without case, white space, digits, stops, symbols, other ASCII, and eight classes of bytes above 127.
-SYMBOL = np.full(256, 31, np.int32)
-for _i in range(26):
-    SYMBOL[65 + _i] = SYMBOL[97 + _i] = _i
-SYMBOL[[9, 10, 11, 12, 13, 32]] = 26
-SYMBOL[48:58] = 27
-SYMBOL[46] = 28
-SYMBOL[44] = 29
-SYMBOL[list(b"#*$%&|<>")] = 30
-SYMBOL[128:] = 32 + np.arange(128) % 8
-
-
-def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """4-gram code at each place, and each row's range of places."""
-    s = SYMBOL[data]
-    n = max(0, len(s) - ORDER + 1)
-    code = np.zeros(n, np.int32)
-    for j in range(ORDER):
-        code = code * CLASSES + s[j : j + n]
-    return code, np.minimum(offsets[:-1], n), np.maximum(np.minimum(offsets[1:] - ORDER + 1, n), np.minimum(offsets[:-1], n))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        total = np.zeros((2, SIZE), np.int64) if total is None else total
-        data, offsets = flat.flat(batch.column(0))
-        target = np.asarray(batch.column(1).to_pylist(), bool)
-        for low, high in flat.spans(offsets, 1 << 20):
-            at = offsets[low : high + 1]
-            code, a, b = codes(data[at[0] : at[-1]], at - at[0])
-            mark = np.zeros(len(code) + 1, np.int64)  # 0 outside texts, 1 inside, 2 inside a target text
-            weight = np.where(target[low:high], 2, 1)
-            np.add.at(mark, a, np.where(b > a, weight, 0))
-            np.add.at(mark, b, -np.where(b > a, weight, 0))
-            mark = np.cumsum(mark)[:-1]
-            for k in (0, 1):
-                total[k] += np.bincount(code[mark > k], minlength=SIZE)
-    if total is not None:
-        for k in (0, 1):
-            some = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[k][some])], ["model", "code", "n"])
-
-
-def log_model(count: np.ndarray) -> np.ndarray:
-    """log2 probability of a 4-gram's last class given the three before, Witten-Bell smoothed."""
-    p = np.full(CLASSES, 1.0 / CLASSES)
-    full = count.reshape((CLASSES,) * ORDER).astype(np.float64)
-    for order in range(1, ORDER + 1):
-        c = full.sum(axis=tuple(range(ORDER - order)))
-        n, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        p = np.where(n > 0, (c + kinds * p) / np.maximum(n + kinds, 1), p)
-    return np.log2(p).reshape(-1).astype(np.float32)
-
-
-def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bits of a key that travel; with its bucket they name an n-gram.
+_SENT = np.uint64((1 << 48) - 1)
+
+
+def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each event's bigram, of the word before and of the word, and each row's first event; a row's last event is its end.
 
     Keys of words are even, those of bigrams odd. Rows without words have no events.
     """
-    data, offsets = flat.flat(texts)
     starts, ends, first = flat.words(data, offsets)
     h = flat.hashes(data, starts, ends)
     size = np.diff(first)
@@ -135,31 +78,61 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the sorted keys by bucket, the buckets, and where each begins."""
+    """The order of the keys by bucket and sent bits, the buckets, and where each begins."""
     bucket = (flat.mix(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((keys & _SENT, bucket))
     found, begins = np.unique(bucket[order], return_index=True)
     return order, found, np.append(begins, len(keys))
 
 
-def _asked(buckets: int):
-    """(bucket, block, keys, n, t) of a block: its distinct n-grams, their occurrences, and those in target texts."""
+def _packed(ids: list, target: list, texts: list[bytes]) -> pa.RecordBatch:
+    ends = np.cumsum([len(t) for t in texts])
+    columns = [[uuid.uuid4().int & (1 << 63) - 1], [ids], [target], [_pack(np.diff(ends, prepend=0))], [zlib.compress(b"".join(texts), 1)]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.list_(pa.bool_())), *(pa.array(c, pa.binary()) for c in columns[3:])], ["block", "ids", "target", "sizes", "texts"])
 
-    def made(key: tuple, texts: pa.Table, good: pa.Table) -> pa.Table:
-        pair, before, word, at = events(texts["text"])
-        every, row = _keys(pair, before, word, at)
-        chosen = set(good["doc_id"].to_pylist())
-        target = np.array([i is not None and i in chosen for i in texts["doc_id"].to_pylist()], bool)
-        keys, place = np.unique(every, return_inverse=True)
-        n = np.bincount(place, minlength=len(keys)).astype(np.uint64)
-        t = np.bincount(place, weights=target[row], minlength=len(keys)).astype(np.uint64)
-        order, found, begins = _dealt(keys, buckets)
-        cut = [order[i:j] for i, j in zip(begins[:-1], begins[1:])]
-        columns = [pa.array(found, pa.int64()), pa.array([key[0].as_py()] * len(found), pa.int64())]
-        # sorted keys go as differences
-        columns.append(pa.array([_pack(np.diff(keys[c], prepend=np.uint64(0))) for c in cut], pa.binary()))
-        columns += [pa.array([_pack(x[c]) for c in cut], pa.binary()) for x in (n, t)]
-        return pa.Table.from_arrays(columns, ["bucket", "block", "keys", "n", "t"])
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ids, target, sizes, texts): the rows (doc_id, text, target) in blocks of about BLOCK bytes."""
+    ids: list = []
+    target: list = []
+    texts: list[bytes] = []
+    held = 0
+    for batch in batches:
+        names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        data, offsets = flat.flat(batch.column(1))
+        raw = data.tobytes()
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if texts and held + b - a > BLOCK:
+                yield _packed(ids, target, texts)
+                ids, target, texts, held = [], [], [], 0
+            ids.append(names[i])
+            target.append(marks[i])
+            texts.append(raw[a:b])
+            held += b - a
+    if texts:
+        yield _packed(ids, target, texts)
+
+
+def _opened(sizes: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a block's texts."""
+    return np.frombuffer(zlib.decompress(texts), np.uint8), np.concatenate([[0], np.cumsum(_unpack(sizes).astype(np.int64))])
+
+
+def _asked(buckets: int):
+    """(bucket, block, keys, n, t) of each block: its distinct n-grams, their occurrences, and those in target texts."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                every, row = _keys(*events(*_opened(r["sizes"], r["texts"])))
+                keys, place = np.unique(every, return_inverse=True)
+                n = np.bincount(place, minlength=len(keys)).astype(np.uint64)
+                t = np.bincount(place, weights=np.array(r["target"], bool)[row], minlength=len(keys)).astype(np.uint64)
+                order, found, begins = _dealt(keys, buckets)
+                cut = [order[i:j] for i, j in zip(begins[:-1], begins[1:])]
+                # sorted keys go as differences
+                columns = [pa.array(found, pa.int64()), pa.array([r["block"]] * len(found), pa.int64()), pa.array([_pack(np.diff(keys[c] & _SENT, prepend=np.uint64(0))) for c in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([_pack(x[c]) for c in cut], pa.binary()) for x in (n, t))], ["bucket", "block", "keys", "n", "t"])
 
     return made
 
@@ -172,7 +145,7 @@ def _summed(rows: pa.Table) -> pa.Table:
     ends = np.cumsum([0] + [len(k) for k in keys])
     back = [[_pack(x[place[i:j]]) for i, j in zip(ends[:-1], ends[1:])] for x in total]
     bucket, none = rows["bucket"][0].as_py(), [None]
-    counted = (every & np.uint64(1) == 0) & (every != _START & ~np.uint64(1))
+    counted = (every & np.uint64(1) == 0) & (every != _START & ~np.uint64(1) & _SENT)
     sums = [int(counted.sum()), *(int(x[counted].sum()) for x in total)]
     parts = [pa.array([bucket] * (len(keys) + 1), pa.int64()), pa.array(rows["block"].to_pylist() + none, pa.int64())]
     parts += [pa.array(b + none, pa.binary()) for b in back]
@@ -180,38 +153,56 @@ def _summed(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(parts, ["bucket", "block", "n", "t", "words", "all_n", "all_t"])
 
 
-def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, total: int | np.ndarray, vocabulary: int) -> np.ndarray:
     """Bits of each event, from the counts of its bigram, of the word before and of the word."""
     lower = (word + PRIOR / vocabulary) / (total + PRIOR)
     return -np.log2((pair + PRIOR * lower) / (before + PRIOR))
 
 
+def _own(every: np.ndarray, row: np.ndarray, which: list[np.ndarray], of: np.ndarray) -> list[np.ndarray]:
+    """How often each row (``of``) has each of its n-grams itself; every, row: all occurrences, by place among the block's n-grams."""
+    width = np.int64(every.max(initial=0) + 1)
+    kinds, n = np.unique(row * width + every, return_counts=True)
+    return [n[np.searchsorted(kinds, of * width + w)] if len(kinds) else np.zeros(0, np.int64) for w in which]
+
+
 def _scored(buckets: int, vocabulary: int, all_n: int, all_t: int):
-    def made(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        pair, before, word, at = events(texts["text"])
-        keys = np.unique(_keys(pair, before, word, at)[0])
+    def made(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        (r,) = blocks.to_pylist()
+        pair, before, word, at = events(*_opened(r["sizes"], r["texts"]))
+        every, row = _keys(pair, before, word, at)
+        keys, place = np.unique(every, return_inverse=True)
         order, found, begins = _dealt(keys, buckets)
         count = np.zeros((2, len(keys)))
-        for r in counts.to_pylist():
-            k = int(np.searchsorted(found, r["bucket"]))
+        for c in counts.to_pylist():
+            k = int(np.searchsorted(found, c["bucket"]))
             mine = order[begins[k] : begins[k + 1]]
-            count[0, mine], count[1, mine] = _unpack(r["n"]), _unpack(r["t"])
-        where = [np.searchsorted(keys, x) for x in (pair, before, word)]
-        size = np.diff(at)
-        first = [flat.row_sums(losses(*(count[k][w] for w in where), total, vocabulary), at) / np.maximum(size, 1) for k, total in ((1 if all_t else 0, all_t or all_n), (0, all_n))]
-        return pa.Table.from_arrays([texts["doc_id"], pa.array(size), pa.array(first[0]), pa.array(first[1]), pa.array(first[0] - first[1])], ["doc_id", "n_scored", "loss_target", "loss_background", "score"])
+            count[0, mine], count[1, mine] = _unpack(c["n"]), _unpack(c["t"])
+        where, size = [np.searchsorted(keys, x) for x in (pair, before, word)], np.diff(at)
+        of = np.repeat(np.arange(len(size)), size)
+        n = [count[0][w] for w in where]
+        bits = [losses(*n, all_n, vocabulary)]
+        bits.append(losses(*(count[1][w] for w in where), all_t, vocabulary) if all_t else bits[0])
+        bits.append(losses(*(x - own for x, own in zip(n, _own(place, row, where, of))), all_n - size[of], vocabulary))
+        background, target, rest = (flat.row_sums(b, at) / np.maximum(size, 1) for b in bits)
+        return pa.Table.from_arrays([blocks["ids"].combine_chunks().flatten(), *map(pa.array, (size, target, background, rest, target - background))], ["doc_id", "n_scored", "loss_target", "loss_background", "loss_rest", "score"])
 
     return made
 
 
 def differences(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_scored (words and the end), loss_target, loss_background, score of every row of docs."""
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(1))) == 0).alias("t")).where("q and t").select("doc_id")
+    """doc_id, n_scored (words and the end), loss_target, loss_background, loss_rest, score of every row of docs."""
+    arrow_batches(docs.sparkSession)
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(1))) == 0).alias("t")).where("q and t")
+    good = Settled(good.select("doc_id", F.lit(True).alias("target")), "target")
+    marked = docs.select("doc_id", "text").join(small(good.df), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    blocks = Settled(marked.mapInArrow(_blocks, f"block long, ids array<{kind}>, target array<boolean>, sizes binary, texts binary"), "blocks").df
+    good.drop()
     parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
-    block = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(parts)).alias("block")
-    texts, marks = docs.select(block, "doc_id", "text"), good.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("block"), "doc_id")
-    asked = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_asked(parts), "bucket long, block long, keys binary, n binary, t binary")
+    asked = blocks.select("block", "target", "sizes", "texts").mapInArrow(_asked(parts), "bucket long, block long, keys binary, n binary, t binary")
     table = Settled(asked.groupBy("bucket").applyInArrow(_summed, "bucket long, block long, n binary, t binary, words long, all_n long, all_t long"), "grams").df
     vocabulary, all_n, all_t = (int(x or 0) for x in table.where("block is null").agg(F.sum("words"), F.sum("all_n"), F.sum("all_t")).first())
     counts = table.where("block is not null").select("block", "bucket", "n", "t")
-    return texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scored(parts, max(vocabulary, 1), all_n, all_t), "doc_id long, n_scored long, loss_target double, loss_background double, score double")
+    scored = blocks.select("block", "ids", "sizes", "texts").groupBy("block").cogroup(counts.groupBy("block"))
+    return scored.applyInArrow(_scored(parts, max(vocabulary, 1), all_n, all_t), f"doc_id {kind}, n_scored long, loss_target double, loss_background double, loss_rest double, score double")

@@ -60,26 +60,6 @@ def test_windows_cover_whole_texts():
     assert (bytecnn.cut(data, start, stop)[0, 5:] == 0).all()
 
 
-def test_language_model_is_a_distribution_and_matches_a_plain_count():
-    texts = ["abcabcab", "abca", None, "xy"]
-    from docsieve.llm import flat
-
-    data, offsets = flat.flat(pa.array(texts))
-    code, a, b = xent.codes(data, offsets)
-    assert (b - a).tolist() == [5, 1, 0, 0]
-    count = np.bincount(np.concatenate([code[i:j] for i, j in zip(a, b)]), minlength=xent.SIZE)
-    assert count.sum() == 6
-    p = 2.0 ** xent.log_model(count).reshape(-1, xent.CLASSES)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-
-
-def test_counts_follow_every_text(docs, labels):
-    """The background's counts are those of all texts, in whatever partitions."""
-    sums = docs.select("text", docs["doc_id"].isNull().alias("t")).repartition(3).mapInArrow(xent._count, "model int, code int, n long").groupBy("model").sum("n").collect()
-    want = sum(max(0, len((r["text"] or "").encode()) - 3) for r in docs.select("text").collect())
-    assert {r["model"]: r["sum(n)"] for r in sums} == {0: want}
-
-
 def test_word_models_as_brute_force(spark, monkeypatch):
     """Losses as counted by plain Python over several blocks; texts that differ in case, digits, punctuation or script only are apart."""
     import collections
@@ -103,5 +83,17 @@ def test_word_models_as_brute_force(spark, monkeypatch):
             lower = lambda w: (words[w] + xent.PRIOR / vocabulary) / (total + xent.PRIOR)
             bits = [-math.log2((pairs[a, b] + xent.PRIOR * lower(b)) / (words[a] + xent.PRIOR)) for a, b in zip(r, r[1:])]
             want.append(sum(bits) / max(len(bits), 1))
-        assert np.allclose([got[i]["loss_target"], got[i]["loss_background"]], want) and got[i]["n_scored"] == max(len(r) - 1, 0)
+        # the background less the document itself
+        own_pairs, own_words = collections.Counter(zip(r, r[1:])), collections.Counter(r)
+        lower = lambda w: (words[w] - own_words[w] + xent.PRIOR / vocabulary) / (total - max(len(r) - 1, 0) + xent.PRIOR)
+        bits = [-math.log2((pairs[a, b] - own_pairs[a, b] + xent.PRIOR * lower(b)) / (words[a] - own_words[a] + xent.PRIOR)) for a, b in zip(r, r[1:])]
+        want.append(sum(bits) / max(len(bits), 1))
+        assert np.allclose([got[i]["loss_target"], got[i]["loss_background"], got[i]["loss_rest"]], want) and got[i]["n_scored"] == max(len(r) - 1, 0)
+    # each context's probabilities sum to 1
+    pairs, words = models[1]
+    total = sum(n for w, n in words.items() if w != "<s>")
+    kinds = [w for w in words if w != "<s>"]
+    for a in ("a", "<s>"):
+        n = [np.array(x, float) for x in zip(*((pairs[a, w], words[a], words[w]) for w in kinds))]
+        assert abs((2.0 ** -xent.losses(*n, total, vocabulary)).sum() - 1) < 1e-9
     assert got[0]["score"] < got[1]["score"] and got[2]["score"] < got[3]["score"]
