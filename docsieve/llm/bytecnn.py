@@ -5,7 +5,7 @@ byte embeddings, each keeps its maximum in a window, a softmax layer reads the m
 largest mean log-probability of its windows, weighted by bytes. The filters of all widths lie in one kernel, so applying
 the net to a batch of windows is a look-up, a matrix product and a maximum.
 
-Training: Adam on windows of a bounded sample (``PER_CLASS`` rows of each language) outside the held-out fold.
+Training: Adam on windows of the whole texts of a bounded sample (about ``PER_CLASS`` rows of each language) outside the held-out fold.
 Defined cases: a text that is null or has no letter is ``und`` with score 0; equal texts give equal results; an empty
 table gives no rows; if no language can be learnt, every text is ``und``. Case of ASCII letters is ignored.
 """
@@ -104,15 +104,19 @@ def fit(rows: list[tuple[str, str]], steps: int = 500, batch: int = 128) -> Net
     rng = np.random.default_rng(17)
     data, offsets = flat.flat(pa.array([t for t, _ in rows], pa.string()))
     row, start, stop, size = windows(offsets)
-    label = np.array([languages.index(y) for _, y in rows])[row]
-    groups = [g for k in range(len(languages)) if len(g := np.flatnonzero((label == k) & (size >= 16))) or len(g := np.flatnonzero(label == k))]
+    of = np.array([languages.index(y) for _, y in rows])
+    label = of[row]
+    # a language, one of its texts, one of that text's windows: a long text counts as one
+    n, opening = np.bincount(row, minlength=len(rows)), np.searchsorted(row, np.arange(len(rows)))
+    groups = [g for k in range(len(languages)) if len(g := np.flatnonzero((of == k) & (n > 0)))]
     filters = FILTERS * len(WIDTHS)
     p = {"embed": rng.normal(0, 0.5, (256, EMBED)), "kernel": MASK * rng.normal(0, (3 * EMBED) ** -0.5, MASK.shape), "bias": np.zeros(filters), "dense": rng.normal(0, 0.3, (filters, len(languages))), "shift": np.zeros(len(languages))}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     each = np.arange(batch)
     for t in range(1, steps + 1 if groups else 0):
-        pick = np.array([rng.choice(groups[i]) for i in rng.integers(len(groups), size=batch)])
+        text = np.array([rng.choice(groups[i]) for i in rng.integers(len(groups), size=batch)])
+        pick = opening[text] + (rng.random(batch) * n[text]).astype(int)
         x, y = cut(data, start[pick], stop[pick]), label[pick]
         for i in np.flatnonzero(rng.random(batch) < 0.3):
             x[i, rng.integers(12, WINDOW) :] = 0
@@ -142,7 +146,7 @@ def fit(rows: list[tuple[str, str]], steps: int = 500, batch: int = 128) -> Net
 def train(docs: DataFrame) -> Net | None:
     """Learn only from text and non-null lang outside fold 2 of 4."""
     rows = docs.where(sample.remainder("doc_id", 4) != 2).select("doc_id", "text", F.col("lang").alias("label"))
-    return fit(sample.own_labels(rows, PER_CLASS, 4096))
+    return fit(sample.own_labels(rows, PER_CLASS))
 
 
 def identify(net: Net | None, text: Column) -> Column:

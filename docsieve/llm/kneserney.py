@@ -1,12 +1,14 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
-Two word-bigram models, of toxic and of ordinary text, are smoothed by absolute discounting down one chain: bigram, word,
-word stem (its first bytes), and at the bottom counts that both classes share. The lower orders are made of the discounted leftovers
-(continuation counts). An expression in which the classes don't differ surely has one probability for both and weighs nothing, and a rare
-one leans on its stem, so topic and language don't tilt a score. A text's score is a logistic curve over its log-likelihood
-ratio by length. Counts are numbers of training documents with the expression, so one repetitive text can't sway them.
-
-Training reads a bounded sample (``PER_CLASS`` rows of each label, at most ``sample.PART`` code points of each).
+A bigram model of toxic and one of ordinary text, smoothed by absolute discounting. A word's probability after the one before it is its discounted
+count there; what the discount leaves over goes to the class's continuation probability, made of the number of different contexts that the class has
+the word in; and what that leaves over goes to backoff counts that both classes share (all that the discounts took, and one for words not seen).
+An expression has the class's own counts by the weight of evidence that the classes differ in it (a likelihood ratio against FACTOR), and
+otherwise the counts of both classes together, tilted as its word's continuation is: a rare expression, a topic or a language doesn't sway a score.
+Probabilities after each word sum to 1 in both classes. A text's score is a logistic curve over the mean of its words' log-likelihood
+ratios. Counts are numbers of training documents with the bigram, so one repetitive text can't sway them.
+
+Training reads the whole texts of a bounded sample (``PER_CLASS`` rows of each label).
 Defined cases: null and empty texts have ratio 0 and get the curve's value there; equal texts get equal scores; an empty
 table gives no rows; without training rows of both labels every score is 0.5. ASCII case is folded; bytes that are neither letters, digits nor above 127 end a word.
 """
@@ -26,12 +28,11 @@ from .store import arrow_batches
 
 PER_CLASS = 3000
 THRESHOLD = 0.7
-#: Taken from each count: what fewer documents of a class have than this is left to the lower order.
+#: Taken from each count of documents, and of contexts, for the lower order.
 DISCOUNT = 2.0
-#: Least likelihood-ratio statistic and least ratio for two classes to differ in an expression.
-SURE = 15.0
+#: Ratio of a word's probabilities in two classes that topic and language explain, and the statistic beyond it that has even weight.
 FACTOR = 3.0
-STEM = 4
+SURE = 8.0
 #: Added to the number of words that divides the log-likelihood ratio: a few words are weak evidence.
 EASE = 20
 _FOLD = np.full(256, 32, np.uint8)
@@ -40,130 +41,129 @@ for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray):
-    """Hashes of words, of stems and of bigrams (of each word with the one before, 0 at a text's start), and each row's first word."""
+def _events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word's bigram, of the word before it (0 at a text's start) and of the word, and each row's first word."""
     folded = _FOLD[data]
     starts, ends, first = flat.words(folded, offsets)
     word = flat.hashes(folded, starts, ends)
-    stem = flat.hashes(folded, starts, np.minimum(ends, starts + STEM))
     before = np.zeros_like(word)
     before[1:] = word[:-1]
-    heads = first[:-1][first[:-1] < first[1:]]
-    before[heads] = 0
-    return word, stem, flat.mix(before * np.uint64(0xD1342543DE82EF95) + word), before, first
+    before[first[:-1][first[:-1] < first[1:]]] = 0
+    return flat.mix(before * np.uint64(0xD1342543DE82EF95) + word), before, word, first
+
+
+@dataclass
+class Table:
+    """Values (classes x keys) by sorted key; what is not there has ``other``."""
 
+    keys: np.ndarray
+    values: np.ndarray
+    other: np.ndarray
 
-def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return at, keys[at] == h
+    def at(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.broadcast_to(self.other[:, None], (len(self.other), len(h)))
+        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[place] == h, self.values[:, place], self.other[:, None])
+
+    def without(self, plain: np.ndarray) -> Table:
+        """The table less the keys that ``plain`` marks."""
+        return Table(self.keys[~plain], self.values[:, ~plain], self.other)
 
 
 @dataclass
 class Model:
-    """Sorted hashes with log-likelihood ratios: of bigrams, of words, of stems. """
-
-    pair_keys: np.ndarray
-    pair_ratio: np.ndarray
-    word_keys: np.ndarray
-    word_ratio: np.ndarray
-    stem_keys: np.ndarray
-    stem_ratio: np.ndarray
+    gain: Table  # by bigram: its discounted probability after the word before
+    left: Table  # by word before: what the discounts there leave over
+    lower: Table  # by word: its continuation probability in the class
     slope: float = 0.0
     shift: float = 0.0
 
+    def probabilities(self, pair: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of each word after the one before it, in ordinary and in toxic text."""
+        return self.gain.at(pair) + self.left.at(before) * self.lower.at(word)
+
     def ratios(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each row, by length."""
         out = np.zeros(len(offsets) - 1)
         for low, high in flat.spans(offsets, 1 << 20):
             at = offsets[low : high + 1]
-            word, stem, pair, before, first = _words(data[at[0] : at[-1]], at - at[0])
-            i, known = _find(self.word_keys, word)
-            each = np.where(known, self.word_ratio[i] if len(self.word_ratio) else 0.0, 0.0)
-            rest = np.flatnonzero(~known)
-            i, found = _find(self.stem_keys, stem[rest])
-            if len(self.stem_ratio):
-                each[rest] = np.where(found, self.stem_ratio[i], 0.0)
-            maybe = np.flatnonzero(known)
-            i, found = _find(self.pair_keys, pair[maybe])
-            if len(self.pair_ratio):
-                each[maybe[found]] = self.pair_ratio[i[found]]
-            out[low:high] = flat.row_sums(each, first) / (np.diff(first) + EASE)
+            pair, before, word, first = _events(data[at[0] : at[-1]], at - at[0])
+            ordinary, toxic = np.log(self.probabilities(pair, before, word))
+            out[low:high] = flat.row_sums(toxic - ordinary, first) / (np.diff(first) + EASE)
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(*flat.flat(texts)) + self.shift, -50, 50)))
 
 
-def _document_counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
+def _sums(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of values (classes x events) over the events of each place."""
+    return np.stack([np.bincount(place, weights=v, minlength=size) for v in values])
 
-def _ratios(count: np.ndarray, lower: np.ndarray | None = None) -> np.ndarray:
-    """Log-ratio of toxic to ordinary probability of each event, from counts (classes x events).
 
-    Each count gives up to DISCOUNT to the lower order. As in Kneser-Ney, the lower order is made of what was given up (its
-    continuation counts), which both classes share; ``lower`` tilts it by the log-ratios of an event's stem. Where the classes don't differ by
-    SURE (a likelihood-ratio statistic) and by FACTOR, the event keeps one probability for both.
-    """
-    if not count.shape[1]:
-        return np.zeros(0)
-    total = np.maximum(count.sum(axis=1, keepdims=True), 1)
-    given = np.minimum(count, DISCOUNT)
-    shared = given.sum(axis=0) / given.sum()
-    mass = given.sum(axis=1, keepdims=True) / total
-    tilt = np.exp(np.array([[-0.5], [0.5]]) * (0 if lower is None else lower))
-    p = (count - given) / total + mass * shared * tilt
-    ratio = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300))
-    expected = count.sum(axis=0) * total / total.sum()
+def _evidence(n: np.ndarray, total: np.ndarray, tilt: np.ndarray | float, sure: float) -> np.ndarray:
+    """Weight from 0 to 1 that toxic and ordinary shares n / total differ by more than FACTOR from ``tilt``, the log-ratio told by the lower order."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        statistic = 2 * np.where(count > 0, count * np.log(count / expected), 0).sum(axis=0)
-    differs = (statistic >= SURE) & (np.abs(ratio) >= np.log(FACTOR))
-    few = count.sum(axis=0) < 2 * DISCOUNT
-    return np.where(differs, ratio, np.where(few, 0 if lower is None else lower, 0.0))
+        ratio = np.log(n[1] * total[0]) - np.log(n[0] * total[1])
+        null = np.exp(np.clip(ratio, tilt - np.log(FACTOR), tilt + np.log(FACTOR))) * total[1] / total[0]
+        toxic, under = n[1] / n.sum(axis=0), null / (1 + null)
+        statistic = 2 * (np.where(n[1] > 0, n[1] * np.log(toxic / under), 0) + np.where(n[0] > 0, n[0] * np.log((1 - toxic) / (1 - under)), 0))
+    return 1 / (1 + np.exp(np.clip((sure - statistic) / 2, -50, 50)))
 
 
-def count_models(rows: list[tuple[str, int]]) -> Model:
+def count_models(rows: list[tuple[str, int]], discount: float = DISCOUNT) -> Model:
     data, offsets = flat.flat(pa.array([t for t, _ in rows], pa.string()))
-    seen: dict[str, list[list[np.ndarray]]] = {k: [[], []] for k in ("word", "stem", "pair")}
-    triples = []
+    links: list[list[np.ndarray]] = [[], []]
     for low, high in flat.spans(offsets, 1 << 20):
         at = offsets[low : high + 1]
-        word, stem, pair, before, first = _words(data[at[0] : at[-1]], at - at[0])
-        triples.append(np.unique(np.column_stack([pair, before, word, stem]), axis=0))
+        pair, before, word, first = _events(data[at[0] : at[-1]], at - at[0])
         for r in range(low, high):
             a, b = first[r - low], first[r - low + 1]
-            for name, h in (("word", word), ("stem", stem), ("pair", pair)):
-                seen[name][int(rows[r][1])].append(np.unique(h[a:b]))
-    link = np.concatenate(triples) if triples else np.zeros((0, 4), np.uint64)
-    link = link[np.unique(link[:, 0], return_index=True)[1]] if len(link) else link
-    counts, keys = {}, {}
-    for name, by_class in seen.items():
-        got = [_document_counts(x) for x in by_class]
-        keys[name] = np.union1d(got[0][0], got[1][0])
-        counts[name] = np.zeros((2, len(keys[name])))
-        for c in (0, 1):
-            counts[name][c, np.searchsorted(keys[name], got[c][0])] = got[c][1]
-    stem_ratio = _ratios(counts["stem"])
-    if not len(link):
-        none = np.zeros(0, np.uint64)
-        return Model(none, np.zeros(0), none, np.zeros(0), none, np.zeros(0))
-    by_word = np.unique(link[:, 2], return_index=True)[1]
-    word_ratio = _ratios(counts["word"], stem_ratio[np.searchsorted(keys["stem"], link[by_word, 3])])
-    # a bigram's ratio takes the place of its word's where its own counts tell more
-    often = np.flatnonzero(counts["pair"].max(axis=0) > DISCOUNT)
-    word_of = np.searchsorted(keys["word"], link[np.searchsorted(link[:, 0], keys["pair"][often]), 2])
-    pair_ratio = _ratios(counts["pair"][:, often], word_ratio[word_of])
-    tells = np.abs(pair_ratio) > np.abs(word_ratio[word_of])
-    return Model(keys["pair"][often[tells]], pair_ratio[tells], keys["word"], word_ratio, keys["stem"], stem_ratio)
+            once = a + np.unique(pair[a:b], return_index=True)[1]
+            links[int(rows[r][1])].append(np.stack([pair[once], before[once], word[once]]))
+    if not all(sum(x.shape[1] for x in c) for c in links):
+        none = np.zeros(0, np.uint64), np.zeros((2, 0))
+        return Model(Table(*none, np.zeros(2)), Table(*none, np.ones(2)), Table(*none, np.ones(2)))
+    every = np.concatenate([x for c in links for x in c], axis=1)
+    toxic = np.repeat([0.0, 1.0], [sum(x.shape[1] for x in c) for c in links])
+    pairs, first, place = np.unique(every[0], return_index=True, return_inverse=True)
+    n = _sums(place, np.stack([1 - toxic, toxic]), len(pairs))
+    heads, head = np.unique(every[1, first], return_inverse=True)
+    words, word = np.unique(every[2, first], return_inverse=True)
+
+    # continuation: contexts of a word in each class, then what the discounts took of both
+    contexts = _sums(word, n > 0, len(words))
+    total, taken = contexts.sum(axis=1, keepdims=True), np.minimum(contexts, discount)
+    shared = taken.sum(axis=0) / (taken.sum() + 1)
+    own = (contexts - taken) / total + taken.sum(axis=1, keepdims=True) / total * shared
+    both = ((contexts - taken).sum(axis=0) + taken.sum() * shared) / total.sum()
+    weight = _evidence(contexts, total, 0.0, SURE)
+    lower = weight * own + (1 - weight) * both
+    unseen = taken.sum() / (taken.sum() + 1) / total.sum()
+    whole = lower.sum(axis=1, keepdims=True) + unseen
+    lower = Table(words, lower / whole, unseen / whole[:, 0])
+
+    # bigrams: documents that have a word after another in each class, and in both
+    after = _sums(head, n, len(heads))
+    tilt = lower.values / ((lower.values * total).sum(axis=0) / total.sum())
+    own = (n - np.minimum(n, discount)) / np.maximum(after, 1)[:, head]
+    both = np.maximum(n.sum(axis=0) - 2 * discount, 0) / after.sum(axis=0)[head] * tilt[:, word]
+    weight = _evidence(n, np.maximum(after, 0.5)[:, head], np.log(tilt[1] / tilt[0])[word], 2 * np.log(len(pairs)))
+    gain = weight * own + (1 - weight) * both
+    # a tilt may ask for more than a word's followers have
+    most = np.maximum(_sums(head, gain, len(heads)), 0.99)
+    gain *= (0.99 / most)[:, head]
+    left = Table(heads, 1 - _sums(head, gain, len(heads)), np.ones(2))
+    gain = Table(pairs, gain, np.zeros(2))
+    return Model(gain.without((gain.values < 1e-12).all(axis=0)), left.without((left.values > 1 - 1e-9).all(axis=0)), lower)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     label = np.array([int(y) for _, y in rows], int)
     held = np.arange(len(rows)) % 4 == 0
     if len(set(label[held].tolist())) < 2 or len(set(label[~held].tolist())) < 2:
-        return Model(*[np.zeros(0, np.uint64 if k % 2 == 0 else float) for k in range(6)])
+        return count_models([])
     model = count_models([r for r, h in zip(rows, held) if not h])
     ratio = model.ratios(*flat.flat(pa.array([r[0] for r, h in zip(rows, held) if h], pa.string())))
     slope, shift = logistic(ratio, label[held])

@@ -2,8 +2,8 @@
 
 n-gram indicators (bytes, and word shapes, hashed into a fixed table) are scaled by class log-count ratios; a linear
 hinge-loss model on the scaled, unit-length vectors is fitted by dual coordinate descent, and a logistic curve over
-held-back training rows turns its margin into a score. Fitting reads a bounded sample (``PER_CLASS`` rows of each label),
-scoring every whole text.
+held-back training rows, whose n-grams are not counted, turns its margin into a score. Fitting reads the whole texts of a bounded sample
+(``PER_CLASS`` rows of each label), scoring every whole text.
 
 Defined cases: null and empty texts have no n-grams and get the score of the empty vector (the intercept); equal texts
 get equal scores; other columns are never read; an empty table gives no rows; without training rows of both labels every score is 0.5.
@@ -131,8 +131,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         sets += [np.unique(np.concatenate(p)) for p in grams(data[at[0] : at[-1]], at - at[0])]
     held = np.arange(len(rows)) % 5 == 0
     counts = np.ones((2, size))
-    for r, y in zip(sets, label):
-        counts[y][r] += 1
+    for r, y, h in zip(sets, label, held):
+        if not h:  # the curve comes from rows that neither the ratios nor the weights have seen
+            counts[y][r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     y = np.where(label == 1, 1, -1)
     keep = np.flatnonzero(~held)

@@ -1,13 +1,10 @@
-"""Bounded training samples. Fitting alone reads a sample; every score, count and statistic covers all rows."""
+"""Bounded training samples. Fitting alone reads a sample of rows, each text whole; every score, count and statistic covers all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest part of one training text; of a longer one a window at a hashed place is taken.
-PART = 32768
-
 
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; a null id has no fold and counts as 0."""
@@ -15,37 +12,34 @@ def remainder(doc_id: str, divisor: int) -> Column:
 
 
 def _share(rows: DataFrame, per_class: int) -> tuple[DataFrame, int]:
-    """About ``per_class`` rows of each label, chosen by a hash of doc_id so that reruns agree, and the most that may be read."""
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == F.lit(label), F.lit(min(1.0, per_class / n))).otherwise(share)
+    """About ``per_class`` rows of each label with ``dice``, a hash of doc_id so that reruns agree, and the most that may be read."""
+    counts = rows.groupBy("label").agg(F.count("*").alias("rows"))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(dice < share), 2 * per_class * len(counts)
+    drawn = rows.withColumn("dice", dice).join(F.broadcast(counts), "label").where(F.col("dice") * F.col("rows") < per_class).drop("rows")
+    return drawn, 2 * per_class * counts.count()
 
 
-def _texts(rows: DataFrame, most: int, part: int) -> list[tuple[str, object]]:
-    room = F.greatest(F.char_length("text") - part, F.lit(0)) + 1
-    piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(11)), room.cast("long")).cast("int") + 1, F.lit(part))
-    found = rows.select("doc_id", piece.alias("text"), "label").limit(most).collect() if most else []
+def _texts(rows: DataFrame, most: int) -> list[tuple[str, object]]:
+    """The first ``most`` rows by dice, id and text, whole; more than that are drawn only where an id stands in many rows."""
+    found = rows.orderBy("dice", "doc_id", F.xxhash64("text")).limit(most).select("doc_id", "text", "label").collect() if most else []
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
 
 
-def own_labels(docs: DataFrame, per_class: int, part: int = PART) -> list[tuple[str, object]]:
-    """(text, label) of a sample of docs (doc_id, text, label); at most ``2 * per_class`` rows a label and ``part`` code points of a text reach the driver."""
-    rows, most = _share(docs.where(F.col("label").isNotNull() & F.col("text").isNotNull()), per_class)
-    return _texts(rows, most, part)
+def own_labels(docs: DataFrame, per_class: int) -> list[tuple[str, object]]:
+    """(text, label) of a sample of docs (doc_id, text, label), of few labels; at most ``2 * per_class`` rows a label reach the driver."""
+    rows, most = _share(docs.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "label"), per_class)
+    return _texts(rows, most)
 
 
-def joined_labels(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, per_class: int, part: int = PART) -> list[tuple[str, object]]:
+def joined_labels(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, per_class: int) -> list[tuple[str, object]]:
     """As ``own_labels`` with labels of another table, outside the held-out fold. A doc labelled twice has the larger label.
 
-    The sample is drawn from the labels alone, so what is broadcast to the texts is bounded by it (16 bytes a row) and no text is shuffled.
+    The sample is drawn from the labels alone, so what is broadcast to the texts is bounded by it (24 bytes a row) and no text is shuffled.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held))
     drawn, most = _share(marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), per_class)
-    ids = [(r["doc_id"], r["label"]) for r in drawn.limit(most).collect()] if most else []
+    ids = [(r["doc_id"], r["label"], r["dice"]) for r in drawn.orderBy("dice", "doc_id").limit(most).collect()] if most else []
     if not ids:
         return []
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
-    return _texts(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), most, part)
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, label int, dice double")
+    return _texts(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), most)

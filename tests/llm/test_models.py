@@ -53,6 +53,102 @@ def test_no_labels(docs, labels):
     assert {r["lang_pred"] for r in bytecnn.predict(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("false").unionByName(docs.drop("lang").selectExpr("*", "cast(null as string) lang").select(*docs.columns))).collect()} == {"und"}
 
 
+def test_toxicity_probabilities_as_brute_force():
+    """A plain Python count of both models; after each word the probabilities of all words and of one not seen sum to 1."""
+    from collections import Counter
+    from math import exp, log
+
+    from docsieve.llm import flat
+
+    texts = [("you are a fool and a liar", 1), ("a fool you are", 1), ("the fool and the liar", 1), ("a fool", 1), ("you are a friend and a guest", 0), ("the guest and the friend", 0), ("a friend you are", 0), ("the river and the hill", 0), ("you are a fool", 0)]
+    model = kneserney.count_models(texts, discount=1.0)
+    n, words = [Counter(), Counter()], sorted({w for t, _ in texts for w in t.split()})
+    for t, y in texts:
+        w = ["", *t.split()]
+        for p in set(zip(w, w[1:])):
+            n[y][p] += 1
+    pairs = sorted(set(n[0]) | set(n[1]))
+    heads = {v for v, _ in pairs}
+    after = [{v: sum(c[p] for p in c if p[0] == v) for v in heads} for c in n]
+
+    def weight(k, total, tilt, sure):
+        ratio = (log(k[1] / total[1]) if k[1] else -1e9) - (log(k[0] / total[0]) if k[0] else -1e9)
+        null = exp(min(max(ratio, tilt - log(kneserney.FACTOR)), tilt + log(kneserney.FACTOR))) * total[1] / total[0]
+        share = [1 / (1 + null), null / (1 + null)]
+        g = 2 * sum(x * log(x / sum(k) / s) for x, s in zip(k, share) if x)
+        return 1 / (1 + exp((sure - g) / 2))
+
+    contexts = [{w: sum((v, w) in c for v in heads) for w in words} for c in n]
+    total = [sum(c.values()) for c in contexts]
+    took = {w: sum(min(c[w], 1) for c in contexts) for w in words}
+    all_took, lower = sum(took.values()), [{}, {}]
+    for w in words:
+        k, shared = [c[w] for c in contexts], took[w] / (all_took + 1)
+        own = [(k[c] - min(k[c], 1)) / total[c] + sum(min(x, 1) for x in contexts[c].values()) / total[c] * shared for c in (0, 1)]
+        both = (sum(max(x - 1, 0) for x in k) + all_took * shared) / sum(total)
+        a = weight(k, total, 0.0, kneserney.SURE)
+        for c in (0, 1):
+            lower[c][w] = a * own[c] + (1 - a) * both
+    unseen = all_took / (all_took + 1) / sum(total)
+    whole = [sum(lower[c].values()) + unseen for c in (0, 1)]
+    lower = [{w: p / whole[c] for w, p in lower[c].items()} for c in (0, 1)]
+    gain = [{}, {}]
+    for v, w in pairs:
+        k = [c[v, w] for c in n]
+        mean = sum(lower[c][w] * total[c] for c in (0, 1)) / sum(total)
+        a = weight(k, [max(after[c][v], 0.5) for c in (0, 1)], log(lower[1][w] / lower[0][w]), 2 * log(len(pairs)))
+        for c in (0, 1):
+            own = max(k[c] - 1, 0) / max(after[c][v], 1)
+            gain[c][v, w] = a * own + (1 - a) * max(sum(k) - 2, 0) / (after[0][v] + after[1][v]) * lower[c][w] / mean
+    data, offsets = flat.flat(pa.array([" ".join([v, w]).strip() for v in sorted(heads) for w in [*words, "unheard"]]))
+    pair, before, word, first = kneserney._events(data, offsets)
+    got = model.probabilities(pair, before, word)[:, first[1:] - 1].reshape(2, len(heads), -1)
+    assert np.allclose(got.sum(axis=2), 1)
+    for i, v in enumerate(sorted(heads)):
+        for c in (0, 1):
+            left = 1 - sum(p for (x, _), p in gain[c].items() if x == v)
+            want = [gain[c].get((v, w), 0) + left * lower[c][w] for w in words]
+            assert np.allclose(got[c, i, :-1], want)
+
+
+def test_language_as_a_plain_forward_pass():
+    """Windows, filters, maxima and softmax one by one."""
+    rows = [("the cat and the dog " * 20, "en"), ("der hund und die katze " * 20, "de"), ("el perro y la gata", "es")]
+    net = bytecnn.fit(rows, steps=30, batch=16)
+    texts = ["The dog", "und die Katze " * 60, "x", "la gata y el perro " * 30]
+    lang, score = net.predict(pa.array(texts))
+    for k, t in enumerate(texts):
+        raw, step = t.lower().encode(), bytecnn.WINDOW - bytecnn.OVERLAP
+        total, size = 0.0, 0
+        for s in range(0, len(raw), step):
+            window = raw[s : s + bytecnn.WINDOW].ljust(bytecnn.WINDOW, b"\0")
+            best = np.full(net.bias.shape, -np.inf)
+            for at in range(step):
+                seen = np.concatenate([net.embed[b] for b in window[at : at + max(bytecnn.WIDTHS)]])
+                best = np.maximum(best, seen @ net.kernel)
+            z = np.maximum(best + net.bias, 0) @ net.dense + net.shift
+            z = z - z.max() - np.log(np.exp(z - z.max()).sum())
+            n = min(step, len(raw) - s)
+            total, size = total + n * z, size + n
+        p = np.exp(total / size)
+        assert lang[k] == p.argmax() and abs(score[k] - p.max() / p.sum()) < 1e-4
+
+
+def test_quality_margin_as_a_plain_sum():
+    """The fitted weights over the set of a text's n-grams, by plain sets."""
+    from docsieve.llm import flat
+
+    rows = [(f"good plain words number {i} stand here", 1) for i in range(30)] + [(f"## BUY {i} $$ NOW $$ {i}", 0) for i in range(30)]
+    model = nbsvm.fit(rows)
+    data, offsets = flat.flat(pa.array([t for t, _ in rows] + [""]))
+    margins = model.margins(data, offsets)
+    for i, parts in enumerate(nbsvm.grams(data, offsets)):
+        kinds = sorted({int(b) for p in parts for b in p})
+        weight, square = model.table[kinds].astype(float).sum(axis=0) if kinds else (0.0, 0.0)
+        assert abs(margins[i] - (weight / square**0.5 if square else 0.0)) < 1e-5
+    assert (margins[:30] > margins[30:60].max()).all() and margins[60] == 0
+
+
 def test_windows_cover_whole_texts():
     data = np.arange(1, 1000, dtype=np.int64).astype(np.uint8)
     row, start, stop, size = bytecnn.windows(np.array([0, 0, 5, 999]))
