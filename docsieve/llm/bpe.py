@@ -1,18 +1,24 @@
 """Byte-level BPE encoding and decoding by a reduction tree.
 
-A text is halved down to leaves, leaves are encoded, and neighbours are joined: around the seam a window grows until both its ends are places
-where the tokens outside cannot depend on what is inside, and only the window is encoded again. Such a place is a step from a
-character that is not white space to an ASCII white-space one: no match of the splitting pattern crosses it, and no match before or after looks over it, so
-tokens on either side are those of the whole text. Where no such place exists the window grows to the ends of both halves. Decoding
-concatenates the bytes of both halves up the tree.
+A text is halved down to leaves, leaves are encoded, and neighbours are joined: only a window around the seam is encoded again, and it grows
+until the tokens outside provably stand. Two proofs are used for each end of the window:
+
+- a border, where the splitting pattern ends a match whatever stands around: white space after another character, or an ASCII
+  symbol (not an apostrophe) after a letter or digit; tokens on either side are those of the whole text;
+- inside a long run without borders (writing without spaces, encoded data) an edge between two tokens that merges leave as they are when these two
+  stand alone: a sequence of tokens is the encoding of its bytes if every two neighbours are.
+
+Where neither is found the window grows to the ends of both halves. Decoding concatenates the bytes of both halves up the tree.
 
 Defined cases: a null text counts as empty and has no tokens; special tokens are never produced; equal texts give equal ids; an empty table gives no rows.
+The borders hold for patterns of the kind of ``public_tokenizers.PATTERN`` (contractions, letters, digits, symbols, white space).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .store import arrow_batches
 
-#: Longest leaf, in code points.
-LEAF = 8192
+#: Longest leaf, in code points (and ids, of decoding).
+LEAF = 96
 #: First width of the window on either side of a seam.
-REACH = 32
+REACH = 24
+_BORDER = re.compile(r"(?<=\S)[ \t\n\r]|(?<=[^\W_])[!-&(-/:-@\[-`{-~]")
 
 
 def vocabulary() -> tuple[str, str]:
@@ -45,6 +52,10 @@ class Tree:
         for token, rank in merges.items():
             self.bytes[rank] = token
         self.text = [str(i) for i in range(len(self.bytes))]
+        #: Characters that begin in a token, and whether it begins with one.
+        self.begun = [sum(b & 0xC0 != 0x80 for b in token) for token in self.bytes]
+        self.whole = [token[:1] < b"\x80" or token[:1] >= b"\xc0" for token in self.bytes]
+        self.stand: dict[tuple[int, int], bool] = {}
 
     def encode(self, text: str) -> list[int]:
         return self._encode(text, 0, len(text))
@@ -54,38 +65,74 @@ class Tree:
             return self.codec.encode_ordinary(text[low:high])
         middle = (low + high) // 2
         left, right = self._encode(text, low, middle), self._encode(text, middle, high)
-        return self._join(text, low, middle, high, left, right)
-
-    def _join(self, text: str, low: int, middle: int, high: int, left: list[int], right: list[int]) -> list[int]:
-        start = self._stable(text, middle, low, -1)
-        stop = self._stable(text, middle, high, 1)
-        if start == stop:
-            return left + right
-        keep = len(left) - self._tokens(reversed(left), len(text[start:middle].encode()))
-        skip = self._tokens(right, len(text[middle:stop].encode()))
-        return left[:keep] + self.codec.encode_ordinary(text[start:stop]) + right[skip:]
-
-    def _stable(self, text: str, at: int, end: int, step: int) -> int:
-        """The stable place nearest to ``at`` towards ``end``; the window doubles until it has one or reaches the end."""
-        reach, p = self.reach, at
-        while p != end:
-            border = max(end, at - reach) if step < 0 else min(end, at + reach)
-            while p != border:
-                if 0 < p < len(text) and text[p] in " \t\n\r" and not text[p - 1].isspace():
-                    return p
-                p += step
+        if not _BORDER.match(text, middle):
+            self._join(text, low, middle, high, left, right)
+        else:
+            left += right
+        return left
+
+    def _join(self, text: str, low: int, middle: int, high: int, left: list[int], right: list[int]) -> None:
+        """Make left the ids of both halves."""
+        reach = self.reach
+        while True:
+            start, keep, firm = self._before(text, low, middle, left, reach)
+            stop, skip, fixed = self._after(text, middle, high, right, reach)
+            window = self.codec.encode_ordinary(text[start:stop])
+            if (firm or self._stand(left[keep - 1], window[0])) and (fixed or self._stand(window[-1], right[skip])):
+                del left[keep:]
+                left += window
+                left += right[skip:] if skip else right
+                return
             reach *= 2
-        return end
-
-    def _tokens(self, ids, size: int) -> int:
-        """Number of leading ids that cover ``size`` bytes."""
-        n = 0
-        for i in ids:
-            if size <= 0:
-                break
-            size -= len(self.bytes[i])
-            n += 1
-        return n
+
+    def _before(self, text: str, low: int, middle: int, left: list[int], reach: int) -> tuple[int, int, bool]:
+        """Start of the window, number of ids before it, whether these surely stand."""
+        border = low
+        for m in _BORDER.finditer(text, max(low + 1, middle - reach), middle):
+            border = m.start()
+        if border == low and low < middle - reach:
+            n, keep = 0, len(left)
+            while keep > 1:
+                keep -= 1
+                n += self.begun[left[keep]]
+                if n >= reach and self.whole[left[keep]] and self._edge(text, middle - n):
+                    return middle - n, keep, False
+            return low, 0, True
+        n, keep = middle - border, len(left)
+        while n > 0:
+            keep -= 1
+            n -= self.begun[left[keep]]
+        return border, keep if border > low else 0, True
+
+    def _after(self, text: str, middle: int, high: int, right: list[int], reach: int) -> tuple[int, int, bool]:
+        """Stop of the window, number of ids of the right half inside it, whether those behind surely stand."""
+        m = _BORDER.search(text, middle, min(high, middle + reach))
+        n, skip = 0, 0
+        if m is None and middle + reach < high:
+            while skip < len(right) - 1:
+                n += self.begun[right[skip]]
+                skip += 1
+                if n >= reach and self.whole[right[skip]] and self._edge(text, middle + n):
+                    return middle + n, skip, False
+            return high, len(right), True
+        border = high if m is None else m.start()
+        while skip < len(right) and (n < border - middle or not self.whole[right[skip]]):
+            n += self.begun[right[skip]]
+            skip += 1
+        return border, skip, True
+
+    @staticmethod
+    def _edge(text: str, at: int) -> bool:
+        """Whether no white space and no contraction is near, so that a match goes on over the edge or ends there in any surroundings."""
+        return not text[at - 1].isspace() and not text[at].isspace() and "'" not in text[max(0, at - 3) : at + 1]
+
+    def _stand(self, one: int, two: int) -> bool:
+        """Whether merges leave two neighbouring tokens as they are."""
+        if (one, two) not in self.stand:
+            if len(self.stand) > 1 << 18:
+                self.stand.clear()
+            self.stand[one, two] = self.codec._encode_single_piece(self.bytes[one] + self.bytes[two]) == [one, two]
+        return self.stand[one, two]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:

@@ -22,6 +22,26 @@ def test_tree_encodes_as_the_whole_text(leaf, reach):
         assert ids == t.codec.encode_ordinary(x) and t.decode(ids) == x.encode()
 
 
+@pytest.mark.parametrize("kind", ["cjk", "base64", "letters", "marks", "spaces", "mixed"])
+def test_tree_encodes_long_texts_without_borders(kind):
+    """A million bytes without white space: windows end inside runs, where only pairs of tokens prove them."""
+    r = random.Random(11)
+    alphabet = {"cjk": "的一是不了人我在有他这中大来上国到说们为子和你地出道也时年得就那要下以生会自着去之过家学", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters": "etaoinshrdlu", "marks": "!?.,'#-=", "spaces": " \n\t　", "mixed": "aé7的'. \u0301𝔘"}[kind]
+    x = "".join(r.choices(alphabet, k=20_000 if kind == "spaces" else 300_000))
+    t = bpe.tree(*bpe.vocabulary())
+    assert t.encode(x) == t.codec.encode_ordinary(x)
+    for k in range(300):
+        y = "".join(r.choices(alphabet, k=r.randint(100, 900)))
+        assert t.encode(y) == t.codec.encode_ordinary(y)
+
+
+def test_most_texts_of_a_corpus_are_joined(spark):
+    t = bpe.tree(*bpe.vocabulary())
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        x = row["text"] or ""
+        assert t.encode(x) == t.codec.encode_ordinary(x) and t.decode(t.encode(x)) == x.encode()
+
+
 def test_counts_as_the_library():
     c = tokencount.Counter(tokencount.default_path())
     xs = texts(3000, 5)
