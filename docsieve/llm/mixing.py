@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import ranked
-from .store import Settled
+from .ranks import ranked, running
+from .store import Settled, small
 
 BLOCK = 256
 MOST = 3
@@ -34,15 +34,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     order = F.struct(F.col("source").isNull().alias("last"), F.col("source"))
     table = Settled(ranked(by_source.withColumn("order", order), "order"), "sources").df
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(F.col("rank"), F.lit(len(WEIGHTS))) + 1).cast("int"))
-    table = table.withColumn("weight", weight)
-    cap = MOST * F.col("source_size").cast("double")
-    level, before = 0.0, None
-    while level != before:  # the common level of target per weight rises until no further source is above its cap
-        full = F.lit(before is not None) & (F.lit(level) * F.col("weight") > cap)
-        row = table.agg(F.sum("source_size"), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
-        left = float(row[0] or 0) - float(row[1] or 0)
-        before, level = level, (left / row[2] if row[2] else level)
-    return table.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), cap).alias("target"))
+    table = table.withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size").cast("double"))
+    # The common level of target per weight rises until no further source is above its cap. Sources reach their caps in the order of cap by weight:
+    # one is full if the level that is left once all before it are full lies above its cap.
+    size, weights = (float(x or 0) for x in table.agg(F.sum("source_size"), F.sum("weight")).first())
+    in_turn = running(table.withColumn("turn", F.struct((F.col("cap") / F.col("weight")).alias("level"), "rank")), "turn", ["cap", "weight"])
+    full = (F.lit(size) - F.col("before_cap")) * F.col("weight") > F.col("cap") * (F.lit(weights) - F.col("before_weight"))
+    capped, rest = (float(x or 0) for x in in_turn.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first())
+    level = (size - capped) / rest if rest else 0.0
+    return table.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("cap")).alias("target"))
 
 
 def _dice(*of: Column) -> Column:
@@ -104,7 +104,7 @@ def pivotal(units: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of docs."""
     sizes = Settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes").df
-    goal = Settled(targets(sizes), "targets").df
+    goal = small(Settled(targets(sizes), "targets").df)
     goal = goal.withColumn("source_key", F.xxhash64(F.col("source").isNull(), "source"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # a copy within rounding of a whole number is whole
@@ -123,9 +123,9 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, all columns as they were."""
     names = docs.columns
-    found = mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    found = Settled(mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")), "mix").df
     here = docs.select(F.struct(*names).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")).alias("d")
-    f = found.alias("f")
+    f = small(found).alias("f")
     on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.size") == F.col("f.size"))
     copied = here.join(f, on).select("d.row", F.explode(F.sequence(F.lit(1), F.col("f.copies").cast("int"))).alias("copy"))
     return copied.select("row.*")
