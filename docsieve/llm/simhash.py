@@ -4,7 +4,7 @@ Terms are words with the word after them, weighted by length (long pairs say mor
 weight, on the signs of 128 counters; counters share long sums, all in generated code, and no shuffle is needed beyond the one that brings texts
 together by key. Likeness is the share of equal bits.
 
-``within`` finds all pairs of distinct fingerprints in a Hamming radius: bits are cut into blocks, and for each choice of blocks a table keyed by
+``search`` finds all fingerprints in a Hamming radius of queries: bits are cut into blocks, and for each choice of blocks a table keyed by
 them (the permuted tables) brings together fingerprints that agree there; with radius + r blocks, any two within the radius agree in r of them.
 
 Defined cases: a null text counts as empty; a text without words has the zero fingerprint; the last word is a term without a follower; equal texts have equal
@@ -19,11 +19,18 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Settled
+from .store import Settled, small
 
 BITS = 128
+#: Hamming radius of the search, and the share of ids (those divisible by it) that ask.
+RADIUS = 3
+QUERIES = 100
+#: Rows of a group of ids whose texts are sorted together.
+GROUP = 20_000
 #: Largest weight of a term, and terms whose votes fit seven bits (the highest counter must leave the sign alone).
 HEAVIEST, CHUNK = 4, 31
+#: Stands for a null id.
+NONE = -(1 << 63)
 _BYTES = 0x0101010101010101
 _PAIR = 0x000000FF000000FF
 _LOW = 0xFFFFFFFF
@@ -87,36 +94,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "id", "mark").join(voted_, ["id", "mark"]).select("doc_id", "hi", "lo")
 
 
-def within(prints: DataFrame, radius: int = 3, agree: int = 3) -> DataFrame:
-    """(a_hi, a_lo, b_hi, b_lo, distance): all pairs of distinct fingerprints (hi, lo) at most ``radius`` bits apart, a before b.
+def search(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
+    """(hi, lo, query_hi, query_lo, distance): all pairs of a distinct fingerprint (hi, lo) of prints and one of queries at most ``radius`` bits apart.
 
     radius + agree blocks; each table holds the fingerprints keyed by ``agree`` blocks, so a bucket grows with the number of fingerprints over
-    2 ** (bits of a key). Equal fingerprints are one row, whatever their number.
+    2 ** (bits of a key). Equal fingerprints are one row, whatever their number. Few queries are broadcast to the tables; many meet them by a shuffle.
     """
-    distinct = prints.select("hi", "lo").distinct()
     blocks = radius + agree
-    bits = F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
     edge = [BITS * i // blocks for i in range(blocks + 1)]
-    cut = distinct.withColumn("bits", bits).select("hi", "lo", *[F.substring("bits", edge[i] + 1, edge[i + 1] - edge[i]).alias(f"b{i}") for i in range(blocks)])
-    tables = F.array(*[F.xxhash64(F.lit(t), *[f"b{i}" for i in chosen]) for t, chosen in enumerate(combinations(range(blocks), agree))])
-    spread = cut.select("hi", "lo", F.explode(tables).alias("key"))
-    a = spread.select("key", F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
-    b = spread.select("key", F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
-    apart = (F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))).alias("distance")
-    before = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
-    met = a.join(b, "key").where(before).select("a_hi", "a_lo", "b_hi", "b_lo", apart)
-    return met.where(F.col("distance") <= radius).distinct()
+
+    def tables(rows: DataFrame) -> DataFrame:
+        bits = F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
+        cut = rows.select("hi", "lo").distinct().withColumn("bits", bits).select("hi", "lo", *[F.substring("bits", edge[i] + 1, edge[i + 1] - edge[i]).alias(f"b{i}") for i in range(blocks)])
+        keys = F.array(*[F.xxhash64(F.lit(t), *[f"b{i}" for i in chosen]) for t, chosen in enumerate(combinations(range(blocks), agree))])
+        return cut.select("hi", "lo", F.explode(keys).alias("key"))
+
+    asked = Settled(tables(queries).select("key", F.col("hi").alias("query_hi"), F.col("lo").alias("query_lo")), "queries").df
+    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("query_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("query_lo")))
+    t, q = tables(prints).alias("t"), small(asked).alias("q")
+    met = t.join(q, (F.col("t.key") == F.col("q.key")) & (apart <= radius))
+    return met.select("hi", "lo", "query_hi", "query_lo", apart.alias("distance")).distinct()
+
+
+def within(prints: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo, distance): all pairs of distinct fingerprints (hi, lo) at most ``radius`` bits apart, a before b."""
+    before = (F.col("query_hi") < F.col("hi")) | ((F.col("query_hi") == F.col("hi")) & (F.col("query_lo") < F.col("lo")))
+    pairs = search(prints, prints, radius, agree).where(before)
+    return pairs.select(F.col("query_hi").alias("a_hi"), F.col("query_lo").alias("a_lo"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "distance")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null), and the key of a row: id (null ids first) and mark, a hash of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("mark"))
+    return docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("text").alias("mark"))
 
 
 def _groups(kinds: DataFrame) -> list[int]:
-    """Quantiles of the ids that cut them into groups of like size; a fixed number for each shuffle partition, whatever the number of rows."""
-    n = min(2048, 4 * int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Quantiles of the ids that cut them into groups of like size: some for each shuffle partition, and of GROUP rows at most up to 32,768 groups."""
+    n = min(32_768, max(4 * int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), kinds.count() // GROUP))
     cuts = kinds.agg(F.percentile_approx("id", [(i + 1) / n for i in range(n - 1)], 10 * n)).first()[0]
     return sorted(set(cuts or []))
 
@@ -157,7 +172,10 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of every row of docs.
+
+    n_near: distinct fingerprints of documents whose id is divisible by QUERIES within RADIUS of the row's own, itself included.
+    """
     rows, pairs = with_next(docs)
     half = F.floor(F.col("n") / 2).cast("int")
     changed = F.concat(F.substring("text", F.lit(1), (F.col("n") - half).cast("int")), F.substring("next_text", F.lit(1), half))
@@ -169,5 +187,8 @@ def edited(docs: DataFrame) -> DataFrame:
     plain = prints.where("kind = 0").select("id", "mark", "hi", "lo")
     other = prints.where("kind = 1").select("id", "mark", F.col("hi").alias("edited_hi"), F.col("lo").alias("edited_lo"))
     nexts = plain.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"), F.col("hi").alias("next_hi"), F.col("lo").alias("next_lo"))
+    asked = plain.where((F.col("id") != NONE) & (F.pmod("id", F.lit(QUERIES)) == 0))
+    near = Settled(search(plain, asked).groupBy("hi", "lo").agg(F.count("*").alias("n_near")), "near").df
+    plain = plain.join(small(near), ["hi", "lo"], "left").select("id", "mark", "hi", "lo", F.coalesce("n_near", F.lit(0)).alias("n_near"))
     out = rows.join(hashed, ["id", "mark"]).join(plain, ["id", "mark"]).join(other, ["id", "mark"]).join(nexts, ["next_id", "next_mark"])
-    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", printed("hi", "lo").alias("fingerprint"), printed("edited_hi", "edited_lo").alias("edited_fingerprint"), likeness("hi", "lo", "edited_hi", "edited_lo").alias("near_edited"), likeness("hi", "lo", "next_hi", "next_lo").alias("near_next"))
+    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", printed("hi", "lo").alias("fingerprint"), printed("edited_hi", "edited_lo").alias("edited_fingerprint"), likeness("hi", "lo", "edited_hi", "edited_lo").alias("near_edited"), likeness("hi", "lo", "next_hi", "next_lo").alias("near_next"), "n_near")
