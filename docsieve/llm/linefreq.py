@@ -1,7 +1,8 @@
 """Quality rules: base counts of a text, and cross-document line frequency, in DataFrame functions alone.
 
 Lines are normalised (case, digits, white space) and hashed; each document counts once for each of its lines, per host (source). A line is above the limits
-when more than ``LINE_DOCS`` documents of its host have it and these are more than one in ``LINE_SHARE`` of the host's. Such lines are
+when more than ``LINE_DOCS`` documents of its host have it and these are more than one in ``LINE_SHARE`` of the host's, or when more than
+``LINE_MOST`` have it, however large the host. Such lines are
 removed, and a document is rejected when they hold more than ``DEPLETED`` percent of its words.
 
 Rows of one document are reduced to its distinct lines, and a hot line is summed, before the shuffle; the lines joined back are only those above the limits.
@@ -18,6 +19,7 @@ from .store import Settled
 
 LINE_DOCS = 20
 LINE_SHARE = 200
+LINE_MOST = 500
 DEPLETED = 60
 MIN_WORDS = 50
 SPACES = r"[\x20\x09-\x0D]+"
@@ -86,7 +88,7 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return rows.select("host", "doc_id", "mark", F.xxhash64(normalised(F.col("line"))).alias("line"), count.alias("words"))
 
 
-def frequent(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE, most: int = LINE_MOST) -> DataFrame:
     """(host, line) above the limits."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(F.col("source").isNull(), "source").alias("host"), text.alias("text"))
@@ -95,12 +97,12 @@ def frequent(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE) -
     # as in the SQL, a line counts documents (distinct ids, null is none) and a host its rows
     each = rows.where("doc_id is not null").select("host", "doc_id", F.explode(hashed).alias("line")).distinct()
     counted = each.groupBy("host", "line").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > least).join(sizes, "host").where(F.col("n") * share > F.col("documents")).select("host", "line")
+    return counted.where(F.col("n") > least).join(sizes, "host").where((F.col("n") > most) | (F.col("n") * share > F.col("documents"))).select("host", "line")
 
 
-def judge(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE, depleted: int = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE, depleted: int = DEPLETED, most: int = LINE_MOST) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of docs."""
-    common = Settled(frequent(docs, least, share), "common").df
+    common = Settled(frequent(docs, least, share, most), "common").df
     hit = host_lines(docs).join(common, ["host", "line"])
     # rows that repeat doc_id and text give the same sums several times: the ratio of removed to own lines' words is taken for one of them
     lost = hit.groupBy("doc_id", "mark").agg(F.sum("words").alias("lost"))

@@ -35,6 +35,13 @@ def test_common_lines_deplete(spark):
     assert [kept[i] for i in (0, 5, 6, 20, 21)] == [False, False, True, True, True]
 
 
+def test_no_host_excuses_a_line(spark):
+    shared = prose(40, 30)
+    rows = [(i, "h", shared + "\n" + prose(3000 + i, 60 if i < 12 else 5)) for i in range(24)] + [(100 + i, "h", prose(5000 + i, 60)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert linefreq.frequent(df, least=4, share=3).count() == 0 and linefreq.frequent(df, least=4, share=3, most=20).count() == 1
+
+
 def test_a_repeated_document_is_one_document(spark):
     text = "\n".join(prose(900 + j, 8) for j in range(10))
     df = spark.createDataFrame([(1, "h", text)] * 25 + [(2, "h", prose(950, 60))], "doc_id long, source string, text string")
@@ -58,6 +65,42 @@ def test_fingerprints(docs, repeated, empty):
     assert simhash.edited(repeated).count() == 20 and simhash.edited(empty).count() == 0
 
 
+def test_fingerprints_as_plain_python(docs):
+    import xxhash
+
+    def hashed(*parts):
+        seed = 42
+        for p in parts:
+            if p is not None:
+                seed = xxhash.xxh64_intdigest(p, seed=seed)
+        return seed
+
+    def plain(text):
+        w = [x.encode() for x in WORD.findall(text)]
+        size, votes = 0, [0] * 128
+        for one, two in zip(w, [*w[1:], None]):
+            n = len(one.decode()) + (len(two.decode()) if two else 0)
+            weight = max(1, min(4, n // 4))
+            size += weight
+            for half, h in ((64, hashed(one, two)), (0, hashed(two, one, (1).to_bytes(4, "little")))):
+                for b in range(64):
+                    votes[half + b] += weight * (h >> b & 1)
+        return sum(1 << b for b in range(128) if 2 * votes[b] > size)
+
+    text = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in simhash.edited(docs).collect()}
+    prints = {i: plain(t) for i, t in text.items()}
+    assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == prints
+    asked = {prints[i] for i in text if i % simhash.QUERIES == 0}
+    assert {i: r["n_near"] for i, r in got.items()} == {i: sum((p ^ q).bit_count() <= simhash.RADIUS for q in asked) for i, p in prints.items()}
+    ids = sorted(text)
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        k = len(text[i]) // 2
+        edited = plain(text[i][: len(text[i]) - k] + text[j][:k])
+        assert int(got[i]["edited_fingerprint"], 16) == edited
+        assert got[i]["near_edited"] == 1 - (prints[i] ^ edited).bit_count() / 128 and got[i]["near_next"] == 1 - (prints[i] ^ prints[j]).bit_count() / 128
+
+
 def test_block_tables_find_all_within_radius(spark):
     import random
 
@@ -103,6 +146,27 @@ def test_mix(docs, repeated, empty):
     assert made == collections.Counter({i: c for i, c in copies.items() if c})
 
 
+def test_taken_words_come_near_targets(spark):
+    """Forty sources of very different sizes, many above their caps: targets as a plain loop gives them, taken words beside them."""
+    rows = [(i, f"s{i % 40:02d}", " ".join(["w"] * (1 + i * 7919 % 50 * (1 + i % 40)))) for i in range(8000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    total, taken = collections.Counter(), collections.Counter()
+    for r in out:
+        total[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(total))}
+    level, full = 0.0, set()
+    while True:
+        level = (sum(total.values()) - sum(3 * total[s] for s in full)) / sum(weight[s] for s in weight if s not in full)
+        more = {s for s in weight if level * weight[s] > 3 * total[s]}
+        if more == full:
+            break
+        full = more
+    goal = {r["source"]: r["target"] for r in out}
+    assert full and all(abs(goal[s] - min(level * weight[s], 3 * total[s])) < 1e-6 * goal[s] for s in goal)
+    assert all(abs(taken[s] - goal[s]) < 0.01 * goal[s] + 50 for s in goal)
+
+
 def test_pivotal_keeps_the_sum(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("source_key"), "id", (F.col("id") % 900 + 1).alias("size"), (0.1 + 0.25 * (F.col("id") % 3)).alias("f"))
     got = mixing.pivotal(df, block=16).join(df, ["source_key", "id"])
