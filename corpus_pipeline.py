@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docsieve.llm import bpe, bytecnn, minhash, mixing, nbsvm
-from docsieve.llm.store import settle
+from docsieve.llm.store import Settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        kept = Settled(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
