@@ -29,12 +29,13 @@ from . import flat
 from .store import Settled, arrow_batches, small
 
 #: Bytes of text in a block, and in the share of the corpus whose n-grams meet in a bucket.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Weight of the lower order, in counts.
 PRIOR = 2.0
 _END, _START = np.uint64(0x9E6C63D0876A9A35), np.uint64(0x3C79AC492BA7B653)
-#: Bits of a key that travel; with its bucket they name an n-gram.
-_SENT = np.uint64((1 << 48) - 1)
+#: Low bits of a key that stay behind; the others name an n-gram within its bucket.
+_CUT = np.uint64(16)
+_LOW32 = np.uint64(32)
 
 
 def events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,12 +78,59 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the keys by bucket and sent bits, the buckets, and where each begins."""
-    bucket = (flat.mix(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys & _SENT, bucket))
-    found, begins = np.unique(bucket[order], return_index=True)
-    return order, found, np.append(begins, len(keys))
+def _sent(keys: np.ndarray) -> np.ndarray:
+    """What travels of keys: the high bits, in the same order, and the bit that tells words from bigrams."""
+    return keys >> _CUT << np.uint64(1) | keys & np.uint64(1)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys the buckets, equal ranges of the key space, and where each begins."""
+    bucket = (keys >> _LOW32) * np.uint64(buckets) >> _LOW32
+    found, begins = np.unique(bucket, return_index=True)
+    return found.astype(np.int64), np.append(begins, len(keys))
+
+
+def _pack_keys(x: np.ndarray) -> bytes:
+    """Sorted keys as the first one and differences, as many byte planes as these need."""
+    step = np.diff(x)
+    width = max(1, -(-int(step.max(initial=0)).bit_length() // 8))
+    return x[:1].astype("<u8").tobytes() + bytes([width]) + np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8, offset=9).reshape(b[8], -1)
+    x = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    x[0] = np.frombuffer(b, np.uint8, 8)
+    x[1:, : b[8]] = planes.T
+    return np.cumsum(x.view("<u8").ravel(), dtype=np.uint64)
+
+
+class Grams:
+    """All n-gram occurrences of a block (``_keys``), sorted by key and, within a key, by row."""
+
+    def __init__(self, every: np.ndarray, row: np.ndarray):
+        self.order = np.argsort(every, kind="stable")
+        key, of = every[self.order], row[self.order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.keys, self.of = key[new], of
+        #: Of each sorted occurrence the number of its key.
+        self.number = np.cumsum(new) - 1
+        new[1:] |= of[1:] != of[:-1]
+        self.same = np.flatnonzero(new)
+
+    def per_occurrence(self, values: np.ndarray) -> np.ndarray:
+        """The values of keys at the occurrences in their first order."""
+        out = np.empty(len(self.order), values.dtype)
+        out[self.order] = values[self.number]
+        return out
+
+    def own(self) -> np.ndarray:
+        """How often the row of each occurrence has its n-gram."""
+        n = np.diff(np.append(self.same, len(self.order)))
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(n, n)
+        return out
 
 
 def _packed(ids: list, target: list, texts: list[bytes]) -> pa.RecordBatch:
@@ -124,14 +172,12 @@ def _asked(buckets: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                every, row = _keys(*events(*_opened(r["sizes"], r["texts"])))
-                keys, place = np.unique(every, return_inverse=True)
-                n = np.bincount(place, minlength=len(keys)).astype(np.uint64)
-                t = np.bincount(place, weights=np.array(r["target"], bool)[row], minlength=len(keys)).astype(np.uint64)
-                order, found, begins = _dealt(keys, buckets)
-                cut = [order[i:j] for i, j in zip(begins[:-1], begins[1:])]
-                # sorted keys go as differences
-                columns = [pa.array(found, pa.int64()), pa.array([r["block"]] * len(found), pa.int64()), pa.array([_pack(np.diff(keys[c] & _SENT, prepend=np.uint64(0))) for c in cut], pa.binary())]
+                grams = Grams(*_keys(*events(*_opened(r["sizes"], r["texts"]))))
+                n = np.bincount(grams.number, minlength=len(grams.keys)).astype(np.uint64)
+                t = np.bincount(grams.number, weights=np.array(r["target"], bool)[grams.of], minlength=len(grams.keys)).astype(np.uint64)
+                found, begins = _dealt(grams.keys, buckets)
+                sent, cut = _sent(grams.keys), [slice(i, j) for i, j in zip(begins[:-1], begins[1:])]
+                columns = [pa.array(found, pa.int64()), pa.array([r["block"]] * len(found), pa.int64()), pa.array([_pack_keys(sent[c]) for c in cut], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([_pack(x[c]) for c in cut], pa.binary()) for x in (n, t))], ["bucket", "block", "keys", "n", "t"])
 
     return made
@@ -139,13 +185,13 @@ def _asked(buckets: int):
 
 def _summed(rows: pa.Table) -> pa.Table:
     """(bucket, block, n, t) of a bucket: the corpus counts of what each block asked; and its words, occurrences and target occurrences with block null."""
-    keys = [np.cumsum(_unpack(b), dtype=np.uint64) for b in rows["keys"].to_pylist()]
+    keys = [_unpack_keys(b) for b in rows["keys"].to_pylist()]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = [np.bincount(place, weights=np.concatenate([_unpack(b) for b in rows[c].to_pylist()]), minlength=len(every)).astype(np.int64) for c in ("n", "t")]
     ends = np.cumsum([0] + [len(k) for k in keys])
     back = [[_pack(x[place[i:j]]) for i, j in zip(ends[:-1], ends[1:])] for x in total]
     bucket, none = rows["bucket"][0].as_py(), [None]
-    counted = (every & np.uint64(1) == 0) & (every != _START & ~np.uint64(1) & _SENT)
+    counted = (every & np.uint64(1) == 0) & (every != _sent(_START & ~np.uint64(1)))
     sums = [int(counted.sum()), *(int(x[counted].sum()) for x in total)]
     parts = [pa.array([bucket] * (len(keys) + 1), pa.int64()), pa.array(rows["block"].to_pylist() + none, pa.int64())]
     parts += [pa.array(b + none, pa.binary()) for b in back]
@@ -159,31 +205,31 @@ def losses(pair: np.ndarray, before: np.ndarray, word: np.ndarray, total: int |
     return -np.log2((pair + PRIOR * lower) / (before + PRIOR))
 
 
-def _own(every: np.ndarray, row: np.ndarray, which: list[np.ndarray], of: np.ndarray) -> list[np.ndarray]:
-    """How often each row (``of``) has each of its n-grams itself; every, row: all occurrences, by place among the block's n-grams."""
-    width = np.int64(every.max(initial=0) + 1)
-    kinds, n = np.unique(row * width + every, return_counts=True)
-    return [n[np.searchsorted(kinds, of * width + w)] if len(kinds) else np.zeros(0, np.int64) for w in which]
-
-
 def _scored(buckets: int, vocabulary: int, all_n: int, all_t: int):
     def made(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         (r,) = blocks.to_pylist()
         pair, before, word, at = events(*_opened(r["sizes"], r["texts"]))
-        every, row = _keys(pair, before, word, at)
-        keys, place = np.unique(every, return_inverse=True)
-        order, found, begins = _dealt(keys, buckets)
-        count = np.zeros((2, len(keys)))
-        for c in counts.to_pylist():
-            k = int(np.searchsorted(found, c["bucket"]))
-            mine = order[begins[k] : begins[k + 1]]
-            count[0, mine], count[1, mine] = _unpack(c["n"]), _unpack(c["t"])
-        where, size = [np.searchsorted(keys, x) for x in (pair, before, word)], np.diff(at)
-        of = np.repeat(np.arange(len(size)), size)
-        n = [count[0][w] for w in where]
+        grams, size = Grams(*_keys(pair, before, word, at)), np.diff(at)
+        found, begins = _dealt(grams.keys, buckets)
+        count = np.zeros((2, len(grams.keys)))
+        for bucket, n, t in zip(*(counts[c].to_pylist() for c in ("bucket", "n", "t"))):
+            k = int(np.searchsorted(found, bucket))
+            count[0, begins[k] : begins[k + 1]], count[1, begins[k] : begins[k + 1]] = _unpack(n), _unpack(t)
+        of, last = np.repeat(np.arange(len(size)), size), len(pair)
+        heads = at[:-1][size > 0]
+
+        def split(values: np.ndarray) -> list[np.ndarray]:
+            """Of each event its bigram's, its word before's and its word's value, from those of all occurrences."""
+            words = values[last : 2 * last]
+            earlier = np.empty_like(words)
+            earlier[1:] = words[:-1]
+            earlier[heads] = values[2 * last :]
+            return [values[:last], earlier, words]
+
+        n, t, own = (split(x) for x in (grams.per_occurrence(count[0]), grams.per_occurrence(count[1]), grams.own()))
         bits = [losses(*n, all_n, vocabulary)]
-        bits.append(losses(*(count[1][w] for w in where), all_t, vocabulary) if all_t else bits[0])
-        bits.append(losses(*(x - own for x, own in zip(n, _own(place, row, where, of))), all_n - size[of], vocabulary))
+        bits.append(losses(*t, all_t, vocabulary) if all_t else bits[0])
+        bits.append(losses(*(x - y for x, y in zip(n, own)), all_n - size[of], vocabulary))
         background, target, rest = (flat.row_sums(b, at) / np.maximum(size, 1) for b in bits)
         return pa.Table.from_arrays([blocks["ids"].combine_chunks().flatten(), *map(pa.array, (size, target, background, rest, target - background))], ["doc_id", "n_scored", "loss_target", "loss_background", "loss_rest", "score"])
 
