@@ -86,7 +86,7 @@ class Model:
     def ratios(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each row, by length."""
         out = np.zeros(len(offsets) - 1)
-        for low, high in flat.spans(offsets, 1 << 20):
+        for low, high in flat.spans(offsets, flat.SPAN):
             at = offsets[low : high + 1]
             pair, before, word, first = _events(data[at[0] : at[-1]], at - at[0])
             ordinary, toxic = np.log(self.probabilities(pair, before, word))
@@ -115,7 +115,7 @@ def _evidence(n: np.ndarray, total: np.ndarray, tilt: np.ndarray | float, sure:
 def count_models(rows: list[tuple[str, int]], discount: float = DISCOUNT) -> Model:
     data, offsets = flat.flat(pa.array([t for t, _ in rows], pa.string()))
     links: list[list[np.ndarray]] = [[], []]
-    for low, high in flat.spans(offsets, 1 << 20):
+    for low, high in flat.spans(offsets, flat.SPAN):
         at = offsets[low : high + 1]
         pair, before, word, first = _events(data[at[0] : at[-1]], at - at[0])
         for r in range(low, high):

@@ -77,7 +77,7 @@ def _sketch_batch(texts: pa.Array, words: int) -> pa.StructArray:
         _circulant.append(Circulant())
     data, offsets = flat.flat(texts)
     n, first, second, keys, signs = [], [], [], [], []
-    for low, high in flat.spans(offsets, 1 << 18):
+    for low, high in flat.spans(offsets, flat.SPAN):
         at = offsets[low : high + 1]
         sets = flat.shingle_sets(data[at[0] : at[-1]], at - at[0], words)
         n += [len(s) for s in sets]
@@ -109,7 +109,7 @@ def shingles(text: Column, words: int) -> Column:
     def made(texts: pa.Array) -> pa.Array:
         data, offsets = flat.flat(texts)
         sets = []
-        for low, high in flat.spans(offsets, 1 << 18):
+        for low, high in flat.spans(offsets, flat.SPAN):
             at = offsets[low : high + 1]
             sets += flat.shingle_sets(data[at[0] : at[-1]], at - at[0], words)
         ends = np.cumsum([0] + [len(s) for s in sets])

@@ -72,7 +72,7 @@ class Model:
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
         seen = np.zeros(len(self.table), bool)
-        for low, high in flat.spans(offsets, 1 << 20):
+        for low, high in flat.spans(offsets, flat.SPAN):
             at = offsets[low : high + 1]
             for i, parts in enumerate(grams(data[at[0] : at[-1]], at - at[0]), low):
                 for p in parts:
@@ -126,7 +126,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model(np.zeros((size, 2), np.float32), 0.0, 0.0)
     data, offsets = flat.flat(pa.array([t for t, _ in rows], pa.string()))
     sets = []
-    for low, high in flat.spans(offsets, 1 << 20):
+    for low, high in flat.spans(offsets, flat.SPAN):
         at = offsets[low : high + 1]
         sets += [np.unique(np.concatenate(p)) for p in grams(data[at[0] : at[-1]], at - at[0])]
     held = np.arange(len(rows)) % 5 == 0
