@@ -20,6 +20,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ class Tree:
     def _stand(self, one: int, two: int) -> bool:
         """Whether merges leave two neighbouring tokens as they are."""
         if (one, two) not in self.stand:
-            if len(self.stand) > 1 << 18:
+            if len(self.stand) > 1 << 15:
                 self.stand.clear()
             self.stand[one, two] = self.codec._encode_single_piece(self.bytes[one] + self.bytes[two]) == [one, two]
         return self.stand[one, two]
@@ -174,6 +175,23 @@ def decode(ids: Column, ranks: str, pattern: str) -> Column:
     return F.arrow_udf(decoded, "binary")(ids)
 
 
+def encode_checked(text: Column, ranks: str, pattern: str) -> Column:
+    """struct<ids, restored>: the ids of each text, and whether decoding them gives it back."""
+
+    def encoded(texts: pa.Array) -> pa.Array:
+        t, ids, restored = tree(ranks, pattern), [], []
+        for x in texts:
+            text = x.as_py() or ""
+            got = t.encode(text)
+            ids.append(np.array(got, np.int32))
+            restored.append(t.decode(got) == text.encode())
+        ends = np.cumsum([0] + [len(i) for i in ids])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(restored, pa.bool_())], ["ids", "restored"])
+
+    return F.arrow_udf(encoded, "struct<ids:array<int>,restored:boolean>")(text)
+
+
 def round_trip(text: Column, ranks: str, pattern: str) -> Column:
     """struct<n, ids, decoded>: number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes. The ids stay in the worker."""
 
@@ -201,6 +219,5 @@ def tokenised(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding gives the text back, for every row of docs."""
     arrow_batches(docs.sparkSession)
     path, split = vocabulary()
-    ids = docs.select("doc_id", "text", encode(F.col("text"), path, split).alias("ids"))
-    back = decode(F.col("ids"), path, split)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (back == F.coalesce("text", F.lit("")).cast("binary")).alias("restored"))
+    out = docs.select("doc_id", encode_checked(F.col("text"), path, split).alias("e"))
+    return out.select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.restored")

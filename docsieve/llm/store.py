@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch; a longer text makes a batch of its own.
-BATCH_BYTES = 2 << 20
-BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 20
+BATCH_ROWS = 500
 #: Most rows (of ids and numbers) that are broadcast; a larger table is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
