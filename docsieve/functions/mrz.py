@@ -85,11 +85,19 @@ def normalize_document(s: Column) -> Column:
     return normalize_nine(bare)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _value(c: str) -> int:
+    return LETTER_VALUES.find(c.upper()) + 1
+
+
 def _alternatives() -> Column:
-    pairs = []
-    for key, values in CONFUSIONS.items():
-        pairs += [F.lit(key), F.array(*[F.lit(v) for v in values])]
-    return F.create_map(*pairs)
+    """map of a character to its look-alikes and what each adds to the character's value, modulo 10."""
+    option = lambda key, v: f"named_struct('alt', '{v}', 'adds', {(_value(v) - _value(key)) % 10})"
+    return F.expr("map(" + ", ".join(f"'{key}', array({', '.join(option(key, v) for v in values)})" for key, values in CONFUSIONS.items()) + ")")
 
 
 def _is_digit(c: Column) -> Column:
@@ -104,45 +112,64 @@ def _replaced(s: Column, i: Column, alt: Column) -> Column:
     return F.concat(F.substring(s, F.lit(1), i), alt, F.substring(s, i + 2, F.length(s)))
 
 
+def _places(up: Column) -> Column:
+    """array<struct<i, digit, alts: array<struct<k, alt, adds>>>>: the places with look-alikes, and what each of these adds to the check digit."""
+    weight = F.array(*[F.lit(w) for w in WEIGHTS])
+    found = F.transform(chars(up), lambda ch, i: F.struct(i.alias("i"), _is_digit(ch).cast("int").alias("digit"), F.transform(F.try_element_at(_alternatives(), ch), lambda o, k: F.struct(k.alias("k"), o["alt"].alias("alt"), (o["adds"] * F.get(weight, i % 3) % 10).alias("adds"))).alias("alts")))
+    return F.filter(found, lambda p: p["alts"].isNotNull())
+
+
+def _single(y: Column) -> Column:
+    """The first single substitution of y: struct<up, places, wanted> that adds what is wanted."""
+    date_order = F.array(*[F.lit(x) for x in (5, 4, 1, 0, 3, 2)])  # rank of places 0..5 for six digits: 3, 2, 5, 4, 1, 0
+    rank = lambda p: F.when(y["up"].rlike("^[0-9]{6}$"), F.get(date_order, p["i"])).otherwise(p["digit"] * 1000 + p["i"])
+    month_day = lambda s: (F.length(s) != 6) | s.rlike("^[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$")
+    each = F.flatten(F.transform(y["places"], lambda p: F.transform(F.filter(p["alts"], lambda o: o["adds"] == y["wanted"]), lambda o: F.struct(rank(p).alias("r"), o["k"].alias("k"), _replaced(y["up"], p["i"], o["alt"]).alias("s")))))
+    return F.array_min(F.filter(each, lambda x: _nine_ok(x["s"]) & month_day(x["s"])))
+
+
+def _double(y: Column) -> Column:
+    """The first two substitutions that together add what is wanted; strings are made only for those that do."""
+
+    def beside(p, o):
+        later = F.filter(y["places"], lambda q: q["i"] > p["i"])
+        fit = lambda q: F.filter(q["alts"], lambda u: (o["adds"] + u["adds"]) % 10 == y["wanted"])
+        return F.flatten(F.transform(later, lambda q: F.transform(fit(q), lambda u: F.struct((p["digit"] + q["digit"]).alias("d"), p["i"].alias("i"), q["i"].alias("j"), o["k"].alias("k"), u["k"].alias("k2"), _replaced(_replaced(y["up"], p["i"], o["alt"]), q["i"], u["alt"]).alias("s")))))
+
+    six_ok = lambda s: (F.length(s) != 6) | s.rlike("^[0-9]{6}$")
+    each = F.flatten(F.flatten(F.transform(y["places"], lambda p: F.transform(p["alts"], lambda o: beside(p, o)))))
+    return F.array_min(F.filter(each, lambda x: _nine_ok(x["s"]) & six_ok(x["s"])))
+
+
 def auto_correct(field: Column, digit: Column) -> Column:
     """struct<value, corrected>: the first substitution of look-alikes, in a fixed order, that meets the check digit.
 
     Order: the normalised nine-character number; the field as it is; six-character dates with letters read as digits; one
-    substitution; two substitutions. Without a hit the (normalised) field and false. A blank field or a digit that is none: the field and false.
+    substitution; two substitutions. Without a hit the (normalised) field and false. A blank field or a digit that is null or none: the field and false.
+
+    The check digit is linear modulo 10, so a substitution counts by what it adds; the search runs only for fields whose digit doesn't hold.
     """
-    norm = F.when(F.length(field) == 9, normalize_nine(field)).otherwise(field)
-    up = F.upper(norm)
-    c = chars(up)
-    n = F.size(c)
-    alternatives = _alternatives()
     result = lambda value, flag: F.struct(value.alias("value"), F.lit(flag).alias("corrected") if isinstance(flag, bool) else flag.alias("corrected"))
-    options = lambda ch: F.coalesce(F.try_element_at(alternatives, ch), F.array().cast("array<string>"))
-    date_order = F.array(*[F.lit(x) for x in (5, 4, 1, 0, 3, 2)])  # rank of places 0..5 for six digits: 3, 2, 5, 4, 1, 0
-    six_digits = up.rlike("^[0-9]{6}$")
-    place_rank = lambda ch, i: F.when(six_digits, F.get(date_order, i)).otherwise(_is_digit(ch).cast("int") * 1000 + i)
-    month_day = lambda s: (F.length(s) != 6) | s.rlike("^[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$")
-    singles = F.flatten(F.transform(c, lambda ch, i: F.transform(options(ch), lambda alt, k: F.struct(place_rank(ch, i).alias("r"), k.alias("k"), _replaced(up, i, alt).alias("s")))))
-    single = F.array_min(F.filter(singles, lambda x: _nine_ok(x["s"]) & month_day(x["s"]) & (check_digit(x["s"]) == digit)))
-    six_ok = lambda s: (F.length(s) != 6) | s.rlike("^[0-9]{6}$")
 
-    def with_second(ch, i, alt, k):
-        rest = F.slice(F.transform(c, lambda x, j: F.struct(x.alias("x"), j.alias("j"))), i + 2, n)
-        return F.flatten(F.transform(rest, lambda y: F.transform(options(y["x"]), lambda alt2, k2: F.struct((_is_digit(ch).cast("int") + _is_digit(y["x"]).cast("int")).alias("d"), i.alias("i"), y["j"].alias("j"), k.alias("k"), k2.alias("k2"), _replaced(_replaced(up, i, alt), y["j"], alt2).alias("s")))))
-
-    doubles = F.flatten(F.flatten(F.transform(c, lambda ch, i: F.transform(options(ch), lambda alt, k: with_second(ch, i, alt, k)))))
-    double = F.array_min(F.filter(doubles, lambda x: _nine_ok(x["s"]) & six_ok(x["s"]) & (check_digit(x["s"]) == digit)))
-    six = F.translate(up, SIX_LETTERS, SIX_DIGITS)
-    six_hit = (n == 6) & up.rlike("[A-Z]") & six.rlike("^[0-9]+$") & (check_digit(six) == digit)
-    valid = check_digit(norm) == digit
-    known = (F.coalesce(field, F.lit("")) != "") & digit.rlike("^[0-9]+$")
-    return (
-        F.when(~F.coalesce(known, F.lit(False)), result(field, False))
-        .when(valid, result(norm, (F.length(field) == 9) & (norm != field)))
-        .when(six_hit, result(six, True))
-        .when(single.isNotNull(), result(single["s"], True))
-        .when(double.isNotNull(), result(double["s"], True))
-        .otherwise(result(norm, False))
-    )
+    def searched(x):
+        up = F.upper(x["norm"])
+        six = F.translate(up, SIX_LETTERS, SIX_DIGITS)
+        six_hit = (F.length(up) == 6) & up.rlike("[A-Z]") & six.rlike("^[0-9]+$") & (check_digit(six) == x["digit"])
+        wanted = F.pmod(x["digit"].try_cast("int") - weighted_sum(up), F.lit(10))
+        parts = F.struct(up.alias("up"), _places(up).alias("places"), wanted.alias("wanted"))
+        two = lambda y: _let(_double(y), lambda d: F.when(d.isNotNull(), result(d["s"], True)).otherwise(result(x["norm"], False)))
+        one = lambda y: _let(_single(y), lambda s: F.when(s.isNotNull(), result(s["s"], True)).otherwise(two(y)))
+        return F.when(six_hit, result(six, True)).when(_is_digit(x["digit"]), _let(parts, one)).otherwise(result(x["norm"], False))
+
+    def corrected(x):
+        nine = F.length(x["field"]) == 9
+        known = (F.coalesce(x["field"], F.lit("")) != "") & x["digit"].rlike("^[0-9]+$")
+        norm = F.when(nine, normalize_nine(x["field"])).otherwise(x["field"])
+        named = F.struct(x["field"].alias("field"), x["digit"].alias("digit"), norm.alias("norm"))
+        checked = lambda y: F.when(check_digit(y["norm"]) == y["digit"], result(y["norm"], (F.length(y["field"]) == 9) & (y["norm"] != y["field"]))).otherwise(searched(y))
+        return F.when(~F.coalesce(known, F.lit(False)), result(x["field"], False)).otherwise(_let(named, checked))
+
+    return _let(F.struct(field.alias("field"), digit.alias("digit")), corrected)
 
 
 def pinfl_digit(s: Column) -> Column:

@@ -41,7 +41,8 @@ def _blank_null(s: Column) -> Column:
 
 
 def _fixed(value: Column, digit: Column) -> Column:
-    return F.when(digit.isNotNull(), mrz.auto_correct(value, digit)["value"]).otherwise(value)
+    """The corrected value; as it is where no digit was read."""
+    return mrz.auto_correct(value, digit)["value"]
 
 
 class Stage:
