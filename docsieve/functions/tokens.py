@@ -35,7 +35,7 @@ def choose(seed: Column, count: int) -> Column:
     """``count`` challenges (1 to 4) in an order drawn by a hash of the seed; moving closer and away exclude each other."""
     if not 1 <= count <= 4:
         raise ValueError("count must be from 1 to 4")
-    drawn = F.array_sort(F.array(*[F.struct(F.xxhash64(seed, F.lit(c)).alias("r"), F.lit(c).alias("c")) for c in CHALLENGES]))
+    drawn = F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws("-", seed.cast("string"), F.lit(c)).cast("binary")).alias("r"), F.lit(c).alias("c")) for c in CHALLENGES]))
     names = F.transform(drawn, lambda x: x["c"])
     moves = F.filter(names, lambda c: c.startswith("MOVE"))
     return F.slice(F.filter(names, lambda c: ~c.startswith("MOVE") | (c == F.get(moves, 0))), 1, count)
