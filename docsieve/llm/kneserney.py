@@ -126,13 +126,16 @@ def count_models(rows: list[tuple[str, int]], discount: float = DISCOUNT) -> Mod
         none = np.zeros(0, np.uint64), np.zeros((2, 0))
         return Model(Table(*none, np.zeros(2)), Table(*none, np.ones(2)), Table(*none, np.ones(2)))
     every = np.concatenate([x for c in links for x in c], axis=1)
-    toxic = np.repeat([0.0, 1.0], [sum(x.shape[1] for x in c) for c in links])
+    ordinary = sum(x.shape[1] for x in links[0])
+    del links
     pairs, first, place = np.unique(every[0], return_index=True, return_inverse=True)
-    n = _sums(place, np.stack([1 - toxic, toxic]), len(pairs))
+    n = np.stack([np.bincount(place[part], minlength=len(pairs)) for part in (slice(ordinary), slice(ordinary, None))]).astype(float)
+    del place
     heads, head = np.unique(every[1, first], return_inverse=True)
     words, word = np.unique(every[2, first], return_inverse=True)
 
     # continuation: contexts of a word in each class, then what the discounts took of both
+    del every, first
     contexts = _sums(word, n > 0, len(words))
     total, taken = contexts.sum(axis=1, keepdims=True), np.minimum(contexts, discount)
     shared = taken.sum(axis=0) / (taken.sum() + 1)
