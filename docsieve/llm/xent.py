@@ -29,7 +29,7 @@ from . import flat
 from .store import Settled, arrow_batches, small
 
 #: Bytes of text in a block, and in the share of the corpus whose n-grams meet in a bucket.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Weight of the lower order, in counts.
 PRIOR = 2.0
 _END, _START = np.uint64(0x9E6C63D0876A9A35), np.uint64(0x3C79AC492BA7B653)
@@ -109,15 +109,15 @@ class Grams:
     """All n-gram occurrences of a block (``_keys``), sorted by key and, within a key, by row."""
 
     def __init__(self, every: np.ndarray, row: np.ndarray):
-        self.order = np.argsort(every, kind="stable")
-        key, of = every[self.order], row[self.order]
+        self.order = np.argsort(every, kind="stable").astype(np.int32)
+        key, of = every[self.order], row[self.order].astype(np.int32)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         self.keys, self.of = key[new], of
         #: Of each sorted occurrence the number of its key.
-        self.number = np.cumsum(new) - 1
+        self.number = np.cumsum(new, dtype=np.int32) - 1
         new[1:] |= of[1:] != of[:-1]
-        self.same = np.flatnonzero(new)
+        self.same = np.flatnonzero(new).astype(np.int32)
 
     def per_occurrence(self, values: np.ndarray) -> np.ndarray:
         """The values of keys at the occurrences in their first order."""
@@ -211,7 +211,7 @@ def _scored(buckets: int, vocabulary: int, all_n: int, all_t: int):
         pair, before, word, at = events(*_opened(r["sizes"], r["texts"]))
         grams, size = Grams(*_keys(pair, before, word, at)), np.diff(at)
         found, begins = _dealt(grams.keys, buckets)
-        count = np.zeros((2, len(grams.keys)))
+        count = np.zeros((2, len(grams.keys)), np.int64)
         for bucket, n, t in zip(*(counts[c].to_pylist() for c in ("bucket", "n", "t"))):
             k = int(np.searchsorted(found, bucket))
             count[0, begins[k] : begins[k + 1]], count[1, begins[k] : begins[k + 1]] = _unpack(n), _unpack(t)
@@ -226,10 +226,10 @@ def _scored(buckets: int, vocabulary: int, all_n: int, all_t: int):
             earlier[heads] = values[2 * last :]
             return [values[:last], earlier, words]
 
-        n, t, own = (split(x) for x in (grams.per_occurrence(count[0]), grams.per_occurrence(count[1]), grams.own()))
+        n = split(grams.per_occurrence(count[0]))
         bits = [losses(*n, all_n, vocabulary)]
-        bits.append(losses(*t, all_t, vocabulary) if all_t else bits[0])
-        bits.append(losses(*(x - y for x, y in zip(n, own)), all_n - size[of], vocabulary))
+        bits.append(losses(*split(grams.per_occurrence(count[1])), all_t, vocabulary) if all_t else bits[0])
+        bits.append(losses(*(x - y for x, y in zip(n, split(grams.own()))), all_n - size[of], vocabulary))
         background, target, rest = (flat.row_sums(b, at) / np.maximum(size, 1) for b in bits)
         return pa.Table.from_arrays([blocks["ids"].combine_chunks().flatten(), *map(pa.array, (size, target, background, rest, target - background))], ["doc_id", "n_scored", "loss_target", "loss_background", "loss_rest", "score"])
 
