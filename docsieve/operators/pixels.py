@@ -20,6 +20,7 @@ FACE_SIDE = 160
 
 def raster(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """uint8[h, w, 3] in BGR order; gray images are repeated, a fourth channel is dropped."""
+    height, width, channels = (int(n) for n in (height, width, channels))  # beside a null pandas has them as floats
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, :3]
 
@@ -232,25 +233,37 @@ def guide(image: Column) -> Column:
     return _features(skin_guide, ("density", "has_face", "is_centered", "is_too_close", "is_too_far", "is_full_face"))(image)
 
 
+def _face(h, w, c, data) -> np.ndarray | None:
+    """The equalised 160x160 face; None for a null or undecodable image."""
+    try:
+        if data is None or pd.isna(h) or pd.isna(w) or pd.isna(c) or min(h, w) < 1:
+            return None
+        return equalised(resize(gray(raster(int(h), int(w), int(c), data)), FACE_SIDE, FACE_SIDE))
+    except (TypeError, ValueError):
+        return None
+
+
 def face_descriptor(image: Column) -> Column:
-    """array<float> of 1,024: pattern histograms of the equalised 160x160 face."""
+    """array<float> of 1,024: pattern histograms of the equalised 160x160 face; null for a null or undecodable image."""
 
     @F.pandas_udf("array<float>")
     def run(image: pd.DataFrame) -> pd.Series:
         rows = zip(image["height"], image["width"], image["nChannels"], image["data"])
-        return pd.Series([descriptor(equalised(resize(gray(raster(*r)), FACE_SIDE, FACE_SIDE))) for r in rows])
+        faces = [_face(*r) for r in rows]
+        return pd.Series([None if f is None else descriptor(f) for f in faces], index=image.index, dtype=object)
 
     return run(image)
 
 
 def face_similarity(a: Column, b: Column) -> Column:
-    """struct<eyes, nose, mouth, full, structure> of two face images."""
+    """struct<eyes, nose, mouth, full, structure> of two face images; null fields where one is null or undecodable."""
     names = (*REGIONS, "structure")
 
     @F.pandas_udf(_struct(names))
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        made = [[equalised(resize(gray(raster(*r)), FACE_SIDE, FACE_SIDE)) for r in zip(x["height"], x["width"], x["nChannels"], x["data"])] for x in (a, b)]
-        return pd.DataFrame([regional_similarity(p, q) for p, q in zip(*made)], columns=list(names))
+        made = [[_face(*r) for r in zip(x["height"], x["width"], x["nChannels"], x["data"])] for x in (a, b)]
+        none = dict.fromkeys(names)
+        return pd.DataFrame([none if p is None or q is None else regional_similarity(p, q) for p, q in zip(*made)], columns=list(names), dtype=float)
 
     return run(a, b)
 

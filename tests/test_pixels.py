@@ -71,3 +71,14 @@ def test_best_face(spark):
     boxes = spark.createDataFrame([([(10, 10, 100, 125), (400, 10, 105, 131), (0, 0, 300, 30)],)], "c array<struct<x:int,y:int,w:int,h:int>>")
     b = boxes.select(liveness.best_face(F.col("c"), F.lit(640)).alias("b")).first()["b"]
     assert (b["x"], b["w"]) == (10, 100)
+
+
+def test_bad_images_cost_no_other_row(spark):
+    kind = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    good = ("", 40, 40, 3, 16, bytearray(np.random.default_rng(5).integers(0, 256, 4800, dtype=np.uint8).tobytes()))
+    df = spark.createDataFrame([(1, good), (2, None), (3, ("", 40, 40, 3, 16, bytearray(b"short"))), (4, ("", None, None, None, None, None))], f"k int, image {kind}").coalesce(1)
+    image = F.col("image")
+    got = {r["k"]: r for r in df.select("k", pixels.face_descriptor(image).alias("d"), pixels.face_similarity(image, image).alias("f"), pixels.quality(image).alias("q"), pixels.downscaled(image).alias("s")).collect()}
+    assert len(got[1]["d"]) == 1024 and abs(got[1]["f"]["structure"] - 1) < 1e-9 and got[1]["q"]["variance"] > 0 and got[1]["s"]["height"] == 40
+    for k in (2, 3, 4):
+        assert got[k]["d"] is None and got[k]["f"]["structure"] is None and got[k]["q"]["variance"] is None
