@@ -180,13 +180,11 @@ def pinfl_digit(s: Column) -> Column:
 def correct_pinfl(s: Column) -> Column:
     """struct<value, corrected>: the first single-digit substitution, in scanning order, that meets the last digit."""
     good = lambda x: pinfl_digit(x).cast("string") == F.substring(x, 14, 1)
-    tries = []
-    for place in PINFL_POSITIONS:
-        for digit, others in PINFL_SUBSTITUTES.items():
-            for other in others:
-                made = F.concat(F.substring(s, 1, place), F.lit(other), F.substring(s, place + 2, 14))
-                tries.append(F.when((F.substring(s, place + 1, 1) == digit), made))
-    hit = F.get(F.filter(F.array(*tries), lambda x: x.isNotNull() & good(x)), 0)
+    options = [(place, digit, other) for place in PINFL_POSITIONS for digit, others in PINFL_SUBSTITUTES.items() for other in others]
+    table = F.expr("array(" + ", ".join(f"named_struct('at', {place}, 'digit', '{digit}', 'other', '{other}')" for place, digit, other in options) + ")")
+    fitting = F.filter(table, lambda o: F.substring(s, o["at"] + 1, F.lit(1)) == o["digit"])
+    tries = F.transform(fitting, lambda o: F.concat(F.substring(s, F.lit(1), o["at"]), o["other"], F.substring(s, o["at"] + 2, F.lit(14))))
+    hit = F.get(F.filter(tries, good), 0)
     apt = F.coalesce(s.rlike("^[1-6][0-9]{13}$"), F.lit(False))
     fixed = F.when(apt & ~good(s), hit)
     return F.struct(F.coalesce(fixed, s).alias("value"), fixed.isNotNull().alias("corrected"))

@@ -40,9 +40,9 @@ def _blank_null(s: Column) -> Column:
     return F.when(s != "", s)
 
 
-def _fixed(value: Column, digit: Column) -> Column:
-    """The corrected value; as it is where no digit was read."""
-    return mrz.auto_correct(value, digit)["value"]
+def _corrected(pairs: list[tuple[Column, Column]]) -> Column:
+    """array<struct<value, corrected>> of (field, digit) pairs. One correction for all of them: written once a field, plans grow with every field."""
+    return F.transform(F.array(*[F.struct(v.alias("field"), k.alias("digit")) for v, k in pairs]), lambda p: mrz.auto_correct(p["field"], p["digit"]))
 
 
 class Stage:
@@ -87,8 +87,6 @@ def parse(df: DataFrame, lines: str = "lines", as_of_year: int = 2026) -> DataFr
     z(dc=F.when((z.uzb >= 0) & (F.length(z.a) >= z.uzb + 12), cand(_cut(z.a, z.uzb + 3, z.uzb + 12))), kc=_digit(_at(z.a, z.uzb + 12)), dd=F.when(((z.uzb < 0) | (F.length(z.a) < z.uzb + 12)) & (F.length(z.a) >= 14), cand(_cut(z.a, 5, 14))), kd=_digit(_at(z.a, 14)))
     choice = F.when(z.da.rlike(_DOC), F.struct(z.da.alias("d"), z.ka.alias("k"))).when(z.db.rlike(_DOC), F.struct(z.db.alias("d"), z.kb.alias("k"))).when(z.dc.rlike(_DOC), F.struct(z.dc.alias("d"), z.kc.alias("k"))).when(F.length(z.dd) == 9, F.struct(z.dd.alias("d"), z.kd.alias("k")))
     z(choice=choice)
-    z(fix=mrz.auto_correct(z.choice["d"], z.choice["k"]))
-    z(doc=F.when(z.choice["k"].isNotNull() & z.fix["corrected"] & z.fix["value"].rlike(_DOC), z.fix["value"]).otherwise(z.choice["d"]))
     z(l2=F.translate(z.b, "МЖВОЗ", "MFBO3"))
     z(sx=F.get(F.filter(F.array(*[F.lit(i) for i in range(5, 12)]), lambda i: _at(z.l2, i).isin("M", "F")), 0))
     z(sex=_at(z.l2, z.sx))
@@ -97,8 +95,6 @@ def parse(df: DataFrame, lines: str = "lines", as_of_year: int = 2026) -> DataFr
     shifted = (z.sx >= 6) & (F.length(z.rb) >= 7)
     z(bc=F.when(shifted, F.substring(z.rb, F.length(z.rb) - 6, F.lit(6))).otherwise(F.substring(z.rb, 1, 6)), bk=_digit(F.when(shifted, F.substring(z.rb, F.length(z.rb), F.lit(1))).otherwise(F.substring(z.rb, 7, 1))))
     own = F.concat(F.substring(z.pin["value"], 6, 2), F.substring(z.pin["value"], 4, 2), F.substring(z.pin["value"], 2, 2))
-    z(birth=F.coalesce(mrz.birth_date(own, as_of_year), F.when(z.bc.rlike("^[0-9]{6}$"), mrz.birth_date(_fixed(z.bc, z.bk), as_of_year))))
-    u2 = F.locate("UZB", z.l2, 1) - 1
     after = F.when(F.instr(_cut(z.l2, z.sx, F.length(z.l2)), F.lit("UZB")) > 0, z.sx + F.instr(_cut(z.l2, z.sx, F.length(z.l2)), F.lit("UZB")) - 1)
     z(chunk=F.when(z.sx.isNotNull(), F.when(after > z.sx, _cut(z.l2, z.sx + 1, after)).otherwise(_cut(z.l2, z.sx + 1, z.sx + 9))))
     six = mrz.clean_date_digits(F.substring(z.chunk, 1, 6))
@@ -106,14 +102,10 @@ def parse(df: DataFrame, lines: str = "lines", as_of_year: int = 2026) -> DataFr
     drops = F.transform(F.sequence(F.lit(0), F.greatest(F.length(z.chunk) - 2, F.lit(0))), lambda i: mrz.clean_date_digits(F.concat(_cut(z.chunk, 0, i), _cut(z.chunk, i + 1, F.length(z.chunk) - 1))))
     z(six=F.when(six.rlike("^[0-9]{6}$"), six), last=last)
     z(drop=F.when((F.length(z.chunk) >= 8) & z.last.isNotNull(), F.get(F.filter(drops, lambda s: s.rlike("^[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$") & (mrz.check_digit(s) == z.last)), 0)))
-    ec = F.when(F.length(z.chunk) == 7, F.when(z.last.isNotNull(), _fixed(z.six, z.last))).when(F.length(z.chunk) >= 8, F.coalesce(z.drop, z.six)).when(F.length(z.chunk) == 6, z.six)
-    z(expiry=F.coalesce(mrz.expiry_date(ec), mrz.expiry_date(F.regexp_extract(mrz.clean_date_digits(z.l2), r"[MF][^0-9]*([0-9]{6})", 1))))
     parts = F.filter(F.transform(F.split(F.regexp_replace(z.c, "<[A-Z0-9]<", "<<"), "<<"), lambda p: F.trim(F.translate(p, "<", " "))), lambda p: p != "")
     edge = lambda s: F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"\s+[A-Z]$", "")), "^[0-9]+", ""))
     given = F.regexp_replace(edge(F.regexp_replace(F.get(parts, 1), r"^[A-Z]\s+", "")), "([A-Z]{3,}?)[EK]+$", "$1")
     z(sur=_blank_null(edge(F.get(parts, 0))), given=_blank_null(given))
-    card = F.struct(F.lit(True).alias("mrz_detected"), F.lit(TD1).alias("format"), z.doc.alias("document_number"), z.pin["value"].alias("jshshir"), z.sur.alias("surname"), z.given.alias("first_name"), z.birth.alias("birth_date"), z.expiry.alias("expiry_date"), F.when(z.sex == "M", "Erkak").when(z.sex == "F", "Ayol").alias("gender"), F.lit(COUNTRY).alias("nationality"))
-    is_card = z.i1.isNotNull() & F.coalesce(z.doc, z.pin["value"], z.sur, z.birth).isNotNull()
     # --- passport ---
     first = lambda x, i: (x.rlike("^(P|Р|<P<|<UZB|UZB)") | (x.contains("<<") & (x.rlike("^.{0,7}UZB") | (F.length(F.regexp_replace(x, "[^<]", "")) >= 5)))) & ~x.rlike("^[I1AC]") & (F.length(x) >= 25) & (F.length(F.coalesce(F.get(text, i + 1), F.lit(""))) >= 28)
     z(j=_window(text, first))
@@ -129,25 +121,39 @@ def parse(df: DataFrame, lines: str = "lines", as_of_year: int = 2026) -> DataFr
     z(lead=F.translate(_cut(z.q, 0, z.u), "<", ""))
     with_digit = (F.length(z.lead) >= 9) & z.lead.rlike("[0-9]$")
     z(rd=F.when(with_digit, F.substring(z.lead, F.lit(1), F.length(z.lead) - 1)).otherwise(z.lead), rk=F.when(with_digit, F.substring(z.lead, F.length(z.lead), F.lit(1))))
-    heads = F.get(F.filter(F.transform(F.array(F.lit("A"), F.lit("P"), F.lit("B")), lambda h: F.concat(h, z.rd)), lambda s: ~mrz.auto_correct(s, z.rk)["corrected"]), 0)
-    z(pdoc=F.when(z.rd.rlike("^[A-Z][0-9]{7}$") & z.rk.isNotNull(), F.coalesce(heads, z.rd)).otherwise(_fixed(z.rd, z.rk)))
     direct = _cut(z.q, z.u + 18, z.u + 32)
     fixed_place = _cut(z.q, 28, 42)
     pin = F.when(direct.rlike("^[3456][0-9]{13}$"), direct).when((F.length(z.q) >= 42) & fixed_place.rlike("^[3456][0-9]{13}$"), fixed_place).otherwise(_blank_null(F.regexp_extract(_cut(z.q, z.u + 15, F.length(z.q)), "([3-6][0-9]{13})", 1)))
-    z(ppin=mrz.correct_pinfl(pin)["value"])
-    z(pbk=_digit(_at(z.q, z.u + 9)), pb=F.when(F.length(z.q) >= z.u + 9, _cut(z.q, z.u + 3, z.u + 9)))
-    z(pb=_fixed(z.pb, z.pbk), pown=F.concat(F.substring(z.ppin, 6, 2), F.substring(z.ppin, 4, 2), F.substring(z.ppin, 2, 2)))
-    z(pb=F.when(z.pbk.isNotNull() & (mrz.check_digit(z.pown) == z.pbk) & z.ppin.isNotNull(), z.pown).otherwise(F.coalesce(z.pb, z.pown)))
-    century = F.when(z.ppin.rlike("^[56]"), 2000).when(z.ppin.rlike("^[34]"), 1900)
-    pe = F.when(F.length(z.q) >= z.u + 17, _fixed(_cut(z.q, z.u + 11, z.u + 17), _digit(_at(z.q, z.u + 17))))
-    psex = _at(z.q, z.u + 10)
-    gender = lambda c: F.when(c == "M", "Erkak").when(c == "F", "Ayol")
-    anchored = F.struct(F.lit(True).alias("mrz_detected"), F.lit(TD3).alias("format"), z.pdoc.alias("document_number"), z.ppin.alias("jshshir"), z.psur.alias("surname"), z.pgiven.alias("first_name"), mrz.birth_date(z.pb, as_of_year, F.coalesce(century, F.lit(0))).alias("birth_date"), mrz.expiry_date(pe).alias("expiry_date"), gender(psex).alias("gender"), F.lit(COUNTRY).alias("nationality"))
+    loose = F.when((F.length(z.q) >= 42) & fixed_place.rlike("^[3456][0-9]{13}$"), fixed_place).otherwise(_blank_null(F.regexp_extract(_cut(z.q, 25, F.length(z.q)), "([3-6][0-9]{13})", 1)))
+    z(ppin=mrz.correct_pinfl(F.when(z.u.isNotNull(), pin).otherwise(loose))["value"])
+    z(pbk=_digit(_at(z.q, z.u + 9)), pb=F.when(F.length(z.q) >= z.u + 9, _cut(z.q, z.u + 3, z.u + 9)), pown=F.concat(F.substring(z.ppin, 6, 2), F.substring(z.ppin, 4, 2), F.substring(z.ppin, 2, 2)))
     # fields by absolute place
     adoc = F.coalesce(_blank_null(F.regexp_extract(z.q, "([A-Z]{2}[0-9]{7})", 1)), F.translate(_cut(z.q, 0, 9), "<", ""))
     state = F.translate(_cut(z.q, 10, 13), "<", "")
-    apin = F.when((F.length(z.q) >= 42) & fixed_place.rlike("^[3456][0-9]{13}$"), fixed_place).otherwise(_blank_null(F.regexp_extract(_cut(z.q, 25, F.length(z.q)), "([3-6][0-9]{13})", 1)))
-    absolute = F.struct(F.lit(True).alias("mrz_detected"), F.lit(TD3).alias("format"), _fixed(adoc, _digit(_at(z.q, 9))).alias("document_number"), mrz.correct_pinfl(apin)["value"].alias("jshshir"), z.psur.alias("surname"), z.pgiven.alias("first_name"), mrz.birth_date(_fixed(_cut(z.q, 13, 19), _digit(_at(z.q, 19))), as_of_year).alias("birth_date"), mrz.expiry_date(_cut(z.q, 21, 27)).alias("expiry_date"), gender(_at(z.q, 20)).alias("gender"), F.when(state.isin("UZB", "UZ", "U72", "U72B", "U2B", "UZ8", "0ZB"), F.lit(COUNTRY)).otherwise(state).alias("nationality"))
+    # --- corrections of all fields ---
+    headless = z.rd.rlike("^[A-Z][0-9]{7}$") & z.rk.isNotNull()
+    guesses = [F.when(headless, F.concat(F.lit(h), z.rd)) for h in ("A", "P", "B")]
+    expires = F.when(F.length(z.q) >= z.u + 17, _cut(z.q, z.u + 11, z.u + 17))
+    pairs = [(z.choice["d"], z.choice["k"]), (z.bc, z.bk), (z.six, z.last), (z.rd, z.rk), (z.pb, z.pbk), (expires, _digit(_at(z.q, z.u + 17))), (adoc, _digit(_at(z.q, 9))), (_cut(z.q, 13, 19), _digit(_at(z.q, 19)))]
+    z(fix=_corrected(pairs + [(g, z.rk) for g in guesses]))
+    fix = lambda i: F.get(z.fix, i)
+    value = lambda i: fix(i)["value"]
+    ec = F.when(F.length(z.chunk) == 7, F.when(z.last.isNotNull(), value(2))).when(F.length(z.chunk) >= 8, F.coalesce(z.drop, z.six)).when(F.length(z.chunk) == 6, z.six)
+    untouched = F.coalesce(*[F.when(headless & ~fix(len(pairs) + i)["corrected"], g) for i, g in enumerate(guesses)])
+    z(
+        doc=F.when(z.choice["k"].isNotNull() & fix(0)["corrected"] & value(0).rlike(_DOC), value(0)).otherwise(z.choice["d"]),
+        birth=F.coalesce(mrz.birth_date(own, as_of_year), F.when(z.bc.rlike("^[0-9]{6}$"), mrz.birth_date(value(1), as_of_year))),
+        expiry=F.coalesce(mrz.expiry_date(ec), mrz.expiry_date(F.regexp_extract(mrz.clean_date_digits(z.l2), r"[MF][^0-9]*([0-9]{6})", 1))),
+        pdoc=F.when(headless, F.coalesce(untouched, z.rd)).otherwise(value(3)),
+        pb=F.when(z.pbk.isNotNull() & (mrz.check_digit(z.pown) == z.pbk) & z.ppin.isNotNull(), z.pown).otherwise(F.coalesce(value(4), z.pown)),
+    )
+    card = F.struct(F.lit(True).alias("mrz_detected"), F.lit(TD1).alias("format"), z.doc.alias("document_number"), z.pin["value"].alias("jshshir"), z.sur.alias("surname"), z.given.alias("first_name"), z.birth.alias("birth_date"), z.expiry.alias("expiry_date"), F.when(z.sex == "M", "Erkak").when(z.sex == "F", "Ayol").alias("gender"), F.lit(COUNTRY).alias("nationality"))
+    is_card = z.i1.isNotNull() & F.coalesce(z.doc, z.pin["value"], z.sur, z.birth).isNotNull()
+    century = F.when(z.ppin.rlike("^[56]"), 2000).when(z.ppin.rlike("^[34]"), 1900)
+    psex = _at(z.q, z.u + 10)
+    gender = lambda c: F.when(c == "M", "Erkak").when(c == "F", "Ayol")
+    anchored = F.struct(F.lit(True).alias("mrz_detected"), F.lit(TD3).alias("format"), z.pdoc.alias("document_number"), z.ppin.alias("jshshir"), z.psur.alias("surname"), z.pgiven.alias("first_name"), mrz.birth_date(z.pb, as_of_year, F.coalesce(century, F.lit(0))).alias("birth_date"), mrz.expiry_date(value(5)).alias("expiry_date"), gender(psex).alias("gender"), F.lit(COUNTRY).alias("nationality"))
+    absolute = F.struct(F.lit(True).alias("mrz_detected"), F.lit(TD3).alias("format"), value(6).alias("document_number"), z.ppin.alias("jshshir"), z.psur.alias("surname"), z.pgiven.alias("first_name"), mrz.birth_date(value(7), as_of_year).alias("birth_date"), mrz.expiry_date(_cut(z.q, 21, 27)).alias("expiry_date"), gender(_at(z.q, 20)).alias("gender"), F.when(state.isin("UZB", "UZ", "U72", "U72B", "U2B", "UZ8", "0ZB"), F.lit(COUNTRY)).otherwise(state).alias("nationality"))
     record = F.when(F.size(text) < 2, F.lit(None)).when(is_card, card).when(z.j.isNotNull(), F.when(z.u.isNotNull(), anchored).otherwise(absolute))
     return z.done(mrz=record)
 
@@ -193,10 +199,11 @@ def checksums(df: DataFrame, lines: str = "lines", record: str = "mrz") -> DataF
     z(p=F.when(target.isNotNull() & ~z.p.startswith(target), F.when(z.p.startswith(F.substring(target, 2, 8)), F.concat(F.substring(target, 1, 1), z.p)).otherwise(z.p)).when((_find(z.p, "UZB") == 9) & (F.length(z.p) == 43), F.concat(F.coalesce(F.substring(target, 1, 1), F.lit("A")), z.p)).otherwise(z.p))
     z(p=pad(z.p, 44))
     z(doc=F.coalesce(z.doc, F.when(z.p.isNotNull(), pair(_cut(z.p, 0, 9), _digit(_at(z.p, 9))))), birth=F.coalesce(z.birth, F.when(z.p.isNotNull(), pair(_cut(z.p, 13, 19), _digit(_at(z.p, 19))))), expiry=F.coalesce(z.expiry, F.when(z.p.isNotNull(), pair(_cut(z.p, 21, 27), _digit(_at(z.p, 27))))))
-    for name in ("doc", "birth", "expiry"):
-        got = F.col(f"_z_{name}")
-        z(**{f"{name}_fix": F.when((got["d"] != "") & got["k"].isNotNull(), mrz.auto_correct(got["d"], got["k"]))})
-        z(**{f"{name}_ok": F.when(F.col(f"_z_{name}_fix").isNotNull(), mrz.verify(F.col(f"_z_{name}_fix")["value"], got["k"]))})
+    names = ("doc", "birth", "expiry")
+    z(fix=_corrected([(F.col(f"_z_{n}")["d"], F.col(f"_z_{n}")["k"]) for n in names]))
+    tried = lambda n: (F.col(f"_z_{n}")["d"] != "") & F.col(f"_z_{n}")["k"].isNotNull()
+    z(**{f"{n}_fix": F.when(tried(n), F.get(z.fix, i)) for i, n in enumerate(names)})
+    z(**{f"{n}_ok": F.when(F.col(f"_z_{n}_fix").isNotNull(), mrz.verify(F.col(f"_z_{n}_fix")["value"], F.col(f"_z_{n}")["k"])) for n in names})
     card = F.when(_at(z.b, 29).rlike("[0-9]"), mrz.verify(F.concat(_cut(z.a, 5, 30), _cut(z.b, 0, 7), _cut(z.b, 8, 15), _cut(z.b, 18, 29)), _at(z.b, 29)))
     passport = F.when(_at(z.p, 43).rlike("[0-9]"), mrz.verify(F.concat(_cut(z.p, 0, 10), _cut(z.p, 13, 20), _cut(z.p, 21, 43)), _at(z.p, 43)))
     tested = F.filter(F.array(z.doc_ok, z.birth_ok, z.expiry_ok), lambda x: x.isNotNull())
