@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, kneserney, linefreq, minhash, mixing, nbsvm, oracles, simhash, tokencount, xent
+from . import bpe, bytecnn, centroids, jumphash, kneserney, linefreq, minhash, mixing, nbsvm, oracles, simhash, tokencount, variants, xent
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jumphash.sharded(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_minhash_dedup, op3_lm_scoring, op4_toxicity, op5_source_mixing, op6_token_counts, op7_simhash, op8_byte_bpe, op9_quality, op10_quality_rules)
+    found = (op1_language_id, op2_minhash_dedup, op3_lm_scoring, op4_toxicity, op5_source_mixing, op6_token_counts, op7_simhash, op8_byte_bpe, op9_quality, op10_quality_rules, op11_spelling_variants, op12_jump_sharding, op13_centroid_clusters)
     return {f.__name__: f for f in found}
 
 
