@@ -11,9 +11,10 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     rel = con.execute(registry.oracle_sql()[name])
     names = sorted(d[0] for d in rel.description)
-    want = sorted(map(tuple, con.execute(f"SELECT {', '.join(names)} FROM ({registry.oracle_sql()[name]})").fetchall()))
-    got = sorted(tuple(r) for r in registry.queries()[name](spark, SF).select(*names).collect())
+    want = sorted(map(tuple, con.execute(f"SELECT {', '.join(names)} FROM ({registry.oracle_sql()[name]})").fetchall()), key=str)
+    got = sorted((tuple(r) for r in registry.queries()[name](spark, SF).select(*names).collect()), key=str)
     assert got == want
