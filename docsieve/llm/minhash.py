@@ -15,7 +15,7 @@ confirmed on the full sets (64-bit hashes of all shingles). A bucket is never pa
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and kept; fewer words than a shingle make
 one shingle; equal texts are always linked; rows that repeat a doc_id each give a row of the result, with the same component when their sets
-are equal; an empty table gives no rows. Rows with a null doc_id are passed through as their own component (null) and kept.
+are equal, and different texts under one doc_id are linked each by its own set; an empty table gives no rows. Rows with a null doc_id are passed through as their own component (null) and kept.
 """
 
 from __future__ import annotations
@@ -174,8 +174,8 @@ def _across(able: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return l.join(r, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.component").alias("ca"), F.col("r.component").alias("cb"))
 
 
-def link(buckets: DataFrame, sets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(id, component) over all ids of the buckets (key, id, n, size): the components of all confirmed links inside buckets."""
+def link(buckets: DataFrame, sets: DataFrame, signs: DataFrame, percent: int) -> Settled:
+    """A table (id, component) over all ids of the buckets (key, id, n, size): the components of all confirmed links inside buckets."""
     rows, pairs = _to_hubs(buckets, percent)
     found = Settled(_verified(pairs, sets, percent), "links")
     component = Settled(_components(buckets.select("id").distinct(), found.df), "component")
@@ -187,34 +187,39 @@ def link(buckets: DataFrame, sets: DataFrame, signs: DataFrame, percent: int) ->
     whole = Settled(component.df.join(merged, "component").select("id", F.col("whole").alias("component")), "component")
     for old in (component, live, able, found):
         old.drop()
-    return whole.df
+    return whole
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     arrow_batches(docs.sparkSession)
-    made = docs.select("doc_id", sketch(F.col("text"), words).alias("s"))
-    sketched = Settled(made.select("doc_id", "s.n", "s.h1", "s.h2", F.when(F.col("s.n") > 0, F.col("s.bands")).alias("bands"), F.when(F.col("s.n") > 0, F.col("s.signs")).alias("signs")), "sketch")
+    mark = F.xxhash64("text")
+    made = docs.select("doc_id", mark.alias("mark"), sketch(F.col("text"), words).alias("s"))
+    sketched = Settled(made.select("doc_id", "mark", "s.n", "s.h1", "s.h2", F.when(F.col("s.n") > 0, F.col("s.bands")).alias("bands"), F.when(F.col("s.n") > 0, F.col("s.signs")).alias("signs")), "sketch")
     rows = Settled(sketched.df.select("doc_id", "n", "h1", "h2"), "rows")
     full = sketched.df.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # one representative for each distinct set; equal sets have equal bands
-    groups = Settled(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signs").alias("signs")), "groups")
+    # one representative for each distinct set, numbered, since a doc_id may stand for several sets; equal sets have equal bands
+    distinct = full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("bands").alias("bands"), F.first("signs").alias("signs"))
+    groups = Settled(distinct.select("h1", "h2", "n", "least.doc_id", "least.mark", "bands", "signs", F.monotonically_increasing_id().alias("id")), "groups")
     sketched.drop()
     keys = groups.df.select(F.explode("bands").alias("key"), "id", "n")
     shared = Settled(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
     buckets = Settled(keys.join(small(shared.df), "key"), "buckets")
     shared.drop()
-    members = Settled(buckets.df.select("id").distinct(), "members")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(members.df), "id", "left_semi")
+    members = Settled(groups.df.select("id", "doc_id", "mark").join(buckets.df.select("id").distinct(), "id", "left_semi"), "members")
+    texts = docs.select("doc_id", mark.alias("mark"), "text").join(small(members.df), ["doc_id", "mark"])
     if repeats(rows.df):
-        texts = texts.dropDuplicates(["id", "text"])
-    sets = Settled(texts.select("id", shingles(F.col("text"), words).alias("shingles")).where(F.size("shingles") > 0), "sets")
-    component = link(buckets.df, sets.df, groups.df.select("id", "signs"), percent)
-    resolved = groups.df.join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
+        texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    sets = Settled(texts.select("id", shingles(F.col("text"), words).alias("shingles")), "sets")
+    whole = link(buckets.df, sets.df, groups.df.select("id", "signs"), percent)
+    met = Settled(whole.df.join(groups.df.select("id", "doc_id", "h1", "h2", "n"), "id"), "met")
+    least = met.df.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    alone = groups.df.join(met.df, "id", "left_anti").select("h1", "h2", "n", F.col("doc_id").alias("component_id"))
+    resolved = met.df.join(least, "component").select("h1", "h2", "n", "component_id").unionByName(alone)
     out = rows.df.join(resolved, ["h1", "h2", "n"], "left")
-    own = F.coalesce("component", "doc_id")
+    own = F.coalesce("component_id", "doc_id")
     found = Settled(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")), "found")
-    for old in (rows, groups, buckets, members, sets):
+    for old in (rows, groups, buckets, members, sets, whole, met):
         old.drop()
     return found.df
 

@@ -100,3 +100,28 @@ def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components(edges).collect()
     assert len(got) == 201 and {r["component"] for r in got} == {0}
+
+
+def test_one_id_with_two_texts_loses_no_link(spark):
+    """A family around a hub that is not near enough to documents 3 and 5, which are near each other; document 5 has another, unrelated text."""
+    base = prose(700, 120).split()
+
+    def edited(*places):
+        return " ".join(f"e{p}" if p in places else w for p, w in enumerate(base))
+
+    rows = [(10 + i, edited(100, 105 + i)) for i in range(8)] + [(3, edited(10, 30, 50, 70)), (5, edited(10, 30, 50, 70, 71)), (5, prose(701, 90)), (6, prose(701, 90) + " end"), (5, prose(702, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in minhash.near_duplicates(df, words=4).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_shingles"], r["component_id"]))
+    want = brute([((i, k), t) for k, (i, t) in enumerate(rows)], 4)
+    for k, (i, _) in enumerate(rows):
+        n, (least, _) = want[i, k]
+        assert (n, least) in got[i], (i, got[i])
+    assert (len(shingles(rows[9][1], 4)), 3) in got[5] and got[6][0][1] == 5
+
+
+def test_a_hot_id_with_many_texts(spark):
+    rows = [(1, prose(3000 + i, 30)) for i in range(60)] + [(2, prose(3005, 30) + " more"), (None, prose(3006, 30))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert len(got) == len(rows) and [r["component_id"] for r in got if r["doc_id"] == 2] == [1]
