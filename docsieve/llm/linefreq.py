@@ -1,13 +1,13 @@
 """Quality rules: base counts of a text, and cross-document line frequency, in DataFrame functions alone.
 
-Lines are normalised (case, digits, white space) and hashed; each document counts once for each of its lines, per host (source). A line is above the limits
-when more than ``LINE_DOCS`` documents of its host have it and these are more than one in ``LINE_SHARE`` of the host's, or when more than
-``LINE_MOST`` have it, however large the host. Such lines are
+Lines are normalised (case, digits, white space) and hashed; each document counts once for each of its lines, per host (source). A line is above the limit
+when more than ``LINE_DOCS`` documents of its host have it, however large the host. Such lines are
 removed, and a document is rejected when they hold more than ``DEPLETED`` percent of its words.
 
-Rows of one document are reduced to its distinct lines, and a hot line is summed, before the shuffle; the lines joined back are only those above the limits.
+Texts are read once: counts and hashed lines go to a written table of narrow rows. Lines are summed before the shuffle; only rows of a doc_id that stands
+in several rows are first made distinct. The lines joined back are those above the limit.
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; rows that share doc_id and text count as one
-document with one verdict; lines without words are no lines; an empty table gives no rows.
+document with one verdict; a null doc_id is no document in the counts of lines; lines without words are no lines; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Settled
+from .store import Settled, small
 
 LINE_DOCS = 20
-LINE_SHARE = 200
-LINE_MOST = 500
 DEPLETED = 60
 MIN_WORDS = 50
 SPACES = r"[\x20\x09-\x0D]+"
@@ -63,52 +61,47 @@ def repeated_words(windows: Column) -> Column:
     return total["n"]
 
 
+def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), SPACES, " "))
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, source, mark and the base counts of each row."""
-    made = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    made = made.select("doc_id", "source", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), solid_chars(F.col("text")).alias("word_chars"))
+    """doc_id, host, the base counts, and the hashed lines with their words of each row."""
+    made = docs.select("doc_id", F.xxhash64(F.col("source").isNull(), "source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    made = made.select("doc_id", "host", words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), solid_chars(F.col("text")).alias("word_chars"))
     n = F.size("w").cast("long")
     three = F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w")), F.slice("w", F.lit(3), F.size("w")))
     windows = F.when(F.size("w") >= 3, F.transform(F.slice(three, F.lit(1), F.size("w") - 2), lambda z: F.xxhash64(z["w"], z["1"], z["2"])))
-    made = made.select("doc_id", "source", "mark", n.alias("n_words"), "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("windows"))
+    hashed = F.transform("l", lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(WORD + "+")).alias("words")))
+    made = made.select("doc_id", "host", n.alias("n_words"), "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("windows"), hashed.alias("lines"))
     some = F.col("windows").isNotNull() & (F.size(F.array_distinct("windows")) < F.size("windows"))
     made = made.withColumn("n_repeat_words", F.when(some, repeated_words(F.col("windows"))).otherwise(F.lit(0)).cast("long")).drop("windows")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return made.withColumn("base_failed", failed)
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), SPACES, " "))
-
-
-def host_lines(docs: DataFrame) -> DataFrame:
-    """(host, doc_id, mark, line, words): the distinct normalised lines of each row as hashes, with the words that they hold in it."""
-    rows = docs.select("doc_id", F.xxhash64(F.col("source").isNull(), "source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.explode(lines(F.col("text"))).alias("line"))
-    count = F.regexp_count("line", F.lit(WORD + "+")).cast("long")
-    return rows.select("host", "doc_id", "mark", F.xxhash64(normalised(F.col("line"))).alias("line"), count.alias("words"))
-
-
-def frequent(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE, most: int = LINE_MOST) -> DataFrame:
-    """(host, line) above the limits."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(F.col("source").isNull(), "source").alias("host"), text.alias("text"))
-    hashed = F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.xxhash64(normalised(x))))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("documents"))
-    # as in the SQL, a line counts documents (distinct ids, null is none) and a host its rows
-    each = rows.where("doc_id is not null").select("host", "doc_id", F.explode(hashed).alias("line")).distinct()
-    counted = each.groupBy("host", "line").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > least).join(sizes, "host").where((F.col("n") > most) | (F.col("n") * share > F.col("documents"))).select("host", "line")
+def frequent(rows: DataFrame, least: int = LINE_DOCS) -> DataFrame:
+    """(host, line) that more than ``least`` documents of the host have; rows: a written table as ``base`` makes it."""
+    named = rows.where("doc_id is not null").select("doc_id", "host", F.array_distinct("lines.line").alias("lines"))
+    again = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    each = named.select("host", F.explode("lines").alias("line"))
+    if not again.isEmpty():
+        repeated = Settled(again, "repeated")
+        ids = small(repeated.df)
+        several = named.join(ids, "doc_id", "left_semi").select("host", "doc_id", F.explode("lines").alias("line")).distinct().select("host", "line")
+        each = named.join(ids, "doc_id", "left_anti").select("host", F.explode("lines").alias("line")).unionByName(several)
+    return each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least).select("host", "line")
 
 
-def judge(docs: DataFrame, least: int = LINE_DOCS, share: int = LINE_SHARE, depleted: int = DEPLETED, most: int = LINE_MOST) -> DataFrame:
+def judge(docs: DataFrame, least: int = LINE_DOCS, depleted: int = DEPLETED) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of docs."""
-    common = Settled(frequent(docs, least, share, most), "common").df
-    hit = host_lines(docs).join(common, ["host", "line"])
-    # rows that repeat doc_id and text give the same sums several times: the ratio of removed to own lines' words is taken for one of them
-    lost = hit.groupBy("doc_id", "mark").agg(F.sum("words").alias("lost"))
-    copies = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).agg(F.count("*").alias("copies")).where("copies > 1")
-    b, x, c = base(docs).alias("b"), lost.alias("x"), copies.alias("c")
-    same = lambda t: F.col("b.doc_id").eqNullSafe(F.col(f"{t}.doc_id")) & (F.col("b.mark") == F.col(f"{t}.mark"))
-    joined = b.join(x, same("x"), "left").join(c, same("c"), "left")
-    empty = 100 * F.coalesce("x.lost", F.lit(0)) > depleted * F.col("b.n_words") * F.coalesce("c.copies", F.lit(1))
-    return joined.select("b.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~empty).alias("kept"))
+    rows = Settled(base(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    common = Settled(frequent(rows.df, least), "common")
+    hit = rows.df.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words").join(small(common.df), ["host", "line"])
+    lost = hit.groupBy("row").agg(F.sum("words").alias("lost"))
+    joined = rows.df.drop("lines", "host").join(lost, "row", "left")
+    empty = 100 * F.coalesce("lost", F.lit(0)) > depleted * F.col("n_words")
+    found = Settled(joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~empty).alias("kept")), "judged")
+    rows.drop()
+    common.drop()
+    return found.df

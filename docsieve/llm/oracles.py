@@ -22,8 +22,7 @@ t AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_i
 u AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 v AS (SELECT doc_id, count(DISTINCT i + j) AS k FROM u, range(0, 3) o(j) GROUP BY 1),
 x AS MATERIALIZED (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(y), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(y, '{_WORD}')) AS words FROM (SELECT doc_id, source, unnest(ls) AS y FROM d)),
-h AS (SELECT source, count(*) AS documents FROM d GROUP BY 1),
-f AS (SELECT x.source, line FROM x JOIN h ON h.source IS NOT DISTINCT FROM x.source GROUP BY ALL HAVING count(DISTINCT doc_id) > {linefreq.LINE_DOCS} AND (count(DISTINCT doc_id) > {linefreq.LINE_MOST} OR count(DISTINCT doc_id) * {linefreq.LINE_SHARE} > max(documents))),
+f AS (SELECT source, line FROM x GROUP BY ALL HAVING count(DISTINCT doc_id) > {linefreq.LINE_DOCS}),
 q AS (SELECT doc_id, sum(words) AS lost FROM x JOIN f ON f.source IS NOT DISTINCT FROM x.source AND f.line = x.line GROUP BY 1),
 z AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM d LEFT JOIN v USING (doc_id) LEFT JOIN q USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {linefreq.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < {linefreq.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * lost > {linefreq.DEPLETED} * n_words AS kept FROM z"""

@@ -31,24 +31,30 @@ def test_common_lines_deplete(spark):
     many = own(30).replace(" ", "  ")
     rows = [(i, "h", many if i < 6 else own(i) + "\n" + own(30).split("\n")[1].upper()) for i in range(12)] + [(20, "other", many), (21, None, many)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    kept = {r["doc_id"]: r["kept"] for r in linefreq.judge(df.union(df.where("doc_id = 0")), least=4, share=3).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in linefreq.judge(df.union(df.where("doc_id = 0")), least=4).collect()}
     assert [kept[i] for i in (0, 5, 6, 20, 21)] == [False, False, True, True, True]
 
 
 def test_no_host_excuses_a_line(spark):
-    shared = prose(40, 30)
-    rows = [(i, "h", shared + "\n" + prose(3000 + i, 60 if i < 12 else 5)) for i in range(24)] + [(100 + i, "h", prose(5000 + i, 60)) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    assert linefreq.frequent(df, least=4, share=3).count() == 0 and linefreq.frequent(df, least=4, share=3, most=20).count() == 1
+    """Verdicts stay when unrelated rows are added to the host."""
+    shared = prose(40, 90)
+    rows = [(i, "h", shared + "\n" + prose(3000 + i, 60 if i < 12 else 5)) for i in range(24)] + [(90, "h", prose(4999, 60))]
+    more = [(100 + i, "h", prose(5000 + i, 20)) for i in range(6000)]
+    verdicts = []
+    for extra in ([], more):
+        df = spark.createDataFrame(rows + extra, "doc_id long, source string, text string")
+        assert linefreq.frequent(linefreq.base(df)).count() == 1
+        verdicts.append({r["doc_id"]: r["kept"] for r in linefreq.judge(df).where("doc_id < 100").collect()})
+    assert verdicts[0] == verdicts[1] and not any(verdicts[0][i] for i in range(12, 24)) and verdicts[0][90]
 
 
 def test_a_repeated_document_is_one_document(spark):
     text = "\n".join(prose(900 + j, 8) for j in range(10))
     df = spark.createDataFrame([(1, "h", text)] * 25 + [(2, "h", prose(950, 60))], "doc_id long, source string, text string")
-    assert linefreq.frequent(df).count() == 0
+    assert linefreq.frequent(linefreq.base(df)).count() == 0
     assert {(r["doc_id"], r["kept"]) for r in linefreq.judge(df).collect()} == {(1, True), (2, True)}
     many = spark.createDataFrame([(i, "h", text) for i in range(25)], df.schema)
-    assert linefreq.frequent(many.union(many)).count() == 10 and not linefreq.judge(many.union(many)).where("kept").count()
+    assert linefreq.frequent(linefreq.base(many.union(many))).count() == 10 and not linefreq.judge(many.union(many)).where("kept").count()
 
 
 def test_fingerprints(docs, repeated, empty):
