@@ -5,7 +5,7 @@ byte embeddings, each keeps its maximum in a window, a softmax layer reads the m
 largest mean log-probability of its windows, weighted by bytes. The filters of all widths lie in one kernel, so applying
 the net to a batch of windows is a look-up, a matrix product and a maximum.
 
-Training: Adam on windows of the whole texts of a bounded sample (about ``PER_CLASS`` rows of each language) outside the held-out fold.
+Training: Adam on windows of the whole texts of a bounded sample (about ``PER_CLASS`` rows of each language, within the bounds of ``sample``) outside the held-out fold.
 Defined cases: a text that is null or has no letter is ``und`` with score 0; equal texts give equal results; an empty
 table gives no rows; if no language can be learnt, every text is ``und``. Case of ASCII letters is ignored.
 """

@@ -53,6 +53,22 @@ def test_no_labels(docs, labels):
     assert {r["lang_pred"] for r in bytecnn.predict(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("false").unionByName(docs.drop("lang").selectExpr("*", "cast(null as string) lang").select(*docs.columns))).collect()} == {"und"}
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """Thousands of labels: those of most rows are learnt. Texts beyond the bytes: the first by dice that fit, the same in each run."""
+    from docsieve.llm import sample
+
+    rows = [(i, f"text {i} " + "x" * (i % 50), "en" if i % 3 else f"dirty{i:05d}") for i in range(15_000)]
+    df = spark.createDataFrame(rows + [(20_000, "y" * 5000, "en")], "doc_id long, text string, label string").repartition(5)
+    got = sample.own_labels(df, 300)
+    by = {y: sum(1 for _, z in got if z == y) for _, y in got}
+    assert len(by) <= sample.MOST_LABELS and 200 < by["en"] < 400 and "dirty00000" in by and "dirty14997" not in by
+    bounded, most = sample._share(df, 300)
+    few = sample._texts(bounded, most, 4000)
+    assert few == sample._texts(bounded.repartition(3), most, 4000) and 0 < sum(len(t) for t, _ in few) <= 4000 and max(len(t) for t, _ in few) < 100
+    net = bytecnn.train(df.withColumnRenamed("label", "lang"))
+    assert len(net.languages) <= sample.MOST_LABELS and "en" in net.languages
+
+
 def test_toxicity_probabilities_as_brute_force():
     """A plain Python count of both models; after each word the probabilities of all words and of one not seen sum to 1."""
     from collections import Counter
