@@ -13,7 +13,7 @@ from ..operators import extract, fusion, liveness, zone
 from ..operators import linkage as cards
 from ..sources import media, sinks
 from . import fixtures as fx
-from . import oracles
+from . import flow_oracles, flows, oracles
 
 FLAGSHIP = "two_sided_merge"
 AS_OF_YEAR = 2026
@@ -429,8 +429,8 @@ def response_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("queries", "oracle_sql")]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | flows.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | flow_oracles.sql()
