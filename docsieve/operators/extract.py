@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import APOSTROPHES, clean_word, document_number, fold, no_apostrophes, personal_number, repair_given_name, repair_patronymic, strong_first_name
+from ..functions.text import APOSTROPHES, document_number, fold, no_apostrophes, personal_number, repair_given_name, repair_patronymic, strong_first_name
+from .extract_words import NOT_NAMES, PATRONYMIC_END, name_like, tokens
+from .layout import given_between, patronymic_below
 from .zone import COUNTRY, Stage
 
 # --- fixed values: stems and words of labels, suffixes, label and place patterns of the documents ---
-LABEL_STEMS = ("PATR", "FAMIL", "SURNAME", "GIVEN", "GIVE", "NAME", "ISMI", "SMI", "OTAS", "OTD", "OTS", "TUGIL", "BERIL", "AMAL", "QILISH", "RESPUBL", "GUVOH", "PASPORT", "PASSP", "FUQAR", "FUAR", "CITIZEN", "NATION", "JINSI", "KARTA", "CARD", "MUDDAT", "AUTHOR", "PLACE", "BIRTH", "BIRT", "BIET", "BETH", "BTOV", "ISSUE", "REPUBLIC", "SHAXS", "SANASI", "DATE", "USER", "ATINI")
-NOT_NAMES = ("OF", "SEX", "UZBEKISTAN", "UZBEK", "UZB", "EEE", "RAQAMI", "NUMBER", "QINSI", "EFT", "ЗЕХ", "ПАС", "PAS", "ZEX", "ERKAK", "AYOL", "MALE", "FEMALE", "МУЖ", "ЖЕН", "АКУЛА", "AQVOANAUNUY", "FATNILIYAST", "FATNILIYASI", "FARMIYAST", "ISINI", "ETH", "AAA", "BBB", "CCC", "OOO", "SSS", "ZZZ", "LAA", "CGA", "ALS", "SET", "SETS", "CAE", "RESS", "STATE", "CENTRE", "CENTER", "REGION", "TUMANI", "IIB", "SIGNATURE", "HOLDER", "PERSONALIZATION", "RODIN", "BEDIN", "LADIN", "SAMION", "ERAT", "ACTRYET")
 SURNAME_LABEL = r"(?iu)famili|surname|fairo|farmi|fatnili|farui|farni|zurna"
 GIVEN_LABEL = r"(?iu)\b[i1l]?[s5][mn]i\b|g[i1l]?[uvw]en|\bnames?\b"
-PATRONYMIC_LABEL = r"(?iu)otasining|patr"
-PATRONYMIC_END = r"(?iu)(O['ʻʼ`]?G['ʻʼ`]?LI|QIZI|GIZI|OVICH|EVICH|OVISH|EVISH|OWICH|EWICH|OWIEH|OVIBH|OVICR|EVICR|OVIC|EVIC|OVNA|EVNA|OVHA|EVHA|VICH|VISH|VNA|OV|EV|OVA|EVA)$"
-PATRONYMIC = r"(?iu)\b([A-Za-zА-Яа-я][A-Za-zА-Яа-я'ʻʼ`]{2,20}[ \t]+(?:O['ʻʼ`]?[ \t]*G['ʻʼ`]?[ \t]*LI|QIZI|GIZI)|[A-Za-zА-Яа-я][A-Za-zА-Яа-я'ʻʼ`]{2,25}?(?:OVICH|EVICH|OVISH|EVISH|OWICH|EWICH|OWIEH|OVIBH|OVICR|EVICR|OVIC|EVIC|OVI4|EVI4|OVNA|EVNA|OVHA|EVHA|OWNA|EWNA|VICH|VISH|VNA))\b"
+PATRONYMIC_LABEL = r"(?iu)otasining\s*is[mn]?[i1]?|patr"
+PATRONYMIC = r"(?iu)\b([A-Za-zА-Яа-я][A-Za-zА-Яа-я'ʻʼ`]{2,20}\s+(?:O['ʻʼ`]?\s*G['ʻʼ`]?\s*LI|QIZI|GIZI)|[A-Za-zА-Яа-я][A-Za-zА-Яа-я'ʻʼ`]{2,25}?(?:OVICH|EVICH|OVISH|EVISH|OWICH|EWICH|OWIEH|OVIBH|OVICR|EVICR|OVIC|EVIC|OVI4|EVI4|OVNA|EVNA|OVHA|EVHA|OWNA|EWNA|VICH|VISH|VNA)|O['ʻʼ`]?\s*G['ʻʼ`]?\s*LI|QIZI|GIZI)\b"
 PATRONYMIC_NOT = "BERIL|SANASI|DATE|ISSUE|FUQAR|CITIZEN|TUGIL|RESPUBL"
 PEOPLES = r"(?iu)\b(O['ʻʼ`]?ZBEK|RUS|QOZOQ|TOJIK|TATAR|QORAQALPOQ)\b"
 PLACE = r"(?iu)\b([A-Za-zА-Яа-я'ʻʼ`\s-]{3,25}\s+(?:TUMANI|ТУМАНИ|SHAHRI|ША[ХҲ]РИ|VILOYATI|ВИЛОЯТИ|REGION|DISTRICT))\b"
@@ -64,20 +63,6 @@ def dates(df: DataFrame, text: str = "text") -> DataFrame:
     return z.done(dates=F.struct(birth.alias("birth_date"), issued.alias("issue_date"), expiry.alias("expiry_date")))
 
 
-def _token(w: Column) -> Column:
-    t = F.upper(F.regexp_replace(clean_word(w), "^[^A-Za-z]+|[^A-Za-z]+$", ""))
-    return F.translate(t, "ʻʼ`", "'''")
-
-
-def _name_like(t: Column, least: int) -> Column:
-    bare = no_apostrophes(t)
-    return (F.length(bare) >= least) & bare.rlike(r"^\p{L}+$") & ~t.rlike("|".join(LABEL_STEMS)) & ~t.isin(*NOT_NAMES) & ~bare.isin(*NOT_NAMES)
-
-
-def _tokens(line: Column) -> Column:
-    return F.transform(F.split(F.coalesce(line, F.lit("")), r"\s+"), _token)
-
-
 def _surname_points(t: Column) -> Column:
     return 2 + F.when(t.rlike("(OV|EV|OVA|EVA)$"), 6).otherwise(0) + F.when(F.length(no_apostrophes(t)) >= 5, 2).otherwise(0)
 
@@ -91,65 +76,69 @@ def _best(candidates: Column) -> Column:
     return F.array_max(ranked)["t"]
 
 
+def whole_patronymic(text: Column, repairs: tuple[tuple[str, str], ...] = ()) -> Column:
+    """The first word of the text with a patronymic's form, or such an ending alone; of one that runs over lines the last line. Null where it is no name."""
+    found = F.regexp_extract(F.upper(F.regexp_extract(text, PATRONYMIC, 1)), r"([^\n]*)$", 1)
+    bare = F.regexp_replace(F.trim(F.regexp_replace(found, "^[^A-ZА-Я]+", "")), r"^[A-Z]\s+", "")
+    fits = (bare != "") & (F.size(F.split(bare, r"\s+")) <= 2) & ~bare.rlike(PATRONYMIC_NOT)
+    repaired = repair_patronymic(bare, repairs)
+    return F.when(fits & ~repaired.isin(*NOT_NAMES), repaired)
+
+
 def names(df: DataFrame, text: str = "text", patronymics: tuple[tuple[str, str], ...] = (), given_names: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """df with ``names``: struct<surname, first_name, patronymic>.
 
-    Lines after a label (and, for the surname, before the given-name label) give candidates with points; points of a token add up. A
-    passport's national section overrules them. Repairs of single persons' names are not built in; the tables take a user's own.
+    Each line is read once: what it could give as a surname, a given name and a patronymic, with points, and what it is the label of. Lines after a
+    label (and, for the surname, before the given-name label) are candidates; points of a word add up. Where no label leads to a name, its
+    place does (``layout``), and a passport's national section overrules. Repairs of single persons' names are not built in; the tables take a user's own.
     """
     z = Stage(df)
     z(lines=lines_of(F.col(text)))
-    z(clean=F.transform(z.lines, lambda x: F.translate(fold(x), "'ʻʼ", "")))
-    steps = F.array(F.lit(1), F.lit(2), F.lit(3))
-    pick = lambda line, ok, change: _head(F.filter(F.transform(_tokens(line), change), ok))
+    late = r"(VICH|VICR|OVIC|EVIC|VNA|QIZI|OGLI|UGLI)$"
     candidate = lambda t, points: F.struct(t.alias("t"), F.when(t.isNotNull(), points).alias("p"))
-    sur_ok = lambda t: _name_like(t, 3)
-    is_sur = lambda c: c.rlike(SURNAME_LABEL)
-    is_given = lambda c: ~is_sur(c) & ~c.rlike(r"(?iu)otasining|patron") & c.rlike(GIVEN_LABEL)
-    is_pat = lambda c: ~is_sur(c) & ~is_given(c) & c.rlike(PATRONYMIC_LABEL)
-
-    def sur_at(i, s, points):
-        t = pick(F.get(z.lines, i), sur_ok, lambda x: x)
-        return candidate(t, _surname_points(t) + points)
-
+    bonus = lambda test, n: F.when(test, n).otherwise(0)
+
+    def read(words: Column) -> Column:
+        """What a line's words give: the first fit for each part of the name."""
+        named = F.filter(words, lambda t: name_like(t, 3))
+        sur = _head(named)
+        giv = _head(F.filter(F.transform(F.filter(named, lambda t: ~no_apostrophes(t).rlike(late)), lambda t: repair_given_name(t, None, given_names)), lambda t: t.isNotNull()))
+        pat = repair_patronymic(_head(F.filter(named, lambda t: (F.length(no_apostrophes(t)) >= 4) & t.rlike(PATRONYMIC_END))), patronymics)
+        giv_points = 2 + bonus(strong_first_name(giv), 8) + bonus(F.length(no_apostrophes(giv)) >= 4, 2)
+        return F.struct(candidate(sur, _surname_points(sur)).alias("sur"), candidate(giv, giv_points).alias("giv"), candidate(pat, 2 + bonus(pat.rlike("(VICH|VNA|QIZI|OGLI|UGLI)$"), 6)).alias("pat"))
+
+    z(words=F.transform(z.lines, tokens))
+    z(each=F.transform(z.words, read))
+    label = lambda c: F.when(c.rlike(SURNAME_LABEL), "sur").when(~c.rlike(r"(?iu)otasining|patron") & c.rlike(GIVEN_LABEL), "giv").when(c.rlike(PATRONYMIC_LABEL), "pat").otherwise("")
+    z(kind=F.transform(z.lines, lambda x: label(F.translate(fold(x), "'ʻʼ", ""))))
     none = F.array().cast("array<struct<t:string,p:int>>")
-    ahead = lambda i: F.transform(steps, lambda s: sur_at(i + s, s, F.lit(0)))
-    behind = lambda i: F.transform(F.filter(steps, lambda s: s <= i), lambda s: sur_at(i - s, s, 3 - s))
-    z(sur=F.flatten(F.transform(z.clean, lambda c, i: F.when(is_sur(c), ahead(i)).when(is_given(c), behind(i)).otherwise(none))))
-    late = r"(VICH|VICR|OVIC|EVIC|VNA|QIZI|OGLI|UGLI)$"
-    given_ok = lambda t: t.isNotNull() & _name_like(t, 3)
-    change = lambda t: F.when(~no_apostrophes(t).rlike(late), repair_given_name(t, None, given_names))
-
-    def given_at(i):
-        t = pick(F.get(z.lines, i), given_ok, change)
-        return candidate(t, 2 + F.when(strong_first_name(t), 8).otherwise(0) + F.when(F.length(no_apostrophes(t)) >= 4, 2).otherwise(0))
-
-    z(giv=F.flatten(F.transform(z.clean, lambda c, i: F.when(is_given(c), F.transform(steps, lambda s: given_at(i + s))).otherwise(none))))
-    pat_ok = lambda t: t.rlike(PATRONYMIC_END) & _name_like(t, 4)
-
-    def pat_at(i):
-        t = repair_patronymic(pick(F.get(z.lines, i), pat_ok, lambda x: x), patronymics)
-        return candidate(t, 2 + F.when(t.rlike("(VICH|VNA|QIZI|OGLI|UGLI)$"), 6).otherwise(0))
-
-    z(patc=F.flatten(F.transform(z.clean, lambda c, i: F.when(is_pat(c), F.transform(steps, lambda s: pat_at(i + s))).otherwise(none))))
-    full = F.upper(F.regexp_extract(F.col(text), PATRONYMIC, 1))
-    z(pat=F.coalesce(F.when((full != "") & ~full.rlike(PATRONYMIC_NOT), repair_patronymic(full, patronymics)), _best(z.patc)))
+    after = lambda i, part: F.transform(F.slice(z.each, i + 2, F.lit(3)), lambda e: e[part])
+    behind = lambda i: F.transform(F.slice(z.each, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), lambda e, j: F.struct(e["sur"]["t"].alias("t"), (e["sur"]["p"] + 3 - F.least(i, F.lit(3)) + j).alias("p")))
+    led = lambda body: F.flatten(F.transform(z.kind, body))
+    # the nearest line before a label comes first among equals
+    z(sur=led(lambda k, i: F.when(k == "sur", after(i, "sur")).when(k == "giv", F.reverse(behind(i))).otherwise(none)))
+    z(giv=led(lambda k, i: F.when(k == "giv", after(i, "giv")).otherwise(none)))
+    z(patc=led(lambda k, i: F.when(k == "pat", after(i, "pat")).otherwise(none)))
     z(surname=_best(z.sur))
     z(first=_best(F.filter(z.giv, lambda c: z.surname.isNull() | (c["t"] != z.surname))))
+    z(pat=F.coalesce(whole_patronymic(F.col(text), patronymics), _best(z.patc)))
+    z(pat=F.coalesce(z.pat, patronymic_below(z.lines, z.first, patronymics)))
     # the national section of a passport: between the republic's line and the patronymic's label
     card = F.col(text).rlike(r"(?iu)GUVOHNOMASI|KARTA\s*RAQAMI|CARD\s*NUMBER|IDENTITY\s*CARD")
     place = lambda test: _head(F.filter(F.transform(z.lines, lambda x, i: F.struct(F.upper(x).alias("x"), i.alias("i"))), test))["i"]
     z(top=place(lambda e: e["x"].contains("RESPUBLIKASI") & ~e["x"].rlike("REPUBLIC|PASPORT|PASSPORT|GUVOHNOMA")))
     z(end=place(lambda e: (e["i"] > z.top) & e["x"].rlike(r"(?iu)otasining\s*is[mn]?[i1]?")))
-    inside = F.when(~card & z.end.isNotNull(), F.slice(z.lines, z.top + 2, z.end - z.top - 1))
-    z(sect=F.filter(F.flatten(F.transform(inside, _tokens)), lambda t: _name_like(t, 3)))
+    inside = F.when(~card & z.end.isNotNull(), F.slice(z.words, z.top + 2, z.end - z.top - 1))
+    z(sect=F.filter(F.flatten(inside), lambda t: name_like(t, 3)))
     nsur = _head(F.filter(z.sect, lambda t: no_apostrophes(t).rlike("(OV|EV|OVA|EVA|IY|IYA)$")))
     z(nsur=nsur)
     nfirst = F.try_element_at(F.filter(z.sect, lambda t: ~no_apostrophes(t).rlike("(OV|EV|OVA|EVA|IY|IYA|VICH|OVNA|EVNA|OGLI|QIZI)$")), F.lit(1))
     z(surname=F.coalesce(z.nsur, z.surname), first=F.coalesce(repair_given_name(nfirst, z.nsur, given_names), z.first))
     spelt = lambda n: F.when(n.contains("KH") & F.upper(F.col(text)).contains(F.replace(n, F.lit("KH"), F.lit("X"))), F.replace(n, F.lit("KH"), F.lit("X"))).otherwise(n)
     z(surname=spelt(z.surname), first=spelt(z.first))
-    return z.done(names=F.struct(z.surname.alias("surname"), F.when(~z.first.eqNullSafe(z.surname), z.first).alias("first_name"), z.pat.alias("patronymic")))
+    z(first=F.when(~z.first.eqNullSafe(z.surname), z.first))
+    weak = z.surname.isNotNull() & z.pat.isNotNull() & ~strong_first_name(z.first)
+    return z.done(names=F.struct(z.surname.alias("surname"), F.when(weak, given_between(z.lines, z.surname, z.first, given_names)).otherwise(z.first).alias("first_name"), z.pat.alias("patronymic")))
 
 
 def toponym(s: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import mrz, text, tokens
 from ..functions.linkage import DAYS, MONTHS, PAIRS
-from ..operators import extract, fusion
+from ..operators import extract_words, fusion
 from . import fixtures as fx
 
 ck = fx.duck_check
@@ -143,7 +143,7 @@ def _token(sid: str, chn: str, exp: str, secret: str) -> tuple[str, str]:
 
 
 def _name_like(t: str) -> str:
-    return f"(length({t}) >= 3 AND NOT regexp_matches({t}, '{'|'.join(extract.LABEL_STEMS)}') AND {t} NOT IN ({', '.join(repr(x) for x in extract.NOT_NAMES)}))"
+    return f"(length({t}) >= 3 AND NOT regexp_matches({t}, '{'|'.join(extract_words.LABEL_STEMS)}') AND {t} NOT IN ({', '.join(repr(x) for x in extract_words.NOT_NAMES)}))"
 
 
 def sql() -> dict[str, str]:
