@@ -21,19 +21,26 @@ def movement(area_ratio: Column) -> Column:
     return F.when(area_ratio >= 1.15, "closer").when(area_ratio <= 0.88, "away").otherwise("neither")
 
 
+def composite(active: Column, rated: Column, spoof_score: Column) -> Column:
+    """60 percent of the mean of ``rated`` confidences with the sum ``active``, 40 percent of what the spoof score leaves; to tenths, halves to the even one.
+
+    Decimals throughout: ten times the score as a fraction of whole hundredths over the number of steps, 6 * active / rated + 4 * (100 - spoof).
+    """
+    rated = F.greatest(rated, F.lit(1))
+    over = ((6 * active + rated * 4 * F.greatest(100 - spoof_score.cast("decimal(9,2)"), F.lit(0))) * 100).cast("long")
+    under = rated * 100
+    tenths = F.floor(over / under)
+    rest = 2 * (over - tenths * under)
+    return (tenths + F.when((rest > under) | ((rest == under) & (tenths % 2 == 1)), 1).otherwise(0)) / 10
+
+
 def sessions(steps: DataFrame, session: list[str]) -> DataFrame:
     """verdict, is_live and score of each session from its steps (passed, confidence), its baseline's spoof score and number of frames.
 
     Too few frames, then a spoof, decide before the steps do. Scores are exact decimals, halves go to the even tenth, so a tie has one result.
     """
     out = steps.groupBy(*session).agg(F.count("passed").alias("n_steps"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("all_passed"), F.coalesce(F.sum(F.col("confidence").cast("decimal(9,2)")), F.lit(0).cast("decimal(9,2)")).alias("active"), F.count("confidence").alias("rated"), F.max("spoof_score").alias("spoof_score"), F.max("frames").alias("frames"))
-    # ten times the score, as a fraction of whole hundredths over the number of steps: 6 * active / rated + 4 * (100 - spoof)
-    rated = F.greatest(F.col("rated"), F.lit(1))
-    over = ((6 * F.col("active") + rated * 4 * (100 - F.col("spoof_score").cast("decimal(9,2)"))) * 100).cast("long")
-    under = rated * 100
-    tenths = F.floor(over / under)
-    rest = 2 * (over - tenths * under)
-    score = (tenths + F.when((rest > under) | ((rest == under) & (tenths % 2 == 1)), 1).otherwise(0)) / 10
+    score = composite(F.col("active"), F.greatest(F.col("rated"), F.lit(1)), F.col("spoof_score"))
     few, spoofed = F.col("frames") < 2, F.col("spoof_score") >= 50.0
     live = ~few & ~spoofed & F.col("all_passed") & (score >= 65.0)
     verdict = F.when(few, "INSUFFICIENT_FRAMES").when(spoofed, "SPOOF_ATTACK_DETECTED").when(live, "LIVE_AUTHENTIC").otherwise("CHALLENGE_FAILED")

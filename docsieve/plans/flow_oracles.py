@@ -69,5 +69,71 @@ r(user_id, event_id, rn, admitted, log) AS (SELECT user_id, event_id, rn, true,
 SELECT user_id, event_id, admitted FROM r"""
 
 
+def _sessions() -> str:
+    """Frames ranked among those that decode, challenges drawn and laid beside them, the branches in their order."""
+    f = flows.FRAMES
+    measured = ", ".join(f"{e} AS {n}" for n, e in f.items())
+    kinds = "'LOOK_LEFT', 'LOOK_RIGHT', 'MOVE_CLOSER', 'MOVE_AWAY', 'BLINK', 'SMILE'"
+    both = "coalesce(b.found AND a.found, false)"
+    ratio = "a.area / (b.area + 1e-4)"
+    passed = f"coalesce(CASE c WHEN 'MOVE_CLOSER' THEN {both} AND {ratio} >= 1.15 WHEN 'MOVE_AWAY' THEN {both} AND {ratio} <= 0.88 WHEN 'BLINK' THEN a.found WHEN 'SMILE' THEN a.found AND a.smiles > 0 ELSE a.profile OR ({both} AND abs((a.center - b.center) / a.width) > 0.04) END, false)"
+    sure = f"CASE c WHEN 'MOVE_CLOSER' THEN least(98.0, 70.0 + ({ratio} - 1.15) * 60.0) WHEN 'MOVE_AWAY' THEN least(98.0, 70.0 + (0.88 - {ratio}) * 80.0) WHEN 'BLINK' THEN CASE WHEN a.eyes = 0 THEN 85.0 ELSE 70.0 END WHEN 'SMILE' THEN 88.0 ELSE CASE WHEN a.profile THEN 88.0 ELSE 75.0 END END"
+    return f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events),
+fr AS (SELECT user_id, rn // 4 AS part, concat(user_id, '-', rn // 4) AS session, rn % 4 AS idx, {measured} FROM e),
+ct AS (SELECT session, user_id * 1000 + part AS seed, part, count(*) AS n, count(*) FILTER (WHERE decoded) AS good FROM fr GROUP BY ALL),
+ok AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session ORDER BY idx) - 1 AS r FROM fr WHERE decoded),
+cd AS (SELECT session, part, c, md5(concat(seed, '-', c)) AS h FROM ct, (SELECT unnest([{kinds}]) AS c)),
+cm AS (SELECT *, row_number() OVER (PARTITION BY session, starts_with(c, 'MOVE') ORDER BY h) AS m FROM cd),
+ch AS (SELECT session, c, row_number() OVER (PARTITION BY session ORDER BY h) AS i, part FROM cm WHERE NOT starts_with(c, 'MOVE') OR m = 1),
+st AS (SELECT session, i, c, passed, round_even(CASE WHEN passed THEN sure ELSE 0.0 END::DOUBLE, 1) AS sure FROM (SELECT ch.session, i, c, {passed} AS passed, {sure} AS sure FROM ch JOIN ok a ON a.session = ch.session AND a.r = ch.i JOIN ok b ON b.session = ch.session AND b.r = 0 WHERE i <= 1 + ch.part % 3)),
+ag AS (SELECT session, bool_and(passed) AS all_passed, sum(round(sure * 10))::HUGEINT AS tenths, count(*) AS k, string_agg(concat(c, ' ', passed, ' ', printf('%.1f', sure)), ',' ORDER BY i) AS told FROM st GROUP BY session),
+v AS (SELECT ct.*, 2 + ct.part % 3 AS need, CASE WHEN seed % 19 = 0 THEN 'malformed' WHEN seed % 13 = 0 THEN 'forged' WHEN seed % 17 = 0 THEN 'expired' ELSE 'ok' END AS reason, ok.spoof_score AS spoof, all_passed, tenths, k, told FROM ct LEFT JOIN ok ON ok.session = ct.session AND ok.r = 0 LEFT JOIN ag ON ag.session = ct.session),
+x AS (SELECT *, 6 * tenths + k * 4 * (1000 - (spoof * 10)::HUGEINT) AS over, 10 * k AS under FROM v),
+y AS (SELECT *, ((over // under) + CASE WHEN 2 * (over % under) > under OR (2 * (over % under) = under AND (over // under) % 2 = 1) THEN 1 ELSE 0 END) / 10 AS score FROM x),
+z AS (SELECT *, CASE WHEN reason <> 'ok' THEN 'INVALID_TOKEN' WHEN n < need THEN 'INSUFFICIENT_FRAMES' WHEN good < need THEN 'DECODE_ERROR' WHEN spoof >= 50 THEN 'SPOOF_ATTACK_DETECTED' WHEN all_passed AND score >= 65 THEN 'LIVE_AUTHENTIC' ELSE 'CHALLENGE_FAILED' END AS verdict FROM y)
+SELECT session, verdict NOT IN ('INVALID_TOKEN', 'INSUFFICIENT_FRAMES', 'DECODE_ERROR') AS success, verdict, verdict = 'LIVE_AUTHENTIC' AS is_live, CASE WHEN verdict IN ('INVALID_TOKEN', 'INSUFFICIENT_FRAMES', 'DECODE_ERROR') THEN 0.0 WHEN verdict = 'SPOOF_ATTACK_DETECTED' THEN 100.0 - spoof ELSE score END::DOUBLE AS liveness_score, reason, CASE WHEN verdict IN ('LIVE_AUTHENTIC', 'CHALLENGE_FAILED') THEN told ELSE '' END AS challenges FROM z"""
+
+
+def _zone_search() -> str:
+    """What each part reads is known by its number, and with it what the record is worth."""
+    points = "CASE WHEN kind IN (1, 2, 5) THEN 10 + 35 + 35 + 20 + 15 + 15 WHEN kind = 3 THEN 10 + 35 + 35 + 20 + 15 ELSE -1 END"
+    return f"""WITH {fx.duck_identities()},
+c AS (SELECT k, part, doc, pinfl, surname, (k + 2 * part) % 6 AS kind FROM idn, range({flows.PARTS}) t(part) WHERE k % 7 <> 0 OR (k + 2 * part) % 6 IN (0, 3, 4)),
+s AS (SELECT *, {points} AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN score >= 120 THEN 0 ELSE 1 END, CASE WHEN score < 120 THEN -score END, part) AS n FROM s)
+SELECT k, part, score, CASE WHEN score >= 0 THEN doc END AS document_number, CASE WHEN score >= 0 THEN pinfl END AS jshshir, CASE WHEN score >= 120 THEN surname END AS surname FROM r WHERE n = 1"""
+
+
+def _cards() -> str:
+    """Dates of the front by their order, the back's birth by the pivot of the year; then checks, score, alerts and profile of each pair."""
+    from . import oracles
+
+    sides = ", ".join(f"{e} AS {n}" for n, e in flows.SIDES.items())
+    pivot = "concat(CASE WHEN substr(dob, 1, 2) <= '12' THEN '20' ELSE '19' END, substr(dob, 1, 2), '-', substr(dob, 3, 2), '-', substr(dob, 5, 2))"
+    digits = lambda x: f"regexp_replace({x}, {_NOT_DIGITS})"
+    state = lambda there, same: f"CASE WHEN NOT ({there}) THEN 'SKIPPED' WHEN {same} THEN 'MATCH' ELSE 'MISMATCH' END"
+    n = lambda what: " + ".join(f"({c} {what})::INT" for c in ("doc_state", "birth", "exp_state", "name"))
+    return "WITH " + ",\n".join(
+        [
+            fx.duck_identities(),
+            f"t AS (SELECT *, {sides} FROM idn)",
+            "d0 AS (SELECT k, unnest([fbirth, concat('2020', substr(expiry, 5)), fexpiry]) AS d FROM t)",
+            "d1 AS (SELECT k, substr(d, 1, 4) AS yr, min(d) AS d FROM (SELECT k, d, count(*) AS c, max(count(*)) OVER (PARTITION BY k, substr(d, 1, 4)) AS mx FROM d0 GROUP BY k, d) WHERE c = mx GROUP BY k, substr(d, 1, 4))",
+            "d2 AS (SELECT k, list(d ORDER BY d) AS ds, list(yr::INT ORDER BY d) AS y, count(*) AS n FROM d1 GROUP BY k)",
+            "d AS (SELECT k, CASE WHEN n >= 3 OR y[1] < 2012 THEN ds[1] END AS fb, CASE WHEN n >= 3 THEN ds[n] WHEN n = 2 AND (y[1] >= 2012 OR y[2] > 2026) THEN ds[2] END AS fe FROM d2)",
+            f"m0 AS (SELECT t.* EXCLUDE (birth), t.birth AS own_birth, fb, fe, {pivot} AS kb, {_number('fdoc')} AS fd, {_number('doc')} AS kd FROM t JOIN d USING (k))",
+            f"m1 AS (SELECT *, {digits('fb')} AS x, {digits('kb')} AS y, {digits('fe')} AS ex, {digits('expiry')} AS ey, coalesce(fb, kb) AS known FROM m0)",
+            f"m2 AS (SELECT *, CASE WHEN fd = kd THEN 'MATCH' ELSE 'MISMATCH' END AS doc_state, {state('fb IS NOT NULL', _dates('x', 'y'))} AS birth0, {state('fe IS NOT NULL', _dates('ex', 'ey'))} AS exp_state FROM m1)",
+            *oracles._cross("m2", "pinfl", "known", "gender"),
+            "m3 AS (SELECT m2.*, x.valid, x.alerts AS pa, CASE WHEN doc_state = 'MATCH' AND birth0 = 'MISMATCH' THEN 'MATCH' ELSE birth0 END AS birth, 'MATCH' AS name, doc_state = 'MISMATCH' AS differs FROM m2 JOIN x USING (k))",
+            f"m4 AS (SELECT *, concat_ws(',', CASE WHEN differs THEN 'different_cards' END, CASE WHEN doc_state = 'MISMATCH' THEN 'document_number' END, CASE WHEN birth = 'MISMATCH' THEN 'birth_date' END, CASE WHEN exp_state = 'MISMATCH' THEN 'expiry_date' END, CASE WHEN NOT valid THEN array_to_string([concat('pinfl_', a) for a in string_split(pa, ',')], ',') END) AS alerts, round_even(100.0 * ({n('= ' + repr('MATCH'))}) / ({n('<> ' + repr('SKIPPED'))}), 1) AS raw FROM m3)",
+            "m5 AS (SELECT *, CASE WHEN differs THEN least(raw, 25.0) ELSE raw END AS score FROM m4)",
+        ]
+    ) + """
+SELECT k AS key, CASE WHEN alerts = '' AND score >= 80 THEN 'VERIFIED_MATCH' WHEN alerts <> '' THEN 'SUSPECTED_FRAUD' ELSE 'WARNING' END AS overall_status, score::DOUBLE AS match_score, differs AS different_cards, k % 5 = 0 AS auto_swapped,
+CASE WHEN differs THEN 35.0 ELSE round_even((CASE WHEN fb IS NULL THEN 67.5 ELSE 90.0 END + 92.0)::DOUBLE / 2, 1) END::DOUBLE AS confidence, alerts, fd AS document_number, CASE WHEN NOT differs THEN pinfl END AS personal_number, surname, concat_ws(' ', surname, first_name, 'KARIMOVICH') AS full_name,
+CASE WHEN differs THEN fb ELSE own_birth END AS date_of_birth, CASE WHEN differs THEN fe ELSE expiry END AS date_of_expiry, CASE WHEN NOT differs THEN 'POP TUMANI' END AS place_of_birth, 'O''zbekiston' AS nationality FROM m5"""
+
+
 def sql() -> dict[str, str]:
-    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG)}
+    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards()}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import admission, matching
+from ..functions import tokens
+from ..operators import admission, cards, matching, sessions
 from . import fixtures as fx
 
 #: Two records of each person and some repeated: letters read as digits, noise, shortened names, short dates, a placeholder number that every tenth has.
@@ -47,10 +48,87 @@ def admission_log(spark: SparkSession, sf: str) -> DataFrame:
     return admission.admitted(df, "user_id", "ts", "event_id", lambda: admission.SlidingLog(*LOG)).select("user_id", "event_id", "admitted")
 
 
+#: Frames of a session in order, four each, with what is measured on them; every sixth doesn't decode.
+FRAMES = {
+    "decoded": "event_id % 6 <> 0",
+    "found": "event_type <> 'error'",
+    "area": "value",
+    "center": "event_id * 37 % 640",
+    "width": "640",
+    "profile": "event_id % 5 = 0",
+    "eyes": "event_id % 3",
+    "smiles": "event_id % 2",
+    "spoof_score": "event_id % 13 * 5.0E0",
+}
+NOW = 1_000
+
+
+def liveness_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a user's events; some tokens are forged, expired, or no tokens."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    df = fx.table(spark, sf, "events").withColumn("rn", F.row_number().over(order) - 1)
+    df = df.withColumns({"part": F.floor(F.col("rn") / 4), "idx": F.col("rn") % 4}).withColumn("session", F.concat_ws("-", "user_id", "part"))
+    frames = df.selectExpr("session", "idx", *[f"{e} AS {n}" for n, e in FRAMES.items()])
+    seed = F.col("user_id") * 1000 + F.col("part")
+    drawn = F.slice(tokens.choose(seed, 3), F.lit(1), (1 + F.col("part") % 3).cast("int"))
+    token = tokens.sign(F.col("session"), drawn, NOW + 1 - F.when(seed % 17 == 0, 2).otherwise(0), SECRET)
+    spoilt = F.when(seed % 19 == 0, F.lit("no token")).when(seed % 13 == 0, F.concat(token, F.lit("0"))).otherwise(token)
+    each = df.select("session", "user_id", "part").distinct().select("session", spoilt.alias("token"))
+    out = sessions.verify_sessions(each, frames, "session", "token", F.lit(NOW), SECRET)
+    told = F.array_join(F.transform("challenges_verified", lambda c: F.concat_ws(" ", c["challenge_id"], c["passed"].cast("string"), F.format_number(c["confidence"], 1))), ",")
+    return out.select("session", "success", "verdict", "is_live", "liveness_score", "reason", told.alias("challenges"))
+
+
+#: What a search of the zone reads in a part of an image, by (k + 2 * place) % 6: nothing; the zone in the second reading alone; in the first; without its name line.
+PARTS = 5
+# A Cyrillic letter stands for C, which counts as noise in the zone.
+_GOOD = "concat('x\n', replace(l1, 'C', 'С'), '\n', l2, '\n', l3, '\n')"
+FIRST_READING = f"CASE WHEN (k + 2 * part) % 6 = 2 THEN {_GOOD} WHEN (k + 2 * part) % 6 = 3 THEN concat(replace(l1, 'C', 'С'), '\n', l2, '\n<<<<<<<<<<<<<<<<<<<<<<<<<<<<<<\n') WHEN (k + 2 * part) % 6 = 4 THEN l3 ELSE 'noise' END"
+SECOND_READING = f"CASE WHEN (k + 2 * part) % 6 IN (1, 5) THEN {_GOOD} ELSE '' END"
+
+
+def zone_search(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).where("k % 7 <> 0 OR (k + 2 * part) % 6 IN (0, 3, 4)")
+    df = df.selectExpr("k", "part", f"{FIRST_READING} AS first", f"{SECOND_READING} AS second")
+    out = cards.zone_search(df, ["k"], "part", "first", "second", AS_OF_YEAR)
+    return out.select("k", "part", "score", F.col("mrz.document_number").alias("document_number"), F.col("mrz.jshshir").alias("jshshir"), F.col("mrz.surname").alias("surname"))
+
+
+AS_OF_YEAR = 2026
+#: The texts of both sides: another document, a birth a day off, another expiry, an upload in reverse, by the key.
+SIDES = {
+    "fdoc": "CASE WHEN k % 11 = 0 THEN concat('AF', lpad(concat(k + 1234567, ''), 7, '0')) ELSE doc END",
+    "fbirth": "CASE WHEN k % 7 = 0 THEN concat(substr(birth, 1, 8), lpad(concat(k % 28 + 2, ''), 2, '0')) ELSE birth END",
+    "fexpiry": "CASE WHEN k % 17 = 0 THEN concat('2040', substr(expiry, 5)) ELSE expiry END",
+}
+_DATE = "substr({0}, 9, 2), '.', substr({0}, 6, 2), '.', substr({0}, 1, 4)"
+FRONT_TEXT = f"concat('O''ZBEKISTON RESPUBLIKASI\nSHAXS GUVOHNOMASI\nFamiliyasi / Surname\n', surname, '\nIsmi / Given names\n', first_name, '\n', CASE WHEN k % 3 = 0 THEN '' ELSE 'Otasining ismi\n' END, 'KARIMOVICH\nTug''ilgan sanasi\n', {_DATE.format('fbirth')}, '\nJinsi\n', upper(gender), '\nBerilgan sanasi\n', substr(expiry, 9, 2), '.', substr(expiry, 6, 2), '.2020\nAmal qilish muddati\n', {_DATE.format('fexpiry')}, '\nKarta raqami\n', fdoc, '\n')"
+BACK_TEXT = "concat('Tug''ilgan joyi\nPOP TUMANI\nBerilgan joyi\n12345\n', replace(l1, 'C', 'С'), '\n', l2, '\n', l3, '\n')"
+
+
+def card_texts(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).selectExpr("*", *[f"{e} AS {n}" for n, e in SIDES.items()])
+    upload = F.col("k") % 5 == 0
+    front = F.struct(upload.cast("int").alias("upload"), F.expr(FRONT_TEXT).alias("text"), F.lit(True).alias("face_detected"))
+    back = F.struct((~upload).cast("int").alias("upload"), F.expr(BACK_TEXT).alias("text"), F.lit(False).alias("face_detected"))
+    return df.select("key", F.explode(F.array(front, back)).alias("s")).select("key", "s.*")
+
+
+def card_verification(spark: SparkSession, sf: str) -> DataFrame:
+    """From the recognised texts of two sides to the merged profile and its verdict."""
+    m = F.col("merged")
+    p = m["citizen_profile"]
+    fields = [p[n].alias(n) for n in ("document_number", "personal_number", "surname", "full_name", "date_of_birth", "date_of_expiry", "place_of_birth", "nationality")]
+    out = cards.verified_cards(card_texts(spark, sf), ["key"], "text", AS_OF_YEAR)
+    return out.select("key", m["overall_status"].alias("overall_status"), m["match_score"].alias("match_score"), m["different_cards_detected"].alias("different_cards"), m["auto_swapped"].alias("auto_swapped"), m["confidence"].alias("confidence"), F.array_join(m["fraud_alerts"], ",").alias("alerts"), *fields)
+
+
+#: The signing secret of these queries; a deployment configures its own.
+SECRET = "query-fixture"
 DAY = 86_400_000
 LEAKY, LOG = (4, DAY, 2), (3, 2 * DAY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (fuzzy_pairs, admission_leaky, admission_log)
+    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification)
     return {f.__name__: f for f in found}
