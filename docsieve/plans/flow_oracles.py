@@ -121,19 +121,56 @@ def _cards() -> str:
             "d1 AS (SELECT k, substr(d, 1, 4) AS yr, min(d) AS d FROM (SELECT k, d, count(*) AS c, max(count(*)) OVER (PARTITION BY k, substr(d, 1, 4)) AS mx FROM d0 GROUP BY k, d) WHERE c = mx GROUP BY k, substr(d, 1, 4))",
             "d2 AS (SELECT k, list(d ORDER BY d) AS ds, list(yr::INT ORDER BY d) AS y, count(*) AS n FROM d1 GROUP BY k)",
             "d AS (SELECT k, CASE WHEN n >= 3 OR y[1] < 2012 THEN ds[1] END AS fb, CASE WHEN n >= 3 THEN ds[n] WHEN n = 2 AND (y[1] >= 2012 OR y[2] > 2026) THEN ds[2] END AS fe FROM d2)",
-            f"m0 AS (SELECT t.* EXCLUDE (birth), t.birth AS own_birth, fb, fe, {pivot} AS kb, {_number('fdoc')} AS fd, {_number('doc')} AS kd FROM t JOIN d USING (k))",
+            f"w AS (SELECT *, {oracles._name_like('surname')} AS sn, {oracles._name_like('first_name')} AS gn FROM t)",
+            # a word with a label's stem is no name: the next line's takes its place
+            "nm AS (SELECT k, CASE WHEN sn THEN surname WHEN gn THEN first_name END AS fs, CASE WHEN sn AND gn THEN first_name END AS ff FROM w)",
+            f"m0 AS (SELECT t.* EXCLUDE (birth), fs, ff, coalesce(fs, '') AS n1, coalesce(ff, '') AS n2, t.birth AS own_birth, fb, fe, {pivot} AS kb, {_number('fdoc')} AS fd, {_number('doc')} AS kd FROM t JOIN d USING (k) JOIN nm USING (k))",
             f"m1 AS (SELECT *, {digits('fb')} AS x, {digits('kb')} AS y, {digits('fe')} AS ex, {digits('expiry')} AS ey, coalesce(fb, kb) AS known FROM m0)",
             f"m2 AS (SELECT *, CASE WHEN fd = kd THEN 'MATCH' ELSE 'MISMATCH' END AS doc_state, {state('fb IS NOT NULL', _dates('x', 'y'))} AS birth0, {state('fe IS NOT NULL', _dates('ex', 'ey'))} AS exp_state FROM m1)",
             *oracles._cross("m2", "pinfl", "known", "gender"),
-            "m3 AS (SELECT m2.*, x.valid, x.alerts AS pa, CASE WHEN doc_state = 'MATCH' AND birth0 = 'MISMATCH' THEN 'MATCH' ELSE birth0 END AS birth, 'MATCH' AS name, doc_state = 'MISMATCH' AS differs FROM m2 JOIN x USING (k))",
-            f"m4 AS (SELECT *, concat_ws(',', CASE WHEN differs THEN 'different_cards' END, CASE WHEN doc_state = 'MISMATCH' THEN 'document_number' END, CASE WHEN birth = 'MISMATCH' THEN 'birth_date' END, CASE WHEN exp_state = 'MISMATCH' THEN 'expiry_date' END, CASE WHEN NOT valid THEN array_to_string([concat('pinfl_', a) for a in string_split(pa, ',')], ',') END) AS alerts, round_even(100.0 * ({n('= ' + repr('MATCH'))}) / ({n('<> ' + repr('SKIPPED'))}), 1) AS raw FROM m3)",
+            f"m3 AS (SELECT m2.*, x.valid, x.alerts AS pa, CASE WHEN doc_state = 'MATCH' AND birth0 = 'MISMATCH' THEN 'MATCH' ELSE birth0 END AS birth, CASE WHEN doc_state = 'MATCH' OR ({_names('n1', 'surname')} AND {_names('n2', 'first_name')}) THEN 'MATCH' ELSE 'MISMATCH' END AS name, doc_state = 'MISMATCH' AS differs FROM m2 JOIN x USING (k))",
+            f"m4 AS (SELECT *, concat_ws(',', CASE WHEN differs THEN 'different_cards' END, CASE WHEN doc_state = 'MISMATCH' THEN 'document_number' END, CASE WHEN birth = 'MISMATCH' THEN 'birth_date' END, CASE WHEN exp_state = 'MISMATCH' THEN 'expiry_date' END, CASE WHEN name = 'MISMATCH' THEN 'name' END, CASE WHEN NOT valid THEN array_to_string([concat('pinfl_', a) for a in string_split(pa, ',')], ',') END) AS alerts, round_even(100.0 * ({n('= ' + repr('MATCH'))}) / ({n('<> ' + repr('SKIPPED'))}), 1) AS raw FROM m3)",
             "m5 AS (SELECT *, CASE WHEN differs THEN least(raw, 25.0) ELSE raw END AS score FROM m4)",
         ]
     ) + """
 SELECT k AS key, CASE WHEN alerts = '' AND score >= 80 THEN 'VERIFIED_MATCH' WHEN alerts <> '' THEN 'SUSPECTED_FRAUD' ELSE 'WARNING' END AS overall_status, score::DOUBLE AS match_score, differs AS different_cards, k % 5 = 0 AS auto_swapped,
-CASE WHEN differs THEN 35.0 ELSE round_even((CASE WHEN fb IS NULL THEN 67.5 ELSE 90.0 END + 92.0)::DOUBLE / 2, 1) END::DOUBLE AS confidence, alerts, fd AS document_number, CASE WHEN NOT differs THEN pinfl END AS personal_number, surname, concat_ws(' ', surname, first_name, 'KARIMOVICH') AS full_name,
+CASE WHEN differs THEN 35.0 ELSE round_even((round_even((1 + (fs IS NOT NULL)::INT + (ff IS NOT NULL)::INT + (fb IS NOT NULL)::INT) * 22.5, 1) + 92.0)::DOUBLE / 2, 1) END::DOUBLE AS confidence, alerts, fd AS document_number, CASE WHEN NOT differs THEN pinfl END AS personal_number, CASE WHEN differs THEN fs ELSE coalesce(fs, surname) END AS surname, concat_ws(' ', CASE WHEN differs THEN fs ELSE coalesce(fs, surname) END, CASE WHEN differs THEN ff ELSE coalesce(ff, first_name) END, 'KARIMOVICH') AS full_name,
 CASE WHEN differs THEN fb ELSE own_birth END AS date_of_birth, CASE WHEN differs THEN fe ELSE expiry END AS date_of_expiry, CASE WHEN NOT differs THEN 'POP TUMANI' END AS place_of_birth, 'O''zbekiston' AS nationality FROM m5"""
 
 
+def _pixels(table: str, key: str) -> str:
+    """px: a row for each pixel, with its gray level and its brightest and darkest colour."""
+    colours = ", ".join(f"({e})::INT AS {c}" for c, e in flows.PIXEL.items())
+    axis = f"range({flows.SIDE})"
+    return f"px AS MATERIALIZED (SELECT *, round_even(b * 0.114e0 + g * 0.587e0 + r * 0.299e0, 0) AS gray, greatest(b, g, r) AS v, least(b, g, r) AS w FROM (SELECT k, x, y, {colours} FROM (SELECT {key} AS k FROM {table}) t, {axis} h(x), {axis} i(y)))"
+
+
+def _raster_quality() -> str:
+    near = lambda f, g, by, along: f"coalesce({f}(gray) OVER (PARTITION BY k, {by} ORDER BY {along}), {g}(gray) OVER (PARTITION BY k, {by} ORDER BY {along}))"
+    around = " + ".join(near(f, g, by, along) for by, along in (("y", "x"), ("x", "y")) for f, g in (("lag", "lead"), ("lead", "lag")))
+    n = flows.SIDE**2
+    return f"""WITH {_pixels("part", "p_partkey")},
+n AS (SELECT *, {around} - 4 * gray AS edge, v > 245 AND round_even(CASE WHEN v > 0 THEN (v - w) / v::DOUBLE * 255 ELSE 0 END, 0) < 35 AS shines FROM px),
+f AS (SELECT k, var_pop(edge) AS variance, round_even(count(*) FILTER (WHERE shines) / {n}e0 * 100, 2) AS glare, avg(gray) AS brightness, stddev_pop(gray) AS contrast FROM n GROUP BY k),
+s AS (SELECT *, least(40.0, variance / 250 * 40) + greatest(0.0, 30 - glare * 10) + CASE WHEN brightness < 55 THEN brightness / 55 * 12 WHEN brightness > 215 THEN (255 - brightness) / 40 * 12 ELSE 20 END + 4 AS points FROM f)
+SELECT k, true AS success, round(variance, 3) AS variance, glare, round(brightness, 3) AS brightness, round(contrast, 3) AS contrast, least(100.0, greatest(0.0, round_even(points::DOUBLE, 1)))::DOUBLE AS score, variance < 95 AS is_blurry, glare > 1.2 AS has_glare, CASE WHEN brightness < 55 THEN 'TOO_DARK' WHEN brightness > 215 THEN 'OVEREXPOSED' ELSE 'OPTIMAL' END AS brightness_level FROM s"""
+
+
+def _raster_spoofing() -> str:
+    """Regions by what each bright pixel reaches over its eight neighbours."""
+    chroma = lambda c, m: f"stddev_pop(round_even(({c} - (0.299e0 * r + 0.587e0 * g + 0.114e0 * b)) * {m}e0 + 128, 0))"
+    return f"""WITH RECURSIVE {_pixels("supplier", "s_suppkey")},
+br AS MATERIALIZED (SELECT k, x, y, y * {flows.SIDE} + x AS id FROM px WHERE v > 248),
+e AS MATERIALIZED (SELECT a.k, a.id AS a, b.id AS b FROM br a JOIN br b ON a.k = b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r(k, a, b) AS (SELECT k, a, b FROM e UNION SELECT r.k, r.a, e.b FROM r JOIN e ON e.k = r.k AND e.a = r.b),
+l AS (SELECT k, a, min(b) AS label FROM r GROUP BY k, a),
+g AS (SELECT k, label, count(*) AS area FROM l GROUP BY k, label),
+t AS (SELECT k, sum(area) AS bright, count(*) FILTER (WHERE area > 80) AS spots FROM g GROUP BY k),
+f AS (SELECT k, {chroma("r", "0.713")} AS cr, {chroma("b", "0.564")} AS cb FROM px GROUP BY k),
+s AS (SELECT f.*, CASE WHEN coalesce(bright, 0) > 100 THEN spots ELSE 0 END AS spots FROM f LEFT JOIN t USING (k)),
+z AS (SELECT *, spots >= 2 AS glass, cr < 5 AND cb < 5 AS flat FROM s)
+SELECT k, spots AS glare_spots, round(cr, 3) AS cr_std, round(cb, 3) AS cb_std, (glass::INT * 25 + flat::INT * 30)::DOUBLE AS score, glass::INT * 25 + flat::INT * 30 >= 50 AS is_spoof, concat_ws(',', CASE WHEN glass THEN 'specular' END, CASE WHEN flat THEN 'flat_chrominance' END) AS flags FROM z"""
+
+
 def sql() -> dict[str, str]:
-    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards()}
+    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "raster_spoofing": _raster_spoofing()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import admission, cards, matching, sessions
+from ..operators import admission, cards, forensics, matching, sessions
 from . import fixtures as fx
 
 #: Two records of each person and some repeated: letters read as digits, noise, shortened names, short dates, a placeholder number that every tenth has.
@@ -123,6 +123,32 @@ def card_verification(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", m["overall_status"].alias("overall_status"), m["match_score"].alias("match_score"), m["different_cards_detected"].alias("different_cards"), m["auto_swapped"].alias("auto_swapped"), m["confidence"].alias("confidence"), F.array_join(m["fraud_alerts"], ",").alias("alerts"), *fields)
 
 
+#: Pixels of a small raster (blue, green, red at x, y) from a key: waves, and bright fields of one, two, or two that touch at a corner.
+SIDE = 16
+_WAVE = "(k * 7 + x * x * (k % 5 + 1) + y * 13 * (k % 3 + 1))"
+_BRIGHT = "CASE k % 4 WHEN 0 THEN x < 11 AND y < 10 WHEN 1 THEN x < 6 OR x >= 10 WHEN 2 THEN (x < 9 AND y < 9) OR (x >= 9 AND y >= 9) ELSE false END"
+PIXEL = {c: f"CASE WHEN {_BRIGHT} THEN 250 + (x + y + {i}) % 5 ELSE {_WAVE} * {m} % {256 - 8 * i} END" for i, (c, m) in enumerate({"b": 1, "g": 3, "r": 5}.items())}
+
+
+def rasters(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
+    """k and an image struct of the image source's kind for each row of a table."""
+    line = f"transform(sequence(0, {SIDE - 1}), x -> concat(" + ", ".join(f"lpad(hex({PIXEL[c]}), 2, '0')" for c in "bgr") + "))"
+    data = f"unhex(array_join(flatten(transform(sequence(0, {SIDE - 1}), y -> {line})), ''))"
+    return fx.table(spark, sf, table).selectExpr(f"{key} AS k").selectExpr("k", f"named_struct('origin', '', 'height', {SIDE}, 'width', {SIDE}, 'nChannels', 3, 'mode', 16, 'data', {data}) AS image")
+
+
+def raster_quality(spark: SparkSession, sf: str) -> DataFrame:
+    out = forensics.full_forensics(rasters(spark, sf, "part", "p_partkey"))
+    q, v = F.col("forensics.quality.features"), F.col("forensics.quality.verdict")
+    return out.select("k", F.col("forensics.success").alias("success"), F.round(q["variance"], 3).alias("variance"), q["glare"].alias("glare"), F.round(q["brightness"], 3).alias("brightness"), F.round(q["contrast"], 3).alias("contrast"), v["score"].alias("score"), v["is_blurry"].alias("is_blurry"), v["has_glare"].alias("has_glare"), v["brightness_level"].alias("brightness_level"))
+
+
+def raster_spoofing(spark: SparkSession, sf: str) -> DataFrame:
+    out = forensics.full_forensics(rasters(spark, sf, "supplier", "s_suppkey"))
+    f, v = F.col("forensics.spoofing.features"), F.col("forensics.spoofing.verdict")
+    return out.select("k", f["glare_spots"].cast("long").alias("glare_spots"), F.round(f["cr_std"], 3).alias("cr_std"), F.round(f["cb_std"], 3).alias("cb_std"), v["score"].alias("score"), v["is_spoof"].alias("is_spoof"), F.array_join(v["flags"], ",").alias("flags"))
+
+
 #: The signing secret of these queries; a deployment configures its own.
 SECRET = "query-fixture"
 DAY = 86_400_000
@@ -130,5 +156,5 @@ LEAKY, LOG = (4, DAY, 2), (3, 2 * DAY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification)
+    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing)
     return {f.__name__: f for f in found}

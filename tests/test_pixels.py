@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.operators import liveness, pixels
+from docsieve.operators import forensics, liveness, pixels
 from docsieve.sources import boundaries, media
 
 
@@ -50,6 +50,18 @@ def test_numpy_kernels():
     mask = np.zeros((20, 20), bool)
     mask[2:5, 2:5] = mask[10:12, 3:15] = True
     assert sorted(pixels.components(mask)) == [9, 24]
+    for share in (0.2, 0.4, 0.6):
+        mask = rng.random((40, 33)) < share
+        label = {(y, x): (y, x) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(mask)))}
+        changed = True
+        while changed:
+            least = {(y, x): min(label.get((y + i, x + j), (99, 99)) for i in (-1, 0, 1) for j in (-1, 0, 1)) for y, x in label}
+            changed, label = least != label, least
+        areas = {}
+        for top in label.values():
+            areas[top] = areas.get(top, 0) + 1
+        assert sorted(pixels.components(mask)) == sorted(areas.values())
+    assert pixels.components(np.zeros((3, 3), bool)) == [] and pixels.components(np.ones((1, 5), bool)) == [5]
     assert pixels.local_patterns(np.full((5, 5), 9, np.uint8)).tolist() == [[255] * 3] * 3
 
 
@@ -82,3 +94,21 @@ def test_bad_images_cost_no_other_row(spark):
     assert len(got[1]["d"]) == 1024 and abs(got[1]["f"]["structure"] - 1) < 1e-9 and got[1]["q"]["variance"] > 0 and got[1]["s"]["height"] == 40
     for k in (2, 3, 4):
         assert got[k]["d"] is None and got[k]["f"]["structure"] is None and got[k]["q"]["variance"] is None
+
+
+def test_full_forensics_in_one_pass(spark, images):
+    made, folder = images
+    kind = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    bad = spark.createDataFrame([(("broken", 9, 9, 3, 16, bytearray(b"x")),), (None,), (("empty", 0, 0, 3, 16, bytearray()),)], f"image {kind}")
+    df = media.images(spark, folder).select("image").unionByName(bad)
+    one = pixels.quality(F.col("image")).alias("q"), pixels.tampering(F.col("image")).alias("t"), pixels.spoofing(F.col("image")).alias("s")
+    got = forensics.full_forensics(df).select("forensics", *one, F.regexp_extract("image.origin", r"(\w+)(\.bmp)?$", 1).alias("name")).collect()
+    good = [r for r in got if r["forensics"]["success"]]
+    assert len(good) == len(made) and len(got) == len(made) + 3
+    for r in good:
+        f = r["forensics"]
+        assert all(tuple(f[part]["features"]) == tuple(r[part[0]]) for part in ("quality", "tampering")) and tuple(f["spoofing"]["features"]) == tuple(r["s"])
+        assert f["error"] is None
+    verdict = {r["name"]: r["forensics"] for r in good}
+    assert verdict["flat"]["quality"]["verdict"]["is_blurry"] and verdict["white"]["quality"]["verdict"]["brightness_level"] == "OVEREXPOSED" and verdict["flat"]["tampering"]["verdict"]["risk_level"] == "LOW"
+    assert {r["name"]: (r["forensics"]["error"], r["forensics"]["quality"]) for r in got if not r["forensics"]["success"]} == {"broken": ("undecodable", None), None: ("empty", None), "empty": ("empty", None)}
