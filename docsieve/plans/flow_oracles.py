@@ -172,5 +172,54 @@ z AS (SELECT *, spots >= 2 AS glass, cr < 5 AND cb < 5 AS flat FROM s)
 SELECT k, spots AS glare_spots, round(cr, 3) AS cr_std, round(cb, 3) AS cb_std, (glass::INT * 25 + flat::INT * 30)::DOUBLE AS score, glass::INT * 25 + flat::INT * 30 >= 50 AS is_spoof, concat_ws(',', CASE WHEN glass THEN 'specular' END, CASE WHEN flat THEN 'flat_chrominance' END) AS flags FROM z"""
 
 
+#: Digits that are read for one another; letters can't stand in a date that is accepted.
+_DIGITS = {"0": "86", "1": "7", "2": "47", "3": "58", "4": "26", "5": "36", "6": "405", "7": "1", "8": "30"}
+
+
+def _checked() -> list[str]:
+    """ck: the checks of each card whose second line has a wrong check digit of the birth date in every fourth row; a birth date holds if one or two changed digits meet the digit."""
+    ck = fx.duck_check
+    alike = ", ".join(f"('{d}', '{a}')" for d, alts in _DIGITS.items() for a in alts)
+    put = "concat(substr({s}, 1, {i} - 1), {a}, substr({s}, {i} + 1))"
+    return [
+        "c0 AS (SELECT *, CASE WHEN k % 4 = 0 THEN concat(substr(l2, 1, 6), (substr(l2, 7, 1)::INT + 5) % 10, substr(l2, 8)) ELSE l2 END AS s2 FROM idn)",
+        "c1 AS (SELECT *, s2[7] AS told, concat(substr(l1, 6), substr(s2, 1, 7), substr(s2, 9, 7), substr(s2, 19, 11)) AS whole FROM c0)",
+        f"alike(ch, alt) AS (VALUES {alike})",
+        f"one AS (SELECT k, dob, told, i, {put.format(s='dob', i='i', a='alt')} AS s FROM c1, range(1, 7) t(i) JOIN alike ON alike.ch = dob[i] WHERE {ck('dob')} <> told)",
+        f"two AS (SELECT k, told, {put.format(s='s', i='j', a='alt')} AS s FROM (SELECT *, unnest(range(i + 1, 7)) AS j FROM one) JOIN alike ON alike.ch = dob[j])",
+        f"hit AS (SELECT DISTINCT k FROM (SELECT k, s, told FROM one WHERE regexp_full_match(s, '[0-9]{{2}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])') UNION ALL SELECT k, s, told FROM two) WHERE {ck('s')} = told)",
+        f"ck AS (SELECT c1.*, {ck('dob')} = told OR hit.k IS NOT NULL AS birth_holds, {ck('whole')} = s2[30] AS composite FROM c1 LEFT JOIN hit USING (k))",
+    ]
+
+
+def _mrz_checksums() -> str:
+    return "WITH " + ",\n".join([fx.duck_identities(), *_checked()]) + " SELECT k, true AS has_mrz, true AS document_number_valid, true AS expiry_date_valid, composite AS composite_valid, birth_holds AS birth_date_valid, birth_holds AS all_passed FROM ck"
+
+
+def _verification_report() -> str:
+    from . import oracles
+
+    cross = oracles._cross("idn", "pinfl", "CASE WHEN k % 3 = 0 THEN '1931-05-05' ELSE birth END", "gender")
+    return "WITH " + ",\n".join([fx.duck_identities(), *_checked(), *cross, "al AS (SELECT k, concat_ws(',', nullif(x.alerts, ''), CASE WHEN NOT birth_holds THEN 'mrz_birth_date' END) AS alerts FROM ck JOIN x USING (k))"]) + " SELECT k, CASE WHEN alerts = '' THEN 'PASS' WHEN alerts = 'mrz_birth_date' THEN 'WARN' ELSE 'FAIL' END AS overall_status, alerts = '' AS is_authentic, alerts FROM al"
+
+
+def _extract_negative() -> str:
+    """Numbers by their strict form, by a look-alike with a known prefix, and after a label; births by the order of a text's dates."""
+    strict = r"\b([A-Z]{2}\s*[0-9]{7})\b"
+    denied = "^(UZ|RE|SH|GU|KA|DA|PE|ZB|OT|TU|AM)"
+    tail = "translate(substr({0}, 3), 'IlSsZBO', '{1}')"
+    label = r"(?i)(?:karta\s*raqami|pasport\s*raqami|document\s*no|card\s*number)[:\s\w/]*?([A-Z]{2}\s*[A-Z0-9]{7})"
+    day = r"(?:0[1-9]|[12][0-9]|3[01])\s*(?:0[1-9]|1[0-2])\s*(?:19[0-9]{2}|20[0-9]{2})"
+    fits = "(0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])(19[2-9][0-9]|20[0-3][0-9]|204[0-5])"
+    return rf"""WITH t AS (SELECT doc_id, text, regexp_replace(translate(text, 'АВЕСР', 'ABECP'), '\bA0([0-9]{{7}})\b', 'AD\1', 'g') AS u FROM documents),
+n AS (SELECT doc_id, text, [x for x in regexp_extract_all(u, '{strict}', 1) if NOT regexp_matches(regexp_replace(x, '\s+', '', 'g'), '{denied}')] AS a,
+ [x for x in regexp_extract_all(u, '\b([A-Z]{{2}}[A-Z0-9]{{7}})\b', 1) if left(x, 2) IN ('AA', 'AB', 'AC', 'AD', 'AE', 'AF', 'FA') AND regexp_full_match({tail.format('x', '1155380')}, '[0-9]{{7}}')] AS b,
+ regexp_replace(regexp_extract(text, '{label}', 1), '\s+', '', 'g') AS c FROM t),
+d AS (SELECT doc_id, len(a) > 0 OR len(b) > 0 OR (length(c) = 9 AND NOT regexp_matches(c, '{denied}') AND regexp_full_match({tail.format('c', '1155280')}, '[0-9]{{7}}')) AS numbered, list_concat([regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(text, '\b([0-9]{{2}}[./\-\s]+[0-9]{{2}}[./\-\s]+[0-9]{{4}})\b', 1)], [regexp_replace(x, '\s', '', 'g') for x in list_concat(regexp_extract_all(text, '\b({day})\b', 1), regexp_extract_all(text, '\b[0-9]({day})\b', 1))]) AS ds FROM n),
+e AS (SELECT doc_id, concat(substr(x, 5, 4), substr(x, 3, 2), substr(x, 1, 2)) AS x FROM (SELECT doc_id, unnest(ds) AS x FROM d) WHERE regexp_full_match(x, '{fits}')),
+y AS (SELECT doc_id, count(DISTINCT left(x, 4)) AS years, min(left(x, 4)) AS first FROM e GROUP BY doc_id)
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM d WHERE numbered) AS numbers, (SELECT count(*) FROM y WHERE years >= 3 OR first < '2012') AS births"""
+
+
 def sql() -> dict[str, str]:
-    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "raster_spoofing": _raster_spoofing()}
+    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}
