@@ -106,10 +106,12 @@ BACK = {
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (key, upload, record fields): front and back of each person's card, every fifth uploaded in reverse."""
     df = identities(spark, sf_dir)
-    cut = lambda fields: [e.format(s="string") + f" AS {n}" for n, e in fields.items()]
-    front = df.selectExpr("key", "CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS upload", *cut(FRONT), "'id_front' AS detected_side", "CAST(NULL AS string) AS mrz_format", "true AS face_detected", "90.0D AS confidence")
-    back = df.selectExpr("key", "CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS upload", *cut(BACK), "'id_back' AS detected_side", f"'{TD1}' AS mrz_format", "false AS face_detected", "98.0D AS confidence")
-    return front.unionByName(back)
+    cut = lambda fields: [F.expr(e.format(s="string")).alias(n) for n, e in fields.items()]
+    rest = lambda side, form, face, sure: [F.lit(side).alias("detected_side"), F.lit(form).cast("string").alias("mrz_format"), F.lit(face).alias("face_detected"), F.lit(sure).alias("confidence")]
+    turned = F.col("k") % 5 == 0
+    front = F.struct(turned.cast("int").alias("upload"), *cut(FRONT), *rest("id_front", None, True, 90.0))
+    back = F.struct((~turned).cast("int").alias("upload"), *cut(BACK), *rest("id_back", TD1, False, 98.0))
+    return df.select("key", F.explode(F.array(front, back)).alias("s")).select("key", "s.*")
 
 
 #: OCR text of a card's front, labels and values on lines; every ninth has no surname label.

@@ -52,15 +52,16 @@ def _substitutes() -> str:
     return "subs(pr, place, d, v, vr) AS (VALUES " + ", ".join(rows) + ")"
 
 
-def _autocorrect() -> str:
+def _autocorrect(raw: str = fx.CORRUPT, digit: str = ck("doc"), select: str = "") -> str:
     put = "concat(substr({s}, 1, {i} - 1), {a}, substr({s}, {i} + 1))"
     ok = "regexp_full_match(s, '[^0-9]{2}[0-9]{7}')"
     return _with(
-        f"""SELECT b.k, CASE WHEN v0 THEN n WHEN one.s IS NOT NULL THEN one.s WHEN two.s IS NOT NULL THEN two.s ELSE n END AS value,
+        select
+        or f"""SELECT b.k, CASE WHEN v0 THEN n WHEN one.s IS NOT NULL THEN one.s WHEN two.s IS NOT NULL THEN two.s ELSE n END AS value,
  CASE WHEN v0 THEN n <> raw ELSE one.s IS NOT NULL OR two.s IS NOT NULL END AS corrected
 FROM b LEFT JOIN one USING (k) LEFT JOIN two USING (k)""",
         _confusions(),
-        f"b0 AS (SELECT k, {fx.CORRUPT} AS raw, {ck('doc')} AS d FROM idn)",
+        f"b0 AS (SELECT k, {raw} AS raw, {digit} AS d FROM idn)",
         f"b1 AS (SELECT *, {_nine('raw')} AS n FROM b0)",
         f"b AS (SELECT *, {ck('n')} = d AS v0 FROM b1)",
         "pos AS (SELECT k, n, d, i, n[i] AS ch, CASE WHEN regexp_full_match(n[i], '[0-9]') THEN 1 ELSE 0 END AS dig FROM b, range(1, 10) t(i) WHERE NOT v0)",
@@ -101,6 +102,15 @@ def _parsed(passport: bool) -> str:
     return _with(f"SELECT k, true AS mrz_detected, '{form}' AS format, doc AS document_number, pinfl AS jshshir, surname, first_name, {'birth' if passport else birth} AS birth_date, expiry AS expiry_date, gender, 'O''zbekiston' AS nationality FROM idn")
 
 
+def _parsed_noisy() -> str:
+    """As the clean lines, but for numbers with a C, which is noise in the zone: nine of the digits behind it are taken for the number, and corrected."""
+    behind = f"concat(substr(doc, 3), {ck('doc')}, pinfl)"
+    fixed = "SELECT idn.k, CASE WHEN k % 6 <> 2 THEN doc WHEN v0 THEN n ELSE coalesce(one.s, two.s, n) END AS document_number FROM idn JOIN b USING (k) LEFT JOIN one USING (k) LEFT JOIN two USING (k)"
+    clean = _parsed(False)
+    head, last = _autocorrect(f"left({behind}, 9)", f"({behind})[10]", fixed).rsplit("\n", 1)
+    return f"{head},\nfixed AS ({last})\n" + clean.rsplit("\n", 1)[1].replace("doc AS document_number", "document_number").replace("FROM idn", "FROM idn JOIN fixed USING (k)")
+
+
 _CLIENT = "CASE WHEN k % 2 = 0 THEN surname END AS s, first_name AS f, 'KARIM QIZI' AS p, CASE WHEN k % 3 = 0 THEN pinfl END AS j, doc AS d, CASE WHEN k % 5 = 0 THEN birth END AS b"
 _PROFILE = f"pr AS (SELECT k, concat_ws(' ', s, f, p) AS full_name, coalesce(s, '') AS surname, f AS first_name, p AS patronymic, coalesce(j, '') AS personal_number, d AS document_number, coalesce(b, concat(CASE WHEN j[1] IN ('3', '4') THEN '19' WHEN j IS NOT NULL THEN '20' END, substr(j, 6, 2), CASE WHEN j IS NOT NULL THEN '-' END, substr(j, 4, 2), CASE WHEN j IS NOT NULL THEN '-' END, substr(j, 2, 2))) AS date_of_birth, CASE WHEN j[1] IN ('1','3','5') THEN 'Erkak' ELSE 'Ayol' END AS gender, 'O''zbekiston' AS nationality FROM (SELECT k, {_CLIENT} FROM idn))"
 
@@ -126,7 +136,7 @@ _MERGE = "SELECT k AS key, status AS overall_status, CAST(score AS DOUBLE) AS ma
 _PAGES = "pg AS (SELECT o_custkey AS dossier_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS page_number, CASE o_orderkey % 4 WHEN 0 THEN 'id_front' WHEN 1 THEN 'id_back' WHEN 2 THEN 'passport' ELSE 'general_document' END AS page_type FROM orders)"
 _FRAMES = "fr AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events), ff AS (SELECT user_id, rn // 3 AS part, rn % 3 AS idx, value FROM fr), mv AS (SELECT a.user_id, a.part, a.idx, a.value / (b.value + 1e-4) AS ratio FROM ff a JOIN ff b ON a.user_id = b.user_id AND a.part = b.part AND b.idx = 0 WHERE a.idx > 0)"
 _PERCENT = "CASE WHEN r <= 0.55 THEN r / 0.55 * 35.0 WHEN r <= 0.72 THEN 35.0 + (r - 0.55) / 0.17 * 35.0 ELSE 70.0 + (r - 0.72) / 0.28 * 30.0 END"
-_BLEND = "bl0 AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, [(a.vec_id % 6) / 5 * a.embedding[i]::DOUBLE + (1 - (a.vec_id % 6) / 5) * b.embedding[i]::DOUBLE for i in range(1, len(a.embedding) + 1)] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), bl AS (SELECT vec_id, round(greatest(0.0, least(1.0, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))))), 6) AS c FROM bl0)"
+_BLEND = "bl0 AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, [(a.vec_id % 6) / 5 * a.embedding[i]::DOUBLE + (1 - (a.vec_id % 6) / 5) * b.embedding[i]::DOUBLE for i in range(1, len(a.embedding) + 1)] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT max(vec_id) + 1 FROM embeddings)), bl AS (SELECT vec_id, round(greatest(0.0, least(1.0, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))))), 6) AS c FROM bl0)"
 
 
 def _hmac(message: str, secret: str) -> str:
@@ -180,6 +190,7 @@ def sql() -> dict[str, str]:
         "mrz_best_candidate": "WITH c AS (SELECT l_orderkey, l_linenumber AS ratio, CAST(l_partkey * 7 % 131 AS INT) AS score FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN score >= 120 THEN 0 ELSE 1 END, CASE WHEN score >= 120 THEN 0 ELSE -score END, ratio, score) AS n FROM c) SELECT l_orderkey, ratio, score FROM r WHERE n = 1",
         "mrz_parse_td1": _parsed(False),
         "mrz_parse_td3": _parsed(True),
+        "mrz_parse_noisy": _parsed_noisy(),
         "pinfl_overlap_search": _with("SELECT k, list_max([i for i in range(1, length(s) - 12) if regexp_full_match(substr(s, i, 14), '[1-6](0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])[0-9]{9}')]) AS at, substr(s, list_max([i for i in range(1, length(s) - 12) if regexp_full_match(substr(s, i, 14), '[1-6](0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])[0-9]{9}')]), 14) AS value FROM z", "z AS (SELECT k, concat(pinfl, substr(pinfl, 2, 9), '<') AS s FROM idn)"),
         "mrz_checksums_td3": _with("SELECT k, true AS has_mrz, true AS document_number_valid, true AS birth_date_valid, true AS expiry_date_valid, true AS composite_valid, true AS all_passed, CAST(0 AS BIGINT) AS corrections FROM idn"),
         "extract_docnum": _with("SELECT k, doc AS document_number FROM idn"),

@@ -340,7 +340,9 @@ def patch_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 def _blended(spark: SparkSession, sf: str) -> DataFrame:
     a = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("a"))
-    b = fx.table(spark, sf, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    ids = a.agg((F.max("vec_id") + 1).alias("n")).first()["n"] or 1
+    # the last vector's neighbour is the first
+    b = fx.table(spark, sf, "embeddings").select(F.pmod(F.col("vec_id") - 1, F.lit(ids)).alias("vec_id"), F.col("embedding").alias("b"))
     w = F.col("vec_id") % 6 / 5
     mixed = F.zip_with("a", "b", lambda x, y: w * x.cast("double") + (1 - w) * y.cast("double"))
     return a.join(b, "vec_id").select("vec_id", scores.cosine(F.col("a"), mixed).alias("cosine"))

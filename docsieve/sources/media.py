@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # --- fixed values: signatures and limits ---
 SIGNATURES = (("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("52494646", "image/webp"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"))
@@ -43,72 +45,61 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-
-
-class PdfPages(DataSource):
-    """``format("pdf_pages")``: a row for each page of each file, one partition a file.
-
-    Options: ``paths`` (separated by newlines), ``max_pages`` (1 to 20, default 10), ``renderer`` ("module:function", which takes bytes, page index and
-    scale and gives JPEG bytes) and ``counter`` ("module:function", bytes to number of pages). Without them the pages of plain
-    PDFs are counted and image is null. Files are read on executors, so paths must be visible there.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "pdf_pages"
-
-    def schema(self) -> str:
-        return "path string, page_number int, pages int, image binary, error string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PdfReader(self.options)
-
-
 def count_pages(content: bytes) -> int:
     """Pages of a PDF whose page objects are not compressed; 0 for anything else."""
-    import re
-
     return len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", content)) if content.startswith(b"%PDF-") else 0
 
 
 def _plugin(name: str | None) -> Callable | None:
     if not name:
         return None
-    import importlib
-
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
 
 
-class _PdfReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
-        self.most = int(options.get("max_pages", 10))
-        self.render, self.count, self.scale = options.get("renderer"), options.get("counter"), float(options.get("scale", 2.0))
-        if not 1 <= self.most <= 20:
-            raise ValueError("max_pages must be from 1 to 20")
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+PAGES = "path string, page_number int, pages int, image binary, error string"
 
-    def partitions(self):
-        return [_File(p) for p in self.paths]
 
-    def read(self, partition) -> Iterator[tuple]:
-        path = partition.value
+def pages_of(files: DataFrame, max_pages: int = 10, renderer: str | None = None, counter: str | None = None, scale: float = 2.0) -> DataFrame:
+    """A row for each page of each file (path, content), rendered in Arrow batches; a file without pages or one that breaks is a row with ``error``.
+
+    renderer ("module:function") takes bytes, page index and scale and gives JPEG bytes, counter ("module:function") bytes to number of pages.
+    Without them the pages of plain PDFs are counted and image is null. max_pages: 1 to 20.
+    """
+    if not 1 <= max_pages <= 20:
+        raise ValueError("max_pages must be from 1 to 20")
+
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
         try:
-            with open(path, "rb") as f:
-                content = f.read()
-            total = (_plugin(self.count) or count_pages)(content)
+            total = (_plugin(counter) or count_pages)(content or b"")
             if not total:
                 yield path, None, 0, None, "no pages"
-            render = _plugin(self.render)
-            for i in range(min(total, self.most)):
-                yield path, i + 1, total, render(content, i, self.scale) if render else None, None
+            render = _plugin(renderer)
+            for i in range(min(total, max_pages)):
+                yield path, i + 1, total, render(content, i, scale) if render else None, None
         except Exception as e:  # a broken file is a row, not a failed job
             yield path, None, None, None, str(e)
 
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    names = [f.split()[0] for f in PAGES.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                # one file's pages at a time
+                found = list(rows(path.as_py(), content.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
+
+    return files.select("path", "content").mapInArrow(read, PAGES)
+
 
-def pdf_pages(spark: SparkSession, paths: list[str], max_pages: int = 10, **options: str) -> DataFrame:
-    spark.dataSource.register(PdfPages)
-    return spark.read.format("pdf_pages").options(paths="\n".join(paths), max_pages=str(max_pages), **options).load()
+def pdf_pages(spark: SparkSession, paths: list[str], max_pages: int = 10, **options) -> DataFrame:
+    """``pages_of`` the files at these paths, on any file system that Spark reads; a path that isn't there is a row with ``error``."""
+    there = [p for p in paths if _exists(spark, p)]
+    gone = spark.createDataFrame([(p, None, None, None, "missing") for p in paths if p not in there], PAGES)
+    return pages_of(spark.read.format("binaryFile").load(there), max_pages, **options).unionByName(gone) if there else gone
