@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values ---
 CHALLENGES = ("LOOK_LEFT", "LOOK_RIGHT", "MOVE_CLOSER", "MOVE_AWAY", "BLINK", "SMILE")
 PAYLOAD = "sid string, chn array<string>, exp long"
+#: Title, instruction and icon of each challenge.
+METADATA = {
+    "LOOK_LEFT": ("Chapga qarang", "Boshingizni biroz chap tomonga buring", "👈"),
+    "LOOK_RIGHT": ("O'ngga qarang", "Boshingizni biroz o'ng tomonga buring", "👉"),
+    "MOVE_CLOSER": ("Yaqinroq keling", "Yuzingizni kameraga yaqinlashtiring", "🔍"),
+    "MOVE_AWAY": ("Uzoqroq qiling", "Kameradan biroz uzoqlashing", "↔️"),
+    "BLINK": ("Ko'zingizni yuming", "Ko'zingizni bir marta yumib oching", "😉"),
+    "SMILE": ("Jilmaying", "Kameraga qarab samimiy jilmaying", "😊"),
+}
 # --- end of fixed values ---
 
 
@@ -55,3 +64,16 @@ def verify(token: Column, now: Column, secret: str) -> Column:
     payload = F.from_json(F.when(~forged, F.try_to_binary(padded, F.lit("base64")).cast("string")), PAYLOAD)
     reason = F.when(token.isNull() | ~token.contains("."), "malformed").when(forged, "forged").when(payload.isNull(), "malformed").when(now > F.coalesce(payload["exp"], F.lit(0)), "expired").otherwise("ok")
     return F.struct((reason == "ok").alias("valid"), reason.alias("reason"), F.when(reason == "ok", payload).alias("payload"))
+
+
+def metadata(challenges: Column) -> Column:
+    """array<struct<id, title, instruction, icon>> of the challenges, in their order; unknown ones are left out."""
+    known = F.create_map(*[x for c, told in METADATA.items() for x in (F.lit(c), F.struct(F.lit(c).alias("id"), *[F.lit(v).alias(n) for v, n in zip(told, ("title", "instruction", "icon"))]))])
+    return F.filter(F.transform(challenges, lambda c: F.try_element_at(known, c)), lambda x: x.isNotNull())
+
+
+def started(sessions: DataFrame, session: str, now: Column, secret: str, count: int = 2, ttl: int = 90) -> DataFrame:
+    """session, token, expires_in_seconds, challenges_count, challenges of a new liveness session for each row; the draw is a hash of the session's name."""
+    drawn = sessions.select(F.col(session), choose(F.col(session), count).alias("_drawn"))
+    token = sign(F.col(session).cast("string"), F.col("_drawn"), now + ttl, secret)
+    return drawn.select(session, token.alias("token"), F.lit(ttl).alias("expires_in_seconds"), F.size("_drawn").alias("challenges_count"), metadata(F.col("_drawn")).alias("challenges"))

@@ -13,6 +13,8 @@ from . import fusion, linkage
 from .extract import structured
 from .zone import Stage, parse
 
+#: What an upload may be declared as.
+DOC_TYPES = ("id_card", "passport", "auto")
 #: Points from which a candidate is good enough to end the search.
 ENOUGH = 120
 
@@ -38,17 +40,22 @@ def zone_search(candidates: DataFrame, key: list[str], index: str, first: str, s
     return out.select(*key, *[F.coalesce(f"g.{a}", f"b.{a}").alias(n) for a, n in (("i", index), ("s", "score"), ("m", "mrz"))])
 
 
-def read_sides(texts: DataFrame, text: str = "text", as_of_year: int = 2026, lines: str | None = None) -> DataFrame:
+def read_sides(texts: DataFrame, text: str = "text", as_of_year: int = 2026, lines: str | None = None, doc_type: str = "auto") -> DataFrame:
     """texts with a side's record (``linkage.FIELDS``, detected_side, mrz_format, confidence) from its recognised text.
 
     The zone is looked for in the text's own lines, or in ``lines`` where another reading of it is there. Extra columns stay, a ``face_detected`` column among them.
+    A side declared as a passport or a card is taken for one where the text alone would not tell.
     """
+    if doc_type not in DOC_TYPES:
+        raise ValueError(f"doc_type must be one of {', '.join(DOC_TYPES)}")
     z = Stage(texts.drop(*[c for c in (*linkage.FIELDS, "detected_side", "mrz_format", "confidence", "mrz", "fields") if c in texts.columns and c not in (text, lines)]))
     z(lines=mrz.clean_lines(F.col(text)) if lines is None else F.col(lines))
     df = structured(parse(z.df, "_z_lines", as_of_year), text).drop("_z_lines")
     z = Stage(df)
     z(fused=fusion.fuse(F.col("fields"), F.col("mrz"), F.col(text)))
     side = fusion.side(F.col("mrz.format"), F.col(text), *[z.fused[n] for n in ("document_number", "surname", "first_name", "patronymic")])
+    if doc_type != "auto":
+        side = F.when(side == "document", "passport" if doc_type == "passport" else "id_front").otherwise(side)
     z(side=side)
     four = sum((F.when(F.coalesce(z.fused[n], F.lit("")) != "", 1).otherwise(0) for n in ("document_number", "surname", "first_name", "birth_date")), F.lit(0))
     sure = scores.confidence(four, F.col("mrz").isNotNull(), F.lit(""), z.fused["jshshir"])

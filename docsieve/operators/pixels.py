@@ -6,6 +6,8 @@ Rasters never become columns. Text recognition, face detection, key points and P
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -307,3 +309,28 @@ def downscaled(image: Column, longest: int = 2048) -> Column:
         return out
 
     return F.when(F.greatest(image["height"], image["width"]) > longest, run(image)).otherwise(image)
+
+
+def bitmap(image: Column) -> Column:
+    """The image as an uncompressed 24-bit BMP file; null for an undecodable one."""
+
+    @F.pandas_udf("binary")
+    def run(image: pd.DataFrame) -> pd.Series:
+        out = []
+        for h, w, c, data in zip(image["height"], image["width"], image["nChannels"], image["data"]):
+            try:
+                x = raster(h, w, c, data)[::-1]
+                rows = np.zeros((x.shape[0], -(-x.shape[1] * 3 // 4) * 4), np.uint8)
+                rows[:, : x.shape[1] * 3] = x.reshape(x.shape[0], -1)
+                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, x.shape[1], x.shape[0], 1, 24, 0, rows.size, 0, 0, 0, 0)
+                out.append(head + rows.tobytes())
+            except (ValueError, TypeError):
+                out.append(None)
+        return pd.Series(out, index=image.index, dtype=object)
+
+    return run(image)
+
+
+def thumbnail(image: Column, longest: int = 320) -> Column:
+    """The image brought to ``longest`` at most, as a BMP file. No JPEG encoder is part of Spark."""
+    return bitmap(downscaled(image, longest))

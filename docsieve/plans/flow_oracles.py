@@ -221,5 +221,14 @@ y AS (SELECT doc_id, count(DISTINCT left(x, 4)) AS years, min(left(x, 4)) AS fir
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM d WHERE numbered) AS numbers, (SELECT count(*) FROM y WHERE years >= 3 OR first < '2012') AS births"""
 
 
+def _metadata() -> str:
+    told = """('LOOK_LEFT', 'Chapga qarang|Boshingizni biroz chap tomonga buring|👈'), ('LOOK_RIGHT', 'O''ngga qarang|Boshingizni biroz o''ng tomonga buring|👉'), ('MOVE_CLOSER', 'Yaqinroq keling|Yuzingizni kameraga yaqinlashtiring|🔍'),
+('MOVE_AWAY', 'Uzoqroq qiling|Kameradan biroz uzoqlashing|↔️'), ('BLINK', 'Ko''zingizni yuming|Ko''zingizni bir marta yumib oching|😉'), ('SMILE', 'Jilmaying|Kameraga qarab samimiy jilmaying|😊')"""
+    return f"""WITH m(c, told) AS (VALUES {told}), d AS (SELECT concat('s-', event_id) AS session, c, told, md5(concat('s-', event_id, '-', c)) AS h FROM events, m),
+o AS (SELECT *, row_number() OVER (PARTITION BY session, starts_with(c, 'MOVE') ORDER BY h) AS n FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY h) AS i FROM o WHERE NOT starts_with(c, 'MOVE') OR n = 1)
+SELECT session, 90::BIGINT AS expires_in_seconds, count(*) AS challenges_count, string_agg(concat(c, '|', told), ';' ORDER BY i) AS challenges FROM p WHERE i <= 2 GROUP BY session"""
+
+
 def sql() -> dict[str, str]:
-    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}
+    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "challenge_metadata": _metadata(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}

@@ -79,6 +79,13 @@ def liveness_verify(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session", "success", "verdict", "is_live", "liveness_score", "reason", told.alias("challenges"))
 
 
+def challenge_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.table(spark, sf, "events").select(F.concat_ws("-", F.lit("s"), "event_id").alias("session"))
+    out = tokens.started(df, "session", F.lit(NOW), SECRET)
+    one = F.transform("challenges", lambda c: F.concat_ws("|", c["id"], c["title"], c["instruction"], c["icon"]))
+    return out.select("session", F.col("expires_in_seconds").cast("long").alias("expires_in_seconds"), F.col("challenges_count").cast("long").alias("challenges_count"), F.array_join(one, ";").alias("challenges"))
+
+
 #: What a search of the zone reads in a part of an image, by (k + 2 * place) % 6: nothing; the zone in the second reading alone; in the first; without its name line.
 PARTS = 5
 # A Cyrillic letter stands for C, which counts as noise in the zone.
@@ -156,5 +163,5 @@ LEAKY, LOG = (4, DAY, 2), (3, 2 * DAY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing)
+    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing, challenge_metadata)
     return {f.__name__: f for f in found}

@@ -60,3 +60,15 @@ def test_points_as_a_plain_sum(spark):
                     w = lines[at]
                     points[w] = points.get(w, 0) + 2 + 6 * bool(re.search("(OV|EV|OVA|EVA)$", w)) + 2 * (len(w) >= 5) + more
     assert found(spark, [text])[0][0] == max(points, key=points.get)
+
+
+def test_declared_kinds(spark):
+    import pytest
+
+    from docsieve.operators import cards
+
+    df = spark.createDataFrame([("nothing",), ("Familiyasi\nTESTOV\nIsmi\nDILSHOD\n",)], "text string")
+    side = lambda kind: [r["detected_side"] for r in cards.read_sides(df, doc_type=kind).orderBy("text").collect()]
+    assert side("auto") == ["id_front", "document"] and side("passport") == ["id_front", "passport"] and side("id_card") == ["id_front", "id_front"]
+    with pytest.raises(ValueError):
+        cards.read_sides(df, doc_type="visa")

@@ -112,3 +112,14 @@ def test_full_forensics_in_one_pass(spark, images):
     verdict = {r["name"]: r["forensics"] for r in good}
     assert verdict["flat"]["quality"]["verdict"]["is_blurry"] and verdict["white"]["quality"]["verdict"]["brightness_level"] == "OVEREXPOSED" and verdict["flat"]["tampering"]["verdict"]["risk_level"] == "LOW"
     assert {r["name"]: (r["forensics"]["error"], r["forensics"]["quality"]) for r in got if not r["forensics"]["success"]} == {"broken": ("undecodable", None), None: ("empty", None), "empty": ("empty", None)}
+
+
+def test_thumbnails_are_files(spark, images, tmp_path):
+    made, folder = images
+    df = media.images(spark, folder).select(F.regexp_extract("image.origin", r"(\w+)\.bmp$", 1).alias("name"), pixels.bitmap(F.col("image")).alias("same"), pixels.thumbnail(F.col("image"), 100).alias("small"))
+    got = {r["name"]: r for r in df.collect()}
+    for name, x in made.items():
+        assert bytes(got[name]["same"]) == bmp(x)
+        (tmp_path / f"{name}.bmp").write_bytes(got[name]["small"])
+    sizes = {(r["h"], r["w"]) for r in media.images(spark, str(tmp_path)).selectExpr("image.height AS h", "image.width AS w").collect()}
+    assert sizes == {(80, 100)}
