@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import ranked
-from .store import Settled
+from .store import Settled, tidy
 
 SHARDS = 16
 #: The published multiplier, as two halves of 32 bits.
@@ -65,6 +65,7 @@ def jumps(key: Column, most: int) -> Column:
     return goes_on[0]["seen"]
 
 
+@tidy
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
@@ -76,7 +77,4 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # one row a shard
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.df.groupBy("shard").agg(F.count("*").alias("rows")).select("shard", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("first"))
-    slots = ranked(rows.df, "order").join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("rank") - F.col("first")).cast("long").alias("slot"), "grown_shard")
-    found = Settled(slots, "slots")
-    rows.drop()
-    return found.df
+    return ranked(rows.df, "order").join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("rank") - F.col("first")).cast("long").alias("slot"), "grown_shard")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import ranked, running
-from .store import Settled, small
+from .store import Settled, small, tidy
 
 BLOCK = 256
 MOST = 3
@@ -101,6 +101,7 @@ def pivotal(units: DataFrame, block: int = BLOCK) -> DataFrame:
     return out
 
 
+@tidy
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of docs."""
     sizes = Settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes").df

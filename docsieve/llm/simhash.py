@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Settled, small
+from .store import Settled, small, tidy
 
 BITS = 128
 #: Hamming radius of the search, and the share of ids (those divisible by it) that ask.
@@ -171,6 +171,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, out
 
 
+@tidy
 def edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of every row of docs.
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_open: list[list[Settled]] = []
+
+
+@contextmanager
+def temporaries() -> Iterator[list[Settled]]:
+    """Tables written inside are dropped at the end, but for those that are taken out of the list."""
+    mine: list[Settled] = []
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.pop()
+        for table in mine:
+            table.drop()
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written and all other tables that it wrote dropped."""
+
+    @wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        with temporaries() as mine:
+            found = Settled(operator(*args, **named), operator.__name__)
+            mine.remove(found)
+        if _open:
+            _open[-1].append(found)
+        return found.df
+
+    return run
+
+
 class Settled:
     """A DataFrame written to the shared folder and read back: its lineage ends at files that survive lost executors."""
 
@@ -40,6 +74,8 @@ class Settled:
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _open:
+            _open[-1].append(self)
 
     def drop(self) -> None:
         """Delete the files once a later table replaces them."""

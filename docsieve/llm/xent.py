@@ -9,7 +9,8 @@ loss less background loss, in bits: lower is closer to the target. Both models h
 
 The counts are a written table that grows with the corpus. Texts are packed into blocks by a pass over the scan (no shuffle); each block's distinct
 n-grams (hashes) go with their counts to the bucket of their hash, are summed there over all blocks, and the sums go back to the blocks that
-asked. Blocks and buckets grow in number and not in size, and only three sums reach the driver.
+asked. Blocks and buckets grow in number and not in size, and only three sums reach the driver. Of an n-gram 48 bits of hash travel: at 1e11 distinct
+n-grams about 0.04 percent share theirs with another and are counted together, at 1e13 about 3.5 percent.
 
 Defined cases: null and wordless texts have no scored word, losses and score 0; equal texts get equal scores; an empty table gives no rows; without target rows both models are the background.
 """
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import Settled, arrow_batches, small
+from .store import Settled, arrow_batches, small, tidy
 
 #: Bytes of text in a block, and in the share of the corpus whose n-grams meet in a bucket.
 BLOCK = 2 << 20
+#: Rows of a block, however short their texts.
+BLOCK_ROWS = 50_000
 #: Weight of the lower order, in counts.
 PRIOR = 2.0
 _END, _START = np.uint64(0x9E6C63D0876A9A35), np.uint64(0x3C79AC492BA7B653)
@@ -140,7 +143,7 @@ def _packed(ids: list, target: list, texts: list[bytes]) -> pa.RecordBatch:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, ids, target, sizes, texts): the rows (doc_id, text, target) in blocks of about BLOCK bytes."""
+    """(block, ids, target, sizes, texts): the rows (doc_id, text, target) in blocks of about BLOCK bytes and BLOCK_ROWS rows at most."""
     ids: list = []
     target: list = []
     texts: list[bytes] = []
@@ -150,7 +153,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = flat.flat(batch.column(1))
         raw = data.tobytes()
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            if texts and held + b - a > BLOCK:
+            if texts and (held + b - a > BLOCK or len(texts) == BLOCK_ROWS):
                 yield _packed(ids, target, texts)
                 ids, target, texts, held = [], [], [], 0
             ids.append(names[i])
@@ -236,6 +239,7 @@ def _scored(buckets: int, vocabulary: int, all_n: int, all_t: int):
     return made
 
 
+@tidy
 def differences(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_scored (words and the end), loss_target, loss_background, loss_rest, score of every row of docs."""
     arrow_batches(docs.sparkSession)

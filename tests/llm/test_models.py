@@ -209,3 +209,26 @@ def test_word_models_as_brute_force(spark, monkeypatch):
         n = [np.array(x, float) for x in zip(*((pairs[a, w], words[a], words[w]) for w in kinds))]
         assert abs((2.0 ** -xent.losses(*n, total, vocabulary)).sum() - 1) < 1e-9
     assert got[0]["score"] < got[1]["score"] and got[2]["score"] < got[3]["score"]
+
+
+def test_blocks_are_bounded_in_rows(spark, monkeypatch):
+    """Texts without bytes fill blocks by their number."""
+    monkeypatch.setattr(xent, "BLOCK_ROWS", 7)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "text": [None, "", " "] * 10, "target": [False] * 30})
+    assert [b.column(1).to_pylist()[0] for b in xent._blocks(iter([batch]))] == [list(range(i, min(i + 7, 30))) for i in range(0, 30, 7)]
+    df = spark.createDataFrame([(i, None if i % 2 else " ") for i in range(40)], "doc_id long, text string")
+    got = xent.differences(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 40 and {r["score"] for r in got} == {0.0}
+
+
+def test_operators_leave_their_result_alone(spark, docs, labels):
+    """Of the tables that an operator writes only its result stays."""
+    import os
+
+    from docsieve.llm import jumphash, mixing, simhash, store
+
+    root = store.shared_dir(spark)
+    for run in (lambda: jumphash.sharded(docs), lambda: mixing.mix(docs), lambda: simhash.edited(docs), lambda: xent.differences(docs, labels)):
+        before = set(os.listdir(root))
+        assert run().count() == 42
+        assert len(set(os.listdir(root)) - before) == 1
