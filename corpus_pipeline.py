@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docsieve.llm import bpe, bytecnn, minhash, mixing, nbsvm
-from docsieve.llm.store import Settled
+from docsieve.llm.store import Settled, temporaries
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        kept = Settled(stage(spark, docs, sf_dir), name)
+        with temporaries() as mine:
+            kept = Settled(stage(spark, docs, sf_dir), name)
+            mine.remove(kept)
         if before:
             before.drop()
         docs, before = kept.df, kept
