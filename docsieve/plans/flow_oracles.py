@@ -230,5 +230,40 @@ p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY h) AS i FROM o
 SELECT session, 90::BIGINT AS expires_in_seconds, count(*) AS challenges_count, string_agg(concat(c, '|', told), ';' ORDER BY i) AS challenges FROM p WHERE i <= 2 GROUP BY session"""
 
 
+def _docnum() -> str:
+    """The first of four ways that gives a number."""
+    denied = "^(UZ|RE|SH|GU|KA|DA|PE|ZB|OT|TU|AM)"
+    tail = lambda x, digits: f"concat(left({x}, 2), translate(substr({x}, 3), 'IlSsZBO', '{digits}'))"
+    whole = "'[A-Z]{2}[0-9]{7}'"
+    label = r"(?i)(?:karta\s*raqami|pasport\s*raqami|document\s*no|card\s*number)[:\s\w/]*?([A-Z]{2}\s*[A-Z0-9]{7})"
+    return rf"""WITH {fx.duck_identities()},
+t AS (SELECT k, {flows.NUMBERED} AS text FROM idn),
+u AS (SELECT k, text, regexp_replace(translate(text, 'АВЕСР', 'ABECP'), '\bA0([0-9]{{7}})\b', 'AD\1', 'g') AS u FROM t),
+c AS (SELECT k, [y for y in [regexp_replace(x, '\s+', '', 'g') for x in regexp_extract_all(u, '\b([A-Z]{{2}}\s*[0-9]{{7}})\b', 1)] if NOT regexp_matches(y, '{denied}')][1] AS one,
+ [y for y in [{tail('x', '1155380')} for x in regexp_extract_all(u, '\b([A-Z]{{2}}[A-Z0-9]{{7}})\b', 1) if left(x, 2) IN ('AA', 'AB', 'AC', 'AD', 'AE', 'AF', 'FA')] if regexp_full_match(y, {whole})][1] AS two,
+ regexp_replace(regexp_extract(text, '{label}', 1), '\s+', '', 'g') AS l, regexp_extract_all(u, '\b([0-9]{{9}})\b', 1)[1] AS four FROM u)
+SELECT k, coalesce(one, two, CASE WHEN length(l) = 9 AND NOT regexp_matches(l, '{denied}') AND regexp_full_match({tail('l', '1155280')}, {whole}) THEN {tail('l', '1155280')} END, four) AS document_number FROM c"""
+
+
+def _pinfl() -> str:
+    number, fits = r"([1-6](?:[\s-]*[0-9]){13})", "'[1-6](0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])[0-9]{9}'"
+    bare = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    return rf"""WITH {fx.duck_identities()},
+t AS (SELECT k, {flows.PERSONAL} AS text FROM idn),
+c AS (SELECT k, {bare("regexp_extract(text, '(?i)(?:shaxsiy" + chr(92) + "s*raqam[i|e]?|personal" + chr(92) + "s*number)[:" + chr(92) + "s]*" + number + "', 1)")} AS label, [y for y in [{bare('x')} for x in regexp_extract_all(text, '\b{number}\b', 1)] if regexp_full_match(y, {fits})][1] AS other FROM t)
+SELECT k, CASE WHEN regexp_full_match(label, {fits}) THEN label ELSE other END AS jshshir FROM c"""
+
+
+def _name_tokens() -> str:
+    cut = "trim(regexp_replace(trim(replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(t), '^[0-9]+', ''), '<{2,}.*$', '')), '<+$', '')), '<', ' ')), '^[A-Z]\\s+', ''))"
+    last = lambda x: f"trim(regexp_replace({x}, '\\s+[SKCE]$', ''))"
+    sur, first = "regexp_replace(c, '(OVA|EVA|IYEV|IYEVA|OV|EV|LI|QIZI)[SKCE]+$', '\\1')", "regexp_replace(c, '([AEIOUY])S+$', '\\1')"
+    return f"WITH {fx.duck_identities()}, n AS (SELECT k, {flows.TOKEN} AS t FROM idn), c AS (SELECT k, {cut} AS c FROM n) SELECT k, {last(sur)} AS surname, {last(first)} AS first_name FROM c"
+
+
+def _shown() -> str:
+    return f"WITH {fx.duck_identities()}, p AS (SELECT k, surname, CASE WHEN k % 2 = 0 THEN 'profile' WHEN k % 3 = 0 THEN 'fields' WHEN k % 5 = 0 THEN 'merged' WHEN k % 7 = 0 THEN 'page' END AS part FROM idn) SELECT k, part, CASE WHEN part IS NOT NULL THEN concat_ws(' ', surname, part) END AS full_name FROM p"
+
+
 def sql() -> dict[str, str]:
-    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "challenge_metadata": _metadata(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}
+    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "challenge_metadata": _metadata(), "docnum_fallbacks": _docnum(), "pinfl_fallbacks": _pinfl(), "name_tokens": _name_tokens(), "shown_record": _shown(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens
-from ..operators import admission, cards, forensics, matching, sessions
+from ..functions import mrz, text, tokens
+from ..operators import admission, cards, forensics, fusion, matching, sessions
 from . import fixtures as fx
 
 #: Two records of each person and some repeated: letters read as digits, noise, shortened names, short dates, a placeholder number that every tenth has.
@@ -156,6 +156,38 @@ def raster_spoofing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("k", f["glare_spots"].cast("long").alias("glare_spots"), F.round(f["cr_std"], 3).alias("cr_std"), F.round(f["cb_std"], 3).alias("cb_std"), v["score"].alias("score"), v["is_spoof"].alias("is_spoof"), F.array_join(v["flags"], ",").alias("flags"))
 
 
+#: Texts whose number is found in different ways, by k % 8: spaced, with letters for digits, after a label alone, nine digits, behind a word's prefix, A0 for AD, Cyrillic letters, none.
+NUMBERED = """CASE k % 8 WHEN 0 THEN concat('abc ', substr(doc, 1, 2), '  ', substr(doc, 3), ' def') WHEN 1 THEN concat('x AB', translate(substr(doc, 3), '150', 'ISO'), ' y') WHEN 2 THEN concat('KARTA RAQAMI: QX', translate(substr(doc, 3), '58', 'SB'), ' 123456789')
+WHEN 3 THEN concat('no. ', lpad(concat(k, ''), 9, '1'), ' and 7') WHEN 4 THEN concat('UZ', substr(doc, 3), ' SH7654321 ', doc) WHEN 5 THEN concat('A0', substr(doc, 3), '.') WHEN 6 THEN concat('АВ', substr(doc, 3), ' ') ELSE 'none 12345678' END"""
+#: Texts with personal numbers by k % 6: labelled and parted, an implausible labelled one before another, parted by dashes, a second plausible one, implausible alone, none.
+PERSONAL = """CASE k % 6 WHEN 0 THEN concat('12345678901234 Shaxsiy raqami: ', substr(pinfl, 1, 1), ' ', substr(pinfl, 2, 6), ' ', substr(pinfl, 8)) WHEN 1 THEN concat('personal number 39906901234567, ', pinfl) WHEN 2 THEN concat('id ', substr(pinfl, 1, 7), '-', substr(pinfl, 8), ' ok')
+WHEN 3 THEN concat('39906901234567 ', pinfl, ' 31506901234567') WHEN 4 THEN '39906901234567' ELSE 'none' END"""
+#: Name fields of a passport's zone with digits, fillers and noise letters, by k % 5.
+TOKEN = "CASE k % 5 WHEN 0 THEN concat('12', surname, 'K<<<K<K') WHEN 1 THEN concat('P ', surname, 'A<<') WHEN 2 THEN concat(surname, 'SKC<S') WHEN 3 THEN concat('ALIS<', substr(surname, 1, 4), '<E') ELSE concat(' ', surname, '<<', first_name) END"
+
+
+def docnum_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).withColumn("text", F.expr(NUMBERED))
+    return df.select("k", text.document_number(F.col("text")).alias("document_number"))
+
+
+def pinfl_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).withColumn("text", F.expr(PERSONAL))
+    return df.select("k", text.personal_number(F.col("text")).alias("jshshir"))
+
+
+def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).withColumn("token", F.expr(TOKEN))
+    return df.select("k", mrz.name_token(F.col("token"), True).alias("surname"), mrz.name_token(F.col("token"), False).alias("first_name"))
+
+
+def shown_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the records that a document has, the one to show."""
+    some = lambda n, part: F.when(F.col("k") % n == 0, F.struct(F.lit(part).alias("part"), F.concat_ws(" ", "surname", F.lit(part)).alias("full_name")))
+    df = fx.identities(spark, sf).withColumn("r", fusion.precedence(some(2, "profile"), some(3, "fields"), some(5, "merged"), some(7, "page")))
+    return df.select("k", "r.part", "r.full_name")
+
+
 #: The signing secret of these queries; a deployment configures its own.
 SECRET = "query-fixture"
 DAY = 86_400_000
@@ -163,5 +195,5 @@ LEAKY, LOG = (4, DAY, 2), (3, 2 * DAY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing, challenge_metadata)
+    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing, challenge_metadata, docnum_fallbacks, pinfl_fallbacks, name_tokens, shown_record)
     return {f.__name__: f for f in found}
