@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linkage as match
 from ..functions import mrz, scores, text, tokens
-from ..operators import extract, fusion, liveness, zone
+from ..operators import extract, folds, fusion, liveness, zone
 from ..operators import linkage as cards
 from ..sources import media, sinks
 from . import fixtures as fx
@@ -393,11 +393,8 @@ def spoof_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stability_counter(spark: SparkSession, sf: str) -> DataFrame:
-    df = fx.table(spark, sf, "events")
-    frame = F.struct("ts", "event_id", (F.col("event_type") != "error").alias("present"), (F.col("value") >= 20).alias("stable"))
-    df = df.groupBy("user_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    r = liveness.stability(F.transform("frames", lambda f: F.struct(f["present"].alias("present"), f["stable"].alias("stable"))), 3)
-    return df.select("user_id", r["counter"].cast("long").alias("counter"), r["fired"].alias("fired"))
+    df = fx.table(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("present"), (F.col("value") >= 20).alias("stable"))
+    return folds.final(df, "user_id", ["ts", "event_id"], ["present", "stable"], lambda: folds.Stability(3), "counter long, fired boolean")
 
 
 def throttle_window(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Frames that must be stable before the shutter fires.
-FIRE_AT = 18
+from ..operators.folds import FIRE_AT
 
 
 def stability(frames: DataFrame, session: str = "session_id", idx: str = "idx", fire_at: int = FIRE_AT, idle_ms: int = 60_000) -> DataFrame:

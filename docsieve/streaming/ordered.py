@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from typing import Any, Protocol
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,40 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.admission import LeakyBucket, SlidingLog
-from .frames import FIRE_AT
+from ..operators.folds import Fold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Fold(Protocol):
-    """State is a list that JSON can hold; ``step`` takes the time in milliseconds and the row's values and gives the values to emit."""
-
-    def state(self) -> list: ...
-
-    def restore(self, state: list) -> None: ...
-
-    def step(self, at: int, values: list) -> list: ...
-
-
-class Stability:
-    """The counter of a camera session: up while the document is there and still, down while it moves, back to 0 without it."""
-
-    def __init__(self, fire_at: int = FIRE_AT):
-        self.fire_at, self.counter, self.fired = fire_at, 0, False
-
-    def state(self) -> list:
-        return [self.counter, self.fired]
-
-    def restore(self, state: list) -> None:
-        self.counter, self.fired = state
-
-    def step(self, at: int, values: list) -> list:
-        present, stable = values
-        self.counter = self.counter + 1 if present and stable else max(0, self.counter - 1) if present else 0
-        self.fired = self.fired or self.counter >= self.fire_at
-        return [self.counter, self.fired]
-
-
 class Admission:
     """A rule of ``operators.admission`` as a fold."""
 

@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.operators import admission, liveness
+from docsieve.operators import admission, folds, liveness
 from docsieve.streaming import ordered
 
 from .test_streaming import finished
@@ -44,7 +44,7 @@ def test_stability_in_event_time(spark, state_store, tmp_path, seed):
     shuffled = sorted(rows, key=lambda r: order[r[:2]])
     end = (99, 0, DAY + datetime.timedelta(hours=5), True, True)
     schema = "session_id long, idx int, ts timestamp, present boolean, stable boolean"
-    got = streamed(spark, tmp_path, shuffled, end, schema, 5, f"ordered{seed}", key="session_id", at="ts", order="idx", values=["present", "stable"], make=lambda: ordered.Stability(4), out="counter int, fired boolean", delay="1 hour")
+    got = streamed(spark, tmp_path, shuffled, end, schema, 5, f"ordered{seed}", key="session_id", at="ts", order="idx", values=["present", "stable"], make=lambda: folds.Stability(4), out="counter int, fired boolean", delay="1 hour")
     assert len(got) == 240 and len({r[:2] for r in got}) == 240
     frames = spark.createDataFrame(rows, schema).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("idx", "present", "stable"))).alias("f"))
     for i in (10, 59):
@@ -101,3 +101,12 @@ def test_admission_as_a_stream(spark, state_store, tmp_path, rule):
     random.Random(3).shuffle(rows)
     got = streamed(spark, tmp_path, rows, end, "user string, ts timestamp, id int", 4, f"admission_{rule}", key="user", at="ts", order="id", values=[], make=lambda: ordered.Admission(RULES[rule]()), out="admitted boolean", delay="1 day")
     assert {r["id"]: r["admitted"] for r in got} == brute(rows, RULES[rule])
+
+
+def test_final_states_in_batch(spark):
+    rows = [(None if s == 3 else s, i, (s * 7 + i * i) % 9 != 0, (s + i) % 5 != 0) for s in range(4) for i in range(900)]
+    df = spark.createDataFrame(rows, "session_id long, idx int, present boolean, stable boolean").repartition(5)
+    got = {r["session_id"]: (r["counter"], r["fired"]) for r in folds.final(df, "session_id", ["idx"], ["present", "stable"], lambda: folds.Stability(7), "counter int, fired boolean").collect()}
+    frames = df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("idx", "present", "stable"))).alias("f"))
+    assert got == {r["session_id"]: tuple(r["r"]) for r in frames.select("session_id", liveness.stability(F.col("f"), 7).alias("r")).collect()} and len(got) == 4
+    assert folds.final(df.where("false"), "session_id", ["idx"], ["present", "stable"], lambda: folds.Stability(7), "counter int, fired boolean").count() == 0
