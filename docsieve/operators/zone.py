@@ -49,14 +49,17 @@ class Stage:
     """Adds named steps to a DataFrame and drops them in the end."""
 
     def __init__(self, df: DataFrame):
-        self.df, self.names, self.before = df, [], set(df.columns)
+        self.df, self.names, self.before, self.made = df, [], set(df.columns), {}
 
     def __call__(self, **steps: Column) -> None:
         self.df = self.df.withColumns({f"_z_{k}": v for k, v in steps.items()})
         self.names += [f"_z_{k}" for k in steps]
 
     def __getattr__(self, name: str) -> Column:
-        return F.col(f"_z_{name}")
+        # a column is named once: building one takes a dozen calls
+        if name not in self.made:
+            self.made[name] = F.col(f"_z_{name}")
+        return self.made[name]
 
     def done(self, **results: Column) -> DataFrame:
         return self.df.withColumns(results).drop(*[n for n in dict.fromkeys(self.names) if n not in self.before])

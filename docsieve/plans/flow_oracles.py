@@ -145,20 +145,25 @@ def _pixels(table: str, key: str) -> str:
     return f"px AS MATERIALIZED (SELECT *, round_even(b * 0.114e0 + g * 0.587e0 + r * 0.299e0, 0) AS gray, greatest(b, g, r) AS v, least(b, g, r) AS w FROM (SELECT k, x, y, {colours} FROM (SELECT {key} AS k FROM {table}) t, {axis} h(x), {axis} i(y)))"
 
 
+def _var(x: str) -> str:
+    """Population variance of whole numbers, exact in a double where their count is a power of two."""
+    return f"((sum({x} * {x}) - sum({x}) * sum({x}) / count(*)::DOUBLE) / count(*))"
+
+
 def _raster_quality() -> str:
     near = lambda f, g, by, along: f"coalesce({f}(gray) OVER (PARTITION BY k, {by} ORDER BY {along}), {g}(gray) OVER (PARTITION BY k, {by} ORDER BY {along}))"
     around = " + ".join(near(f, g, by, along) for by, along in (("y", "x"), ("x", "y")) for f, g in (("lag", "lead"), ("lead", "lag")))
     n = flows.SIDE**2
     return f"""WITH {_pixels("part", "p_partkey")},
 n AS (SELECT *, {around} - 4 * gray AS edge, v > 245 AND round_even(CASE WHEN v > 0 THEN (v - w) / v::DOUBLE * 255 ELSE 0 END, 0) < 35 AS shines FROM px),
-f AS (SELECT k, var_pop(edge) AS variance, round_even(count(*) FILTER (WHERE shines) / {n}e0 * 100, 2) AS glare, avg(gray) AS brightness, stddev_pop(gray) AS contrast FROM n GROUP BY k),
+f AS (SELECT k, {_var('edge')} AS variance, round_even(count(*) FILTER (WHERE shines) / {n}e0 * 100, 2) AS glare, avg(gray) AS brightness, sqrt({_var('gray')}) AS contrast FROM n GROUP BY k),
 s AS (SELECT *, least(40.0, variance / 250 * 40) + greatest(0.0, 30 - glare * 10) + CASE WHEN brightness < 55 THEN brightness / 55 * 12 WHEN brightness > 215 THEN (255 - brightness) / 40 * 12 ELSE 20 END + 4 AS points FROM f)
-SELECT k, true AS success, round(variance, 3) AS variance, glare, round(brightness, 3) AS brightness, round(contrast, 3) AS contrast, least(100.0, greatest(0.0, round_even(points::DOUBLE, 1)))::DOUBLE AS score, variance < 95 AS is_blurry, glare > 1.2 AS has_glare, CASE WHEN brightness < 55 THEN 'TOO_DARK' WHEN brightness > 215 THEN 'OVEREXPOSED' ELSE 'OPTIMAL' END AS brightness_level FROM s"""
+SELECT k, true AS success, variance, glare, brightness, round(contrast, 3) AS contrast, least(100.0, greatest(0.0, round_even(points::DOUBLE, 1)))::DOUBLE AS score, variance < 95 AS is_blurry, glare > 1.2 AS has_glare, CASE WHEN brightness < 55 THEN 'TOO_DARK' WHEN brightness > 215 THEN 'OVEREXPOSED' ELSE 'OPTIMAL' END AS brightness_level FROM s"""
 
 
 def _raster_spoofing() -> str:
     """Regions by what each bright pixel reaches over its eight neighbours."""
-    chroma = lambda c, m: f"stddev_pop(round_even(({c} - (0.299e0 * r + 0.587e0 * g + 0.114e0 * b)) * {m}e0 + 128, 0))"
+    chroma = lambda c, m: f"sqrt({_var(f'round_even(({c} - (0.299e0 * r + 0.587e0 * g + 0.114e0 * b)) * {m}e0 + 128, 0)')})"
     return f"""WITH RECURSIVE {_pixels("supplier", "s_suppkey")},
 br AS MATERIALIZED (SELECT k, x, y, y * {flows.SIDE} + x AS id FROM px WHERE v > 248),
 e AS MATERIALIZED (SELECT a.k, a.id AS a, b.id AS b FROM br a JOIN br b ON a.k = b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),

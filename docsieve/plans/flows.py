@@ -147,7 +147,7 @@ def rasters(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
 def raster_quality(spark: SparkSession, sf: str) -> DataFrame:
     out = forensics.full_forensics(rasters(spark, sf, "part", "p_partkey"))
     q, v = F.col("forensics.quality.features"), F.col("forensics.quality.verdict")
-    return out.select("k", F.col("forensics.success").alias("success"), F.round(q["variance"], 3).alias("variance"), q["glare"].alias("glare"), F.round(q["brightness"], 3).alias("brightness"), F.round(q["contrast"], 3).alias("contrast"), v["score"].alias("score"), v["is_blurry"].alias("is_blurry"), v["has_glare"].alias("has_glare"), v["brightness_level"].alias("brightness_level"))
+    return out.select("k", F.col("forensics.success").alias("success"), q["variance"].alias("variance"), q["glare"].alias("glare"), q["brightness"].alias("brightness"), F.round(q["contrast"], 3).alias("contrast"), v["score"].alias("score"), v["is_blurry"].alias("is_blurry"), v["has_glare"].alias("has_glare"), v["brightness_level"].alias("brightness_level"))
 
 
 def raster_spoofing(spark: SparkSession, sf: str) -> DataFrame:
