@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.operators import forensics, liveness, pixels
+from docsieve.operators import faces, forensics, liveness, pixels
 from docsieve.sources import boundaries, media
 
 
@@ -123,3 +123,35 @@ def test_thumbnails_are_files(spark, images, tmp_path):
         (tmp_path / f"{name}.bmp").write_bytes(got[name]["small"])
     sizes = {(r["h"], r["w"]) for r in media.images(spark, str(tmp_path)).selectExpr("image.height AS h", "image.width AS w").collect()}
     assert sizes == {(80, 100)}
+
+
+def test_faces_from_images_to_a_match(spark):
+    kind = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    box = "array<struct<x:int,y:int,w:int,h:int>>"
+    rng = np.random.default_rng(11)
+    smooth = pixels.resize(rng.integers(0, 256, (12, 10), dtype=np.uint8), 120, 100)
+    other = pixels.resize(rng.integers(0, 256, (12, 10), dtype=np.uint8), 120, 100)
+
+    def photo(face, at, side=400):
+        x = np.full((side, side, 3), 90, np.uint8)
+        x[at[1] : at[1] + 120, at[0] : at[0] + 100] = face[:, :, None]
+        return ("", side, side, 3, 16, bytearray(x.tobytes()))
+
+    here, there = [(40, 60, 100, 120)], [(200, 150, 100, 120), (5, 5, 20, 20)]
+    rows = [
+        ("same", photo(smooth, (40, 60)), here, photo(smooth, (200, 150)), there),
+        ("other", photo(smooth, (40, 60)), here, photo(other, (200, 150)), there),
+        ("cut", photo(smooth, (0, 0), 130), [(0, 0, 100, 120)], photo(smooth, (0, 0), 130), [(0, 0, 100, 120)]),
+        ("none", photo(smooth, (40, 60)), [], photo(smooth, (200, 150)), there),
+        ("broken", ("", 9, 9, 3, 16, bytearray(b"x")), here, photo(smooth, (200, 150)), there),
+        ("null", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"k string, portrait {kind}, pb {box}, selfie {kind}, sb {box}").coalesce(1)
+    out = faces.compared(df.withColumn("keypoints", F.lit(0.95)), "portrait", "selfie", "pb", "sb", "keypoints")
+    assert out.columns == [*df.columns, "keypoints", "face"]
+    got = {r["k"]: r["face"] for r in out.collect()}
+    assert got["same"]["verdict"] == "VERIFIED_MATCH" and got["same"]["match"] and got["same"]["similarity"] > 95
+    assert got["other"]["verdict"] == "MISMATCH" and not got["other"]["match"]
+    assert got["cut"]["verdict"] == "SELFIE_CUT_OFF" and not got["cut"]["match"]
+    for k in ("none", "broken", "null"):
+        assert got[k]["verdict"] == "NO_FACE" and not got[k]["match"] and got[k]["similarity"] is None
