@@ -270,5 +270,23 @@ def _shown() -> str:
     return f"WITH {fx.duck_identities()}, p AS (SELECT k, surname, CASE WHEN k % 2 = 0 THEN 'profile' WHEN k % 3 = 0 THEN 'fields' WHEN k % 5 = 0 THEN 'merged' WHEN k % 7 = 0 THEN 'page' END AS part FROM idn) SELECT k, part, CASE WHEN part IS NOT NULL THEN concat_ws(' ', surname, part) END AS full_name FROM p"
 
 
+def _uploads() -> str:
+    made = ", ".join(f"{e} AS {n}" for n, e in flows.UPLOAD.items())
+    return f"WITH {fx.duck_identities()}, u AS (SELECT k, {made} FROM idn) SELECT k, path, CASE WHEN size > 26214400 THEN 'too_large' WHEN NOT ends_with(lower(path), '.pdf') THEN 'bad_name' WHEN left(head, 10) <> '255044462D' THEN 'bad_format' END AS rejection FROM u"
+
+
+def _json() -> str:
+    body = """concat('{"k":', k, ',"surname":"', surname, '","success":', k % 3 <> 0, ',"quoted":"say ', chr(92), '"', doc, chr(92), '""}')"""
+    return f"WITH {fx.duck_identities()}, j AS (SELECT k, CASE WHEN k % 5 = 0 THEN 400 WHEN k % 3 <> 0 THEN 200 ELSE 422 END::BIGINT AS status_code, {body} AS body FROM idn) SELECT k, status_code, body, concat('data:application/json;base64,', base64(encode(body))) AS uri FROM j"
+
+
+def _folding() -> str:
+    made = ", ".join(f"{e} AS {n}" for n, e in flows.WORDS.items())
+    ends = "^[^A-ZА-Яa-zа-я]+|[^A-ZА-Яa-zа-я]+$"
+    place = "CASE k % 4 WHEN 0 THEN 'POP' WHEN 1 THEN 'NAMANGAN VILOYATI' WHEN 2 THEN 'CHUST' ELSE 'POP TUMANI' END"
+    return f"""WITH {fx.duck_identities()}, w AS (SELECT k, surname, {made} FROM idn)
+SELECT k, trim(regexp_replace(word, '{ends}', '', 'g')) AS word, concat(surname, '3O ') AS folded, concat('O', surname) AS plain, concat({place}, CASE k % 3 WHEN 0 THEN ' TUMANI' WHEN 1 THEN ' SHAHRI' ELSE '' END) AS place FROM w"""
+
+
 def sql() -> dict[str, str]:
-    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "challenge_metadata": _metadata(), "docnum_fallbacks": _docnum(), "pinfl_fallbacks": _pinfl(), "name_tokens": _name_tokens(), "shown_record": _shown(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}
+    return {"fuzzy_pairs": _fuzzy(), "admission_leaky": _leaky(*flows.LEAKY), "admission_log": _log(*flows.LOG), "liveness_verify": _sessions(), "zone_search": _zone_search(), "card_verification": _cards(), "raster_quality": _raster_quality(), "challenge_metadata": _metadata(), "docnum_fallbacks": _docnum(), "pinfl_fallbacks": _pinfl(), "name_tokens": _name_tokens(), "shown_record": _shown(), "pdf_uploads": _uploads(), "json_export": _json(), "word_folding": _folding(), "mrz_checksums": _mrz_checksums(), "verification_report": _verification_report(), "extract_negative": _extract_negative(), "raster_spoofing": _raster_spoofing()}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import mrz, text, tokens
-from ..operators import admission, cards, forensics, fusion, matching, sessions
+from ..operators import admission, cards, extract, forensics, fusion, matching, sessions
+from ..sources import media, sinks
 from . import fixtures as fx
 
 #: Two records of each person and some repeated: letters read as digits, noise, shortened names, short dates, a placeholder number that every tenth has.
@@ -188,6 +189,28 @@ def shown_record(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("k", "r.part", "r.full_name")
 
 
+#: Uploads that should be PDFs: their path, first bytes in hex, and length.
+UPLOAD = {"path": "concat('in/', k, CASE k % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' ELSE '' END)", "head": "CASE WHEN k % 3 = 0 THEN '255044462D312E34' WHEN k % 3 = 1 THEN '2550444620' ELSE '' END", "size": "CASE WHEN k % 7 = 0 THEN 30000000 ELSE k * 1000 END"}
+#: Words and places as they are read: marks at both ends, Cyrillic letters, apostrophes of four kinds, names of places.
+WORDS = {"word": "concat(CASE k % 3 WHEN 0 THEN '--1' WHEN 1 THEN '(' ELSE '' END, surname, CASE k % 2 WHEN 0 THEN ' 7.' ELSE ')' END)", "cyrillic": "concat(translate(surname, 'ABEKM', 'АВЕКМ'), 'ЗоЬ')", "quoted": "concat('O', CASE k % 4 WHEN 0 THEN 'ʻ' WHEN 1 THEN 'ʼ' WHEN 2 THEN '`' ELSE chr(39) END, surname)", "place": "concat(CASE k % 4 WHEN 0 THEN 'РОР' WHEN 1 THEN 'NAMANGAN  REGION' WHEN 2 THEN 'ХUSТ' ELSE 'pop tomamt' END, CASE k % 3 WHEN 0 THEN ' ТУМАНИ' WHEN 1 THEN ' шаҳри' ELSE '' END)"}
+
+
+def pdf_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).selectExpr("k", *[f"{e} AS {n}" for n, e in UPLOAD.items()])
+    return df.select("k", "path", media.pdf_rejection(F.col("path"), F.unhex("head"), F.col("size")).alias("rejection"))
+
+
+def json_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses as JSON, and their data as a URI."""
+    df = fx.identities(spark, sf).selectExpr("k", "surname", "k % 3 <> 0 AS success", "CASE WHEN k % 5 = 0 THEN 'invalid' END AS problem", "concat('say \"', doc, '\"') AS quoted")
+    return sinks.responses(df, "success", "problem").withColumn("uri", sinks.data_uri(F.encode("body", "utf-8"), "application/json")).select(F.get_json_object("body", "$.k").cast("long").alias("k"), F.col("status_code").cast("long").alias("status_code"), "body", "uri")
+
+
+def word_folding(spark: SparkSession, sf: str) -> DataFrame:
+    df = fx.identities(spark, sf).selectExpr("k", *[f"{e} AS {n}" for n, e in WORDS.items()])
+    return df.select("k", text.clean_word(F.col("word")).alias("word"), text.fold(F.col("cyrillic")).alias("folded"), text.no_apostrophes(F.col("quoted")).alias("plain"), extract.toponym(F.col("place")).alias("place"))
+
+
 #: The signing secret of these queries; a deployment configures its own.
 SECRET = "query-fixture"
 DAY = 86_400_000
@@ -195,5 +218,5 @@ LEAKY, LOG = (4, DAY, 2), (3, 2 * DAY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing, challenge_metadata, docnum_fallbacks, pinfl_fallbacks, name_tokens, shown_record)
+    found = (fuzzy_pairs, admission_leaky, admission_log, liveness_verify, zone_search, card_verification, raster_quality, raster_spoofing, challenge_metadata, docnum_fallbacks, pinfl_fallbacks, name_tokens, shown_record, pdf_uploads, json_export, word_folding)
     return {f.__name__: f for f in found}
