@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from ..functions import mrz, text, tokens
-from ..functions.linkage import DAYS, MONTHS, PAIRS
+from ..functions import mrz
 from ..operators import extract_words, fusion
+from . import fixed
 from . import fixtures as fx
+from .fixed import DAYS, MONTHS, PAIRS
 
 ck = fx.duck_check
 
 
 def _nine(x: str) -> str:
-    return f"(CASE WHEN length({x}) = 9 THEN concat(translate(upper(substr({x}, 1, 1)), '{mrz.FIRST_DIGITS}', '{mrz.FIRST_LETTERS}'), translate(upper(substr({x}, 2, 1)), '{mrz.SECOND_DIGITS}', '{mrz.SECOND_LETTERS}'), translate(upper(substr({x}, 3)), '{mrz.TAIL_LETTERS}', '{mrz.TAIL_DIGITS}')) ELSE coalesce({x}, '') END)"
+    return f"(CASE WHEN length({x}) = 9 THEN concat(translate(upper(substr({x}, 1, 1)), '{fixed.FIRST_DIGITS}', '{fixed.FIRST_LETTERS}'), translate(upper(substr({x}, 2, 1)), '{fixed.SECOND_DIGITS}', '{fixed.SECOND_LETTERS}'), translate(upper(substr({x}, 3)), '{fixed.TAIL_LETTERS}', '{fixed.TAIL_DIGITS}')) ELSE coalesce({x}, '') END)"
 
 
 def _document(x: str) -> str:
@@ -43,7 +44,7 @@ def _with(select: str, *ctes: str) -> str:
 
 
 def _confusions() -> str:
-    rows = [f"('{k}', '{v}', {i})" for k, vs in mrz.CONFUSIONS.items() for i, v in enumerate(vs)]
+    rows = [f"('{k}', '{v}', {i})" for k, vs in fixed.CONFUSIONS.items() for i, v in enumerate(vs)]
     return "conf(ch, alt, r) AS (VALUES " + ", ".join(rows) + ")"
 
 
@@ -199,7 +200,7 @@ def sql() -> dict[str, str]:
         "extract_names": _with("SELECT k, CASE WHEN sn THEN surname WHEN gn THEN first_name END AS surname, CASE WHEN sn AND gn THEN first_name END AS first_name, 'KARIMOVICH' AS patronymic FROM z", f"z AS (SELECT *, {_name_like('surname')} AS sn, {_name_like('first_name')} AS gn FROM idn)"),
         "extract_other": _with("SELECT k, gender, 'O''zbekiston' AS nationality, 'CHUST TUMANI' AS birth_place, concat('IIV ', 10000 + k % 90000) AS issuing_authority FROM idn"),
         "translit_match": _with("SELECT k, k % 3 <> 2 AS same FROM idn"),
-        "strong_first_name": _with(f"SELECT k, CASE WHEN k % 3 = 0 THEN true WHEN k % 3 = 1 THEN false ELSE regexp_matches(substr(first_name, 1, 4), '({'|'.join(text.NAME_SUFFIXES)})$') END AS strong FROM idn"),
+        "strong_first_name": _with(f"SELECT k, CASE WHEN k % 3 = 0 THEN true WHEN k % 3 = 1 THEN false ELSE regexp_matches(substr(first_name, 1, 4), '({'|'.join(fixed.NAME_SUFFIXES)})$') END AS strong FROM idn"),
         "patronymic_repair": _with("SELECT k, concat(surname, CASE WHEN k % 4 IN (0, 1) THEN 'ICH' ELSE 'NA' END) AS patronymic FROM idn"),
         "fuse_fields": _with("SELECT * FROM fu", _FUSED),
         "derive_gender_birth": _with("SELECT k, CASE WHEN k % 3 = 0 THEN 'Ayol' WHEN k % 3 = 1 THEN 'Erkak' ELSE gender END AS derived_gender, birth AS derived_birth FROM idn"),
@@ -229,7 +230,7 @@ def sql() -> dict[str, str]:
         "face_verdict": f"WITH {_BLEND}, z AS (SELECT vec_id, c AS r FROM bl), p AS (SELECT round_even(greatest(0.0, least(100.0, {_PERCENT})), 1) AS p FROM z) SELECT CASE WHEN p >= 72 THEN 'VERIFIED_MATCH' WHEN p >= 55 THEN 'UNCERTAIN' ELSE 'MISMATCH' END AS verdict, p >= 60 AS match, count(*) AS n FROM p GROUP BY ALL",
         "kyc_match": f"WITH z AS (SELECT l_orderkey, l_linenumber, {kyc} AS r, l_orderkey % 2 = 0 AND l_linenumber / 8 > 0.35 AS cut FROM lineitem), p AS (SELECT *, round_even(greatest(0.0, least(100.0, {_PERCENT})), 1) AS p FROM z) SELECT l_orderkey, l_linenumber, CASE WHEN cut THEN 0.0::DOUBLE ELSE p END AS similarity, CASE WHEN cut THEN 'SELFIE_CUT_OFF' WHEN p >= 72 THEN 'VERIFIED_MATCH' WHEN p >= 55 THEN 'UNCERTAIN' ELSE 'MISMATCH' END AS verdict, NOT cut AND p >= 72 AS match FROM p",
         "movement_check": f"WITH {_FRAMES} SELECT CASE WHEN ratio >= 1.15 THEN 'closer' WHEN ratio <= 0.88 THEN 'away' ELSE 'neither' END AS movement, count(*) AS n FROM mv GROUP BY 1",
-        "challenge_draw": "WITH c AS (SELECT event_id, c, md5(concat(event_id, '-', c)) AS r FROM events, (SELECT unnest([" + ", ".join(f"'{c}'" for c in tokens.CHALLENGES) + "]) AS c)), m AS (SELECT *, row_number() OVER (PARTITION BY event_id, starts_with(c, 'MOVE') ORDER BY r) AS n FROM c) SELECT event_id, array_to_string(list(c ORDER BY r)[1:3], ',') AS challenges FROM m WHERE NOT starts_with(c, 'MOVE') OR n = 1 GROUP BY event_id",
+        "challenge_draw": "WITH c AS (SELECT event_id, c, md5(concat(event_id, '-', c)) AS r FROM events, (SELECT unnest([" + ", ".join(f"'{c}'" for c in fixed.CHALLENGES) + "]) AS c)), m AS (SELECT *, row_number() OVER (PARTITION BY event_id, starts_with(c, 'MOVE') ORDER BY r) AS n FROM c) SELECT event_id, array_to_string(list(c ORDER BY r)[1:3], ',') AS challenges FROM m WHERE NOT starts_with(c, 'MOVE') OR n = 1 GROUP BY event_id",
         "liveness_session": f"WITH {_FRAMES}, s AS (SELECT *, CASE WHEN idx = 1 THEN ratio >= 1.15 ELSE ratio <= 0.88 END AS ok FROM mv), c AS (SELECT *, CASE WHEN NOT ok THEN 0.0 WHEN idx = 1 THEN round_even(least(98.0, 70.0 + (ratio - 1.15) * 60.0), 1) ELSE round_even(least(98.0, 70.0 + (0.88 - ratio) * 80.0), 1) END AS conf FROM s), g AS (SELECT user_id, part, count(*) AS n_steps, bool_and(ok) AS all_passed, round_even((6 * sum(conf::DECIMAL(9,1)) / count(*)::DECIMAL(9,0) + 4 * (100 - user_id % 4 * 20)) , 0) / 10 AS sc, user_id % 5 + 1 < 2 AS few, user_id % 4 * 20.0 >= 50 AS spoof FROM c GROUP BY user_id, part) SELECT user_id, part, n_steps, all_passed, CASE WHEN few OR spoof THEN 0.0::DOUBLE ELSE sc END AS liveness_score, NOT few AND NOT spoof AND all_passed AND sc >= 65 AS is_live, CASE WHEN few THEN 'INSUFFICIENT_FRAMES' WHEN spoof THEN 'SPOOF_ATTACK_DETECTED' WHEN all_passed AND sc >= 65 THEN 'LIVE_AUTHENTIC' ELSE 'CHALLENGE_FAILED' END AS verdict FROM g",
         "spoof_score": "WITH z AS (SELECT l_orderkey, l_linenumber, l_quantity / 8 > 4.2 AS a, l_linenumber % 4 >= 2 AS b, abs(l_discount) * 100 < 5 AND abs(l_tax) * 100 < 5 AS c FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(45 * a::INT + 25 * b::INT + 30 * c::INT AS DOUBLE) AS score, 45 * a::INT + 25 * b::INT + 30 * c::INT >= 50 AS is_spoof, concat_ws(',', CASE WHEN a THEN 'moire' END, CASE WHEN b THEN 'specular' END, CASE WHEN c THEN 'flat_chrominance' END) AS flags FROM z",
         "stability_counter": "WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type <> 'error' AS p, value >= 20 AS s FROM events), r AS (SELECT user_id, n, CASE WHEN p AND s THEN 1 ELSE 0 END AS c, CASE WHEN p AND s THEN 1 ELSE 0 END >= 3 AS f FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, CASE WHEN o.p AND o.s THEN r.c + 1 WHEN o.p THEN greatest(0, r.c - 1) ELSE 0 END, r.f OR CASE WHEN o.p AND o.s THEN r.c + 1 ELSE 0 END >= 3 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, CAST(arg_max(c, n) AS BIGINT) AS counter, bool_or(f) AS fired FROM r GROUP BY user_id",
