@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mrz import let
 from ..functions.text import APOSTROPHES, document_number, fold, no_apostrophes, personal_number, repair_given_name, repair_patronymic, strong_first_name
 from .extract_words import NOT_NAMES, PATRONYMIC_END, name_like, tokens
 from .layout import given_between, patronymic_below
@@ -69,11 +70,12 @@ def _surname_points(t: Column) -> Column:
 
 def _best(candidates: Column) -> Column:
     """The token with the largest sum of points; of equals the one that came first."""
-    there = F.filter(candidates, lambda c: c["t"].isNotNull())
-    kinds = F.array_distinct(F.transform(there, lambda c: c["t"]))
-    total = lambda t: F.aggregate(F.filter(there, lambda c: c["t"] == t), F.lit(0), lambda s, c: s + c["p"])
-    ranked = F.transform(kinds, lambda t, i: F.struct(total(t).alias("p"), (-i).alias("i"), t.alias("t")))
-    return F.array_max(ranked)["t"]
+
+    def ranked(there: Column) -> Column:
+        total = lambda t: F.aggregate(F.filter(there, lambda c: c["t"] == t), F.lit(0), lambda s, c: s + c["p"])
+        return F.array_max(F.transform(F.array_distinct(F.transform(there, lambda c: c["t"])), lambda t, i: F.struct(total(t).alias("p"), (-i).alias("i"), t.alias("t"))))
+
+    return let(F.filter(candidates, lambda c: c["t"].isNotNull()), ranked)["t"]
 
 
 def whole_patronymic(text: Column, repairs: tuple[tuple[str, str], ...] = ()) -> Column:
@@ -100,12 +102,17 @@ def names(df: DataFrame, text: str = "text", patronymics: tuple[tuple[str, str],
 
     def read(words: Column) -> Column:
         """What a line's words give: the first fit for each part of the name."""
-        named = F.filter(words, lambda t: name_like(t, 3))
-        sur = _head(named)
-        giv = _head(F.filter(F.transform(F.filter(named, lambda t: ~no_apostrophes(t).rlike(late)), lambda t: repair_given_name(t, None, given_names)), lambda t: t.isNotNull()))
-        pat = repair_patronymic(_head(F.filter(named, lambda t: (F.length(no_apostrophes(t)) >= 4) & t.rlike(PATRONYMIC_END))), patronymics)
-        giv_points = 2 + bonus(strong_first_name(giv), 8) + bonus(F.length(no_apostrophes(giv)) >= 4, 2)
-        return F.struct(candidate(sur, _surname_points(sur)).alias("sur"), candidate(giv, giv_points).alias("giv"), candidate(pat, 2 + bonus(pat.rlike("(VICH|VNA|QIZI|OGLI|UGLI)$"), 6)).alias("pat"))
+        late_not = lambda t: ~no_apostrophes(t).rlike(late)
+        given = lambda ws: _head(F.filter(F.transform(F.filter(ws, late_not), lambda t: repair_given_name(t, None, given_names)), lambda t: t.isNotNull()))
+        fathers = lambda ws: repair_patronymic(_head(F.filter(ws, lambda t: (F.length(no_apostrophes(t)) >= 4) & t.rlike(PATRONYMIC_END))), patronymics)
+        found = lambda ws: F.struct(_head(ws).alias("sur"), given(ws).alias("giv"), fathers(ws).alias("pat"))
+
+        def pointed(n: Column) -> Column:
+            giv_points = 2 + bonus(strong_first_name(n["giv"]), 8) + bonus(F.length(no_apostrophes(n["giv"])) >= 4, 2)
+            return F.struct(candidate(n["sur"], _surname_points(n["sur"])).alias("sur"), candidate(n["giv"], giv_points).alias("giv"), candidate(n["pat"], 2 + bonus(n["pat"].rlike("(VICH|VNA|QIZI|OGLI|UGLI)$"), 6)).alias("pat"))
+
+        # inside a lambda nothing is shared, so the words and what they give are bound once
+        return let(F.filter(words, lambda t: name_like(t, 3)), lambda ws: let(found(ws), pointed))
 
     z(words=F.transform(z.lines, tokens))
     z(each=F.transform(z.words, read))
