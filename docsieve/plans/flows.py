@@ -81,7 +81,7 @@ def liveness_verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def challenge_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    df = fx.table(spark, sf, "events").select(F.concat_ws("-", F.lit("s"), "event_id").alias("session"))
+    df = fx.spread(fx.table(spark, sf, "events").select("event_id")).select(F.concat_ws("-", F.lit("s"), "event_id").alias("session"))
     out = tokens.started(df, "session", F.lit(NOW), SECRET)
     one = F.transform("challenges", lambda c: F.concat_ws("|", c["id"], c["title"], c["instruction"], c["icon"]))
     return out.select("session", F.col("expires_in_seconds").cast("long").alias("expires_in_seconds"), F.col("challenges_count").cast("long").alias("challenges_count"), F.array_join(one, ";").alias("challenges"))
@@ -142,7 +142,7 @@ def rasters(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
     """k and an image struct of the image source's kind for each row of a table."""
     line = f"transform(sequence(0, {SIDE - 1}), x -> concat(" + ", ".join(f"lpad(hex({PIXEL[c]}), 2, '0')" for c in "bgr") + "))"
     data = f"unhex(array_join(flatten(transform(sequence(0, {SIDE - 1}), y -> {line})), ''))"
-    return fx.table(spark, sf, table).selectExpr(f"{key} AS k").selectExpr("k", f"named_struct('origin', '', 'height', {SIDE}, 'width', {SIDE}, 'nChannels', 3, 'mode', 16, 'data', {data}) AS image")
+    return fx.spread(fx.table(spark, sf, table).selectExpr(f"{key} AS k")).selectExpr("k", f"named_struct('origin', '', 'height', {SIDE}, 'width', {SIDE}, 'nChannels', 3, 'mode', 16, 'data', {data}) AS image")
 
 
 def raster_quality(spark: SparkSession, sf: str) -> DataFrame:
