@@ -51,3 +51,23 @@ def test_a_placeholder_number_is_split_by_date(spark):
 
 def test_no_records(spark):
     assert matching.pairs(matching.profiles(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_compatible_names_begin_alike(spark):
+    """Any two compatible names, spelt alike, are equal or one begins with the other."""
+    parts = ("", "K", "KH", "X", "XH", "H", "Q", "W", "V", "A")
+    names = sorted({a + b + c for a in parts for b in parts for c in ("", "K", "H", "AN")})
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(4)
+    both = df.select(F.col("n").alias("a")).crossJoin(df.select(F.col("n").alias("b"))).where(linkage.names_compatible(F.col("a"), F.col("b")))
+    p, q = matching.spelt_alike(F.col("a")), matching.spelt_alike(F.col("b"))
+    assert both.count() > len(names) and both.where(~(p.startswith(q) | q.startswith(p))).count() == 0
+
+
+@pytest.mark.parametrize("surname", ["", "X"])
+def test_a_placeholder_of_one_date_is_split_by_names(spark, surname):
+    """Rows of a crowded number, date and surname: those that meet grow with the rows, not with their square."""
+    rows = [(i, "12345", "1990-04-21", surname, "".join(chr(65 + int(d)) for d in f"{i:04d}")) for i in range(600)]
+    found = matching.profiles(spark.createDataFrame(rows, SCHEMA)).cache()
+    l, r = matching.sides(found, 50)
+    assert l.join(r, list(matching.KEYS)).count() <= 600 * 50
+    assert matching.pairs(found, 50).count() == 0
