@@ -1,5 +1,6 @@
 """Work on many narrow rows: dealt out to tasks by the number of rows, and each value worked out once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docsieve.functions import tokens
@@ -46,3 +47,12 @@ def test_tokens_verdicts(spark):
     got = df.select(*[tokens.verify(t, F.lit(10), "x").alias(n) for n, t in cases.items()], tokens.verify(F.col("t"), F.lit(11), "x").alias("late")).first()
     assert [got[n]["reason"] for n in (*cases, "late")] == ["ok", "forged", "malformed", "malformed", "expired"]
     assert got["ok"]["valid"] and got["ok"]["payload"]["exp"] == 10 and got["late"]["payload"] is None
+
+
+def test_pixels_same_as_their_sql(spark):
+    """Rasters of many keys at once, against the expressions that the SQL has."""
+    keys = [0, 1, 2, 3, 7, 11, 14, 19_999, 7_200_001]
+    made = flows._pixels(np.array(keys))
+    at = spark.createDataFrame([(i, k, x, y) for i, k in enumerate(keys) for x in range(flows.SIDE) for y in range(flows.SIDE)], "i int, k long, x long, y long")
+    for r in at.selectExpr("i", "x", "y", *[f"{flows.PIXEL[c]} AS {c}" for c in "bgr"]).collect():
+        assert tuple(made[r["i"], r["y"], r["x"]].tolist()) == (r["b"], r["g"], r["r"])
