@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docsieve.functions import tokens
-from docsieve.operators import extract
+from docsieve.operators import extract, linkage
 from docsieve.operators.extract_words import name_like
 from docsieve.plans import fixtures as fx
 from docsieve.plans import flows, registry
@@ -56,3 +56,25 @@ def test_pixels_same_as_their_sql(spark):
     at = spark.createDataFrame([(i, k, x, y) for i, k in enumerate(keys) for x in range(flows.SIDE) for y in range(flows.SIDE)], "i int, k long, x long, y long")
     for r in at.selectExpr("i", "x", "y", *[f"{flows.PIXEL[c]} AS {c}" for c in "bgr"]).collect():
         assert tuple(made[r["i"], r["y"], r["x"]].tolist()) == (r["b"], r["g"], r["r"])
+
+
+def most_sessions(df):
+    """Sessions that the fullest task has."""
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_a_task_meets_no_more_sessions_in_a_larger_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fx, "TASK_ROWS", (50, 100))
+    monkeypatch.setattr(fx, "TASKS_A_CORE", 1)
+    d = folder(spark, tmp_path, 4000)
+    for name in ("dossier_profiles",):
+        assert most_sessions(getattr(registry, name)(spark, d)) <= 200, name
+
+
+def test_dealt_dossiers_are_the_same(spark):
+    row = ", ".join(f"concat('{n}', key, page) AS {n}" for n in linkage.FIELDS)
+    at = "explode(sequence(0, 39)) AS i"
+    pages = spark.range(1).selectExpr(at).selectExpr("CASE WHEN i < 3 THEN NULL ELSE i % 11 END AS key", "i DIV 11 * 5 + 1 AS page", "element_at(array('id_front', 'id_back', 'passport'), CAST(i % 3 + 1 AS INT)) AS kind")
+    pages = pages.selectExpr("key", "page", "kind", f"struct({row}, kind AS detected_side, CAST(NULL AS STRING) AS mrz_format, kind = 'id_front' AS face_detected, 90.0D AS confidence) AS record")
+    got = [sorted(map(repr, linkage.merged_dossiers(pages, "record", "key", "page", "kind", tasks=n).collect())) for n in (None, 1, 7)]
+    assert len(got[0]) == 12 and got[0] == got[1] == got[2]
