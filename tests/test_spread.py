@@ -67,7 +67,7 @@ def test_a_task_meets_no_more_sessions_in_a_larger_table(spark, tmp_path, monkey
     monkeypatch.setattr(fx, "TASK_ROWS", (50, 100))
     monkeypatch.setattr(fx, "TASKS_A_CORE", 1)
     d = folder(spark, tmp_path, 4000)
-    for name in ("dossier_profiles",):
+    for name in ("dossier_profiles", "auto_swap"):
         assert most_sessions(getattr(registry, name)(spark, d)) <= 200, name
 
 
@@ -78,3 +78,10 @@ def test_dealt_dossiers_are_the_same(spark):
     pages = pages.selectExpr("key", "page", "kind", f"struct({row}, kind AS detected_side, CAST(NULL AS STRING) AS mrz_format, kind = 'id_front' AS face_detected, 90.0D AS confidence) AS record")
     got = [sorted(map(repr, linkage.merged_dossiers(pages, "record", "key", "page", "kind", tasks=n).collect())) for n in (None, 1, 7)]
     assert len(got[0]) == 12 and got[0] == got[1] == got[2]
+
+
+def test_dealt_sessions_are_the_same(spark):
+    at = "explode(sequence(0, 39)) AS i"
+    sides = spark.range(1).selectExpr(at).selectExpr("CASE WHEN i < 3 THEN NULL ELSE i % 13 END AS key", "i DIV 13 AS upload", "concat('s', i % 13, i DIV 13) AS value").where("NOT (upload = 1 AND key = 5) AND NOT (key IS NULL AND upload = 0 AND value <> 's00')")
+    got = [sorted(map(repr, linkage.pair_up(sides, ["key"], tasks=n).collect())) for n in (None, 1, 7)]
+    assert len(got[0]) == 14 and got[0] == got[1] == got[2]
