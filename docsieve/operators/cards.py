@@ -64,8 +64,8 @@ def read_sides(texts: DataFrame, text: str = "text", as_of_year: int = 2026, lin
     return z.done(**fields, detected_side=z.side, mrz_format=F.col("mrz.format"), confidence=sure).drop("mrz", "fields")
 
 
-def verified_cards(texts: DataFrame, keys: list[str], text: str = "text", as_of_year: int = 2026) -> DataFrame:
-    """keys and ``merged`` of every session, from rows (keys, upload 0 or 1, text, face_detected): read, told apart, compared and merged."""
+def verified_cards(texts: DataFrame, keys: list[str], text: str = "text", as_of_year: int = 2026, tasks: int | None = None) -> DataFrame:
+    """keys and ``merged`` of every session, from rows (keys, upload 0 or 1, text, face_detected): read, told apart, compared and merged. ``tasks``: that many share the sessions."""
     sides = read_sides(texts, text, as_of_year)
     records = sides.select(*keys, "upload", *linkage.FIELDS, "detected_side", "mrz_format", "face_detected", "confidence")
-    return linkage.merge(linkage.pair_up(records, keys)).select(*keys, "merged")
+    return linkage.merge(linkage.pair_up(records, keys, tasks=tasks)).select(*keys, "merged")

@@ -129,7 +129,7 @@ def card_verification(spark: SparkSession, sf: str) -> DataFrame:
     m = F.col("merged")
     p = m["citizen_profile"]
     fields = [p[n].alias(n) for n in ("document_number", "personal_number", "surname", "full_name", "date_of_birth", "date_of_expiry", "place_of_birth", "nationality")]
-    out = cards.verified_cards(card_texts(spark, sf), ["key"], "text", AS_OF_YEAR)
+    out = cards.verified_cards(card_texts(spark, sf), ["key"], "text", AS_OF_YEAR, fx.session_tasks(spark, sf))
     return out.select("key", m["overall_status"].alias("overall_status"), m["match_score"].alias("match_score"), m["different_cards_detected"].alias("different_cards"), m["auto_swapped"].alias("auto_swapped"), m["confidence"].alias("confidence"), F.array_join(m["fraud_alerts"], ",").alias("alerts"), *fields)
 
 

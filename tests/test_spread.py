@@ -67,7 +67,7 @@ def test_a_task_meets_no_more_sessions_in_a_larger_table(spark, tmp_path, monkey
     monkeypatch.setattr(fx, "TASK_ROWS", (50, 100))
     monkeypatch.setattr(fx, "TASKS_A_CORE", 1)
     d = folder(spark, tmp_path, 4000)
-    for name in ("dossier_profiles", "auto_swap", "_merged"):  # the last is what merge_status_counts counts
+    for name in ("dossier_profiles", "auto_swap", "two_sided_merge", "_merged"):  # the last is what merge_status_counts counts
         assert most_sessions(getattr(registry, name)(spark, d)) <= 200, name
 
 
